@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def grouped_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, blocks: int = 64, name: str = "before", spread: Column | None = None) -> DataFrame:
+def grouped_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, blocks: int = 64, name: str = "before", block: Column | None = None) -> DataFrame:
     """df with `name`: the sum of `value` (default 1: the 0-based rank) over the rows before it in its group.
 
-    The order inside a group is by (block, order): rows are hashed into `blocks` sub-blocks by `spread` (default:
-    the order columns), summed per block, and only the block sums, at most `blocks` per group, are put in order by one
-    window. `order` must be unique inside a group for a deterministic result.
+    The order inside a group is by (block, order). By default rows are hashed into `blocks` sub-blocks by the order
+    columns; `block` names other ones, such as ranges, to keep an order of one's own. Rows are summed per block and only
+    the block sums are put in order by one window. `order` must be unique inside a group for a deterministic result.
     """
     value = F.lit(1).cast("bigint") if value is None else value
-    block = F.pmod(F.xxhash64(*(order if spread is None else [spread])), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(*order), F.lit(blocks)) if block is None else block
     placed = df.withColumn("_v", value).withColumn("_block", block)
     sums = placed.groupBy(*keys, "_block").agg(F.sum("_v").alias("_w"))
     start = F.sum("_w").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
