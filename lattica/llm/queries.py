@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.ids import whole_numbers
-from lattica.llm import idmap, setjoin, topn
+from lattica.llm import idmap, mixing, packing, setjoin, tokens, topn
 from lattica.session import cut, table
 
 
@@ -66,5 +66,32 @@ def p4_top5(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d, 5)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p3_found, p3_links, p4_found, p4_top5)}
+CAPACITY = 2048
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text, one row per piece."""
+    return packing.pack(_counted(spark, d), ["doc_id"], "n_tokens", CAPACITY)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are and how much of them is unused."""
+    return packing.fill_report(p7_containers(spark, d), CAPACITY)
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The selected documents in mixing order."""
+    return mixing.mix(cut(_counted(spark, d)), table(spark, d, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixing.mix(cut(_counted(spark, d)), table(spark, d, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p3_found, p3_links, p4_found, p4_top5, p7_containers, p7_fill, p8_selection, p8_shares)}
 SQL: dict[str, str] = {}
