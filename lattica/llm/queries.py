@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.ids import whole_numbers
-from lattica.llm import idmap, mixing, packing, setjoin, tokens, topn
+from lattica.llm import idmap, mixing, packing, pii, setjoin, tokens, topn
 from lattica.session import cut, table
 
 
@@ -93,5 +93,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(cut(_counted(spark, d)), table(spark, d, "mix_target"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p3_found, p3_links, p4_found, p4_top5, p7_containers, p7_fill, p8_selection, p8_shares)}
+def _read_people(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Field]:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs, pii.train(docs, "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, field = _read_people(spark, d)
+    return pii.find(docs, field).select("doc_id", "pii_kind", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return pii.redact(*_read_people(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p3_found, p3_links, p4_found, p4_top5, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_redacted)}
 SQL: dict[str, str] = {}
