@@ -239,9 +239,10 @@ def _pair_potential(y: np.ndarray, edges: np.ndarray, smooth: float = 20.0, damp
 
 #: Titles, salutations and sentence words that stand next to a name and are no part of it.
 BESIDE = frozenset(
-    "hi hello dear hola hallo bonjour dr prof mr mrs ms miss frau herr mme mlle m. sr sra dra don doña patient patiente donor le la el die the saludos regards "
+    "hi hello dear hola hallo bonjour dr prof mr mrs ms miss frau herr mme mlle sr sra dra don doña patient patiente donor le la el die the saludos regards "
     "bitte cordialement grüßen thanks best cc from to contact contacto kontakt bei les la los das der im in on at with and und et y".split()
 )
+_FAMILY_END = re.compile(rf"[A-Za-zÄÖÜäöüß]{{2,}}(?:{lex.ENDINGS})$", re.I)
 _RUN_BREAK = re.compile(r"[\n|;:]|  ")
 
 
@@ -252,6 +253,10 @@ def _names(text: str, pieces: list[tuple[str, int, int]]) -> Iterator[tuple[int,
         pieces = pieces[1:]
     while pieces and odd(pieces[-1]):
         pieces = pieces[:-1]
+    # what follows the family name of a name without a comma is the next sentence
+    ends = [bool(_FAMILY_END.search(text[a:b])) for _, a, b in pieces]
+    if any(ends) and all(text[a:b] != "," for _, a, b in pieces):
+        pieces = pieces[: len(ends) - ends[::-1].index(True)]
     commas = [i for i, (_, a, b) in enumerate(pieces) if text[a:b] == ","]
     if commas:
         left = pieces[: commas[0]]

@@ -26,12 +26,12 @@ _EMAIL = (
 )
 _ADDRESS = "|".join((
     rf"(?<![\w.,-])\d{{1,4}}(?:[ -]?[A-Za-z](?![\w]))?(?:[-–/]\d{{1,4}})?,? (?:{_CAP} ){{1,3}}(?i:{STREET_EN})(?!\w)",
-    rf"(?<![\w.,-])\d{{1,4}}(?: ?(?:bis|ter|[A-Za-z](?!\w)))?,? (?i:{STREET_FR}) (?:(?:de la|de l['’]|des|du|de|d['’]) ?)?{_CAP}(?: {_CAP})?",
-    rf"(?<!\w)(?:{_CAP} )?(?i:[a-zäöüß]+(?:{STREET_DE})),? \d{{1,4}}(?: ?[a-z](?!\w))?(?:[-–/]\d{{1,4}}(?: ?[a-z](?!\w))?)?(?!\w)",
+    rf"(?<![\w.,-])\d{{1,4}}(?: ?(?:(?i:bis|ter)|[A-Za-z](?!\w)))?,? (?i:{STREET_FR}) (?:(?:de la|de l['’]|des|du|de|d['’]) ?)?{_CAP}",
+    rf"(?<!\w)(?:{_CAP} )?(?i:[a-zäöüß]+(?:{STREET_DE})),? \d{{1,4}}(?: ?[A-Za-z](?!\w))?(?:[-–/]\d{{1,4}}(?: ?[A-Za-z](?!\w))?)?(?!\w)",
     rf"(?<!\w)(?:Am|Im|An der|Auf dem|Zum|Zur|AM|IM) {_CAP} \d{{1,4}}(?: ?[a-z](?!\w))?(?:[-–/]\d{{1,4}})?(?!\w)",
     rf"(?<!\w)(?i:{STREET_ES}) (?:(?i:de la|del|de los|de) )?{_CAP}(?: {_CAP})?,? (?:n\.?\s?º ?|N\.?\s?º ?|num\. ?|nº ?)?\d{{1,4}}(?: ?[a-z](?!\w))?(?!\w)",
 ))
-_IDENTITY = r"(?<![\w.+-])(?:\d{3}([-. ])\d{2}\1\d{4}|\d{4}-\d{4}-\d|[A-Z]{2}\d{7}|\d{6}[-A]?\d{3}[A-Z0-9]|(?i:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]))(?![\w-])"
+_IDENTITY = r"(?<![\w.+-])(?:\d{3}([-. ])\d{2}\1\d{4}|\d{4}-\d{4}-\d|[A-Z]{2}\d{7}|\d{6}[-+A]\d{3}[A-Z0-9]|(?i:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]))(?![\w-])"
 _PHONE = (
     r"(?<![\w.+/-])(?:(?:(?:\+|00)1[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}|1\d{10}"
     r"|(?:(?:\+|00)33[ .-]?(?:\(0\))?|0)\d(?:[ .]?\d{2}){4}"
