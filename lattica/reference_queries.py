@@ -38,7 +38,7 @@ def _chosen(spark: SparkSession, d: str) -> DataFrame:
 _LISTS = "lists as (select distinct lower(trim(source)) as list, gid as item from documents where source is not null and gid is not null)"
 _ANN = "ann as (select distinct go as term, item from (select go, cast(unnest(regexp_extract_all(coalesce(genes,''), '(\\d+)(?:\\.0*)?', 1)) as bigint) as item from term_annotation) where go is not null)"
 _NUM = "try_cast(nullif(regexp_extract({c}, '(\\d+)(?:\\.0*)?', 1), '') as bigint)"
-_EDGES = f"""raw as (select {_NUM.format(c="gene_a")} as x, {_NUM.format(c="gene_b")} as y, case when score_combined < 1e300 then score_combined else 0 end as s from interaction where interaction_type_id = 11),
+_EDGES = f"""raw as (select {_NUM.format(c="gene_a")} as x, {_NUM.format(c="gene_b")} as y, case when cast(score_combined as varchar) <> 'nan' then score_combined else 0 end as s from interaction where interaction_type_id = 11),
 edges as (select least(x, y) as a, greatest(x, y) as b, max(s) as score from raw where x is not null and y is not null group by 1, 2)"""
 _SYM = "sym as (select a as u, b as v, score from edges where a <> b union all select b, a, score from edges where a <> b)"
 _CHOSEN = f"{_LISTS}, chosen as (select item as node from lists where list = (select min(list) from lists))"
@@ -76,7 +76,7 @@ def list_membership(spark: SparkSession, d: str) -> DataFrame:
 def list_overlap(spark: SparkSession, d: str) -> DataFrame:
     held = cut(lists(spark, d))
     universe = held.select("item").distinct().count()
-    return enrichment.list_overlaps(held, universe).select("list_a", "list_b", "n_a", "n_b", "n_both", F.round("logp", 4).alias("logp"))
+    return enrichment.list_overlaps(held, universe).select("list_a", "list_b", "n_a", "n_b", "n_both", (F.round("logp", 4) + 0.0).alias("logp"))
 
 
 def _clustered_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _KEPT = f"{_TESTED}, kept as (select * from tested where logp <= log10(0.05))"
-_X = "(select ds as g, score_combined as x from interaction where ds is not null and score_combined is not null and score_combined < 1e300)"
+_X = "(select ds as g, score_combined as x from interaction where ds is not null and score_combined is not null and cast(score_combined as varchar) <> 'nan')"
 
 SQL = {
     "enrich_lists": f"{_KEPT} select list, term, n_overlap, n_term, n_list, n_total, round(enrichment, 4) as enrichment, round(z_score, 4) as z_score, round(logp, 4) as logp from kept",
@@ -267,7 +267,7 @@ SQL = {
  from items i cross join names n left join lists l on l.item = i.item and l.list = n.list group by 1""",
     "list_overlap": f"""with {_LISTS}, s as (select list, count(*) as n from lists group by 1), u as (select count(distinct item) as m from lists),
  p as (select a.list as list_a, b.list as list_b, count(*) as n_both from lists a join lists b on a.item = b.item and a.list < b.list group by 1, 2)
- select list_a, list_b, x.n as n_a, y.n as n_b, n_both, round(greatest(case when n_both <= greatest(0, x.n + y.n - m) then 0 else least(0, {_TAIL.format(x="n_both", n="m", n1="x.n", n2="y.n")}) end / ln(10), -100), 4) as logp
+ select list_a, list_b, x.n as n_a, y.n as n_b, n_both, round(greatest(case when n_both <= greatest(0, x.n + y.n - m) then 0 else least(0, {_TAIL.format(x="n_both", n="m", n1="x.n", n2="y.n")}) end / ln(10), -100), 4) + 0.0::double as logp
  from p join s x on x.list = list_a join s y on y.list = list_b, u""",
     "term_kappa": f"""{_KEPT}, best as (select term from kept group by 1 order by min(logp), max(enrichment) desc, term limit 2000), t as (select term, item from ann where term in (select term from best)),
  s as (select term, count(*) as n from t group by 1), u as (select count(distinct item)::double as m from t), p as (select a.term as term_a, b.term as term_b, count(*) as shared from t a join t b on a.item = b.item and a.term < b.term group by 1, 2),
@@ -288,20 +288,20 @@ SQL = {
     "nearest_ancestor": "select upper(trim(term_id)) as term, upper(trim(parent_term_id)) as ancestor, min(distance) as distance from term2term where trim(term_id) <> '' and trim(parent_term_id) <> '' group by 1, 2",
     "gene_text": f"""with {_ANN}, s as (select term, count(*) as n from ann group by 1), t as (select go as term, min(description) as description from term_annotation where description is not null group by 1),
  r as (select item, description, row_number() over (partition by item order by n, term) as r from ann join s using (term) join t using (term)) select item, string_agg(description, '; ' order by r) as text from r where r <= 3 group by 1""",
-    "melted_scores": """with c as (select ia_id, case when score_physical < 1e300 then score_physical end as p, case when score_combined < 1e300 then score_combined end as q from interaction)
+    "melted_scores": """with c as (select ia_id, case when cast(score_physical as varchar) <> 'nan' then score_physical end as p, case when cast(score_combined as varchar) <> 'nan' then score_combined end as q from interaction)
  select ia_id, 'score_physical' as variable, p as value from c where p is not null union all select ia_id, 'score_combined', q from c where q is not null union all select ia_id, null, null from c where p is null and q is null""",
     "category_pivot": """select list_name, round(coalesce(avg(logp) filter (categoryid = 3), 0), 6) as c3, round(coalesce(avg(logp) filter (categoryid = 5), 0), 6) as c5, round(coalesce(avg(logp) filter (categoryid = 11), 0), 6) as c11, round(coalesce(avg(logp) filter (categoryid = 19), 0), 6) as c19
- from go_result where logp is not null and logp < 1e300 and categoryid is not null group by 1""",
+ from go_result where logp is not null and cast(logp as varchar) <> 'nan' and categoryid is not null group by 1""",
     "unlisted_genes": f"select distinct gene from (select {_NUM.format(c='gene_a')} as gene from interaction union all select {_NUM.format(c='gene_b')} from interaction) where gene is not null and gene not in (select geneid from gene_catalogue where geneid is not null)",
     "list_fingerprint": f"with {_LISTS} select list, count(distinct item) as n, md5(string_agg(cast(item as varchar), ' ' order by cast(item as varchar))) as md5 from lists group by 1",
     "score_summary": f"select g as ds, count(x) as n, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as sd, round(sqrt(avg(x * x)), 6) as rms from {_X} group by 1",
     "score_mad": f"with r as {_X}, m as (select g, median(x) as md from r group by 1) select g as ds, round(median(abs(x - md)) * 1.4826, 6) as mad from r join m using (g) group by 1",
-    "enrichment_gini": """with r as (select categoryid, enrichment as x, row_number() over (partition by categoryid order by enrichment) as i, count(*) over (partition by categoryid) as n from go_result where categoryid is not null and enrichment is not null and enrichment < 1e300)
+    "enrichment_gini": """with r as (select categoryid, enrichment as x, row_number() over (partition by categoryid order by enrichment) as i, count(*) over (partition by categoryid) as n from go_result where categoryid is not null and enrichment is not null and cast(enrichment as varchar) <> 'nan')
  select categoryid, round((max(n) + 1 - 2 * sum((n + 1 - i) * x) / sum(x)) / max(n), 6) as gini from r group by 1""",
     "score_otsu": f"""with r as {_X}, s as (select g, min(x) as lo, max(x) as hi from r group by 1), h as (select g, lo, hi, cast(least(63, floor((x - lo) / ((hi - lo) / 64))) as int) as b, count(*) as c from r join s using (g) group by 1, 2, 3, 4),
  k as (select *, sum(c) over (partition by g order by b) as n0, sum(c * b) over (partition by g order by b) as s0, sum(c) over (partition by g) as n, sum(c * b) over (partition by g) as s from h),
  v as (select *, case when n0 < n then n0::double * (n - n0) * power(s0 / n0 - (s - s0) / (n - n0), 2) else 0 end as w from k) select g as ds, round(lo + (1 + b) * (hi - lo) / 64, 6) as threshold from v qualify row_number() over (partition by g order by w desc, b) = 1""",
-    "score_ranks": """with f as (select categoryid, z_score + 0.0::double as z_score, count(*) as c from go_result where categoryid is not null and z_score < 1e300 group by 1, 2)
+    "score_ranks": """with f as (select categoryid, z_score + 0.0::double as z_score, count(*) as c from go_result where categoryid is not null and cast(z_score as varchar) <> 'nan' group by 1, 2)
  select categoryid, z_score, c, cast(coalesce(sum(c) over (partition by categoryid order by z_score rows between unbounded preceding and 1 preceding), 0) as double) + (c + 1) / 2 as rank from f""",
     "score_z_factor": f"select round(1 - 3 * (stddev_pop(x) filter (g = 'legacy') + stddev_pop(x) filter (g = 'gridlink')) / abs(avg(x) filter (g = 'legacy') - avg(x) filter (g = 'gridlink')), 4) as z_factor from {_X}",
     "evidence_table": f"""{_KEPT}, {_EDGES}, chosen as (select item as node from lists where list = (select min(list) from lists)), net as (select * from edges where a in (select node from chosen) and b in (select node from chosen)),
