@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-The total is the largest at which every source that has records keeps its share without any record being repeated
-more than its cap; sources without records, and target weights of zero, are left out and the other weights scaled up. Slots of
+The total is the largest at which the sources that cannot fill their share, with every record repeated up to its cap, miss
+at most `max_shortfall` of it together (0 keeps every share exact and lets the scarcest source bound the total); actual shares are
+reported. Sources without records, and target weights of zero, are left out and the other weights scaled up. Slots of
 `block_tokens` tokens are numbered; slot i goes to the source in whose part of the cumulative weights the van der Corput point
 of i falls, so every stretch of slots has nearly the target shares. A slot's rank among its source's slots names a block of
 that source's records, shuffled by hash anew for every repetition and cut by running token sums. A record belongs to the block in
@@ -24,6 +25,7 @@ from lattica.operators.ranks import grouped_prefix
 from lattica.session import cut
 
 BLOCK_TOKENS = 512
+MAX_SHORTFALL = 0.02
 SLOTS_PER_CHUNK = 1 << 16
 
 
@@ -47,7 +49,20 @@ def schedule(df: DataFrame, weights: list[float], slots: int) -> DataFrame:
     return grouped_prefix(drawn, ["source_no"], ["slot"], name="block", block=chunk)
 
 
-def mix(records: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def largest_total(parts: list[tuple[float, float]], max_shortfall: float) -> float:
+    """Largest T with sum(max(0, w * T - cap)) <= max_shortfall * T over (w, cap); the weights sum to 1."""
+    parts = sorted(parts, key=lambda p: p[1] / p[0])
+    short_w = short_cap = 0.0
+    for i, (w, cap) in enumerate(parts):
+        short_w, short_cap = short_w + w, short_cap + cap
+        if short_w > max_shortfall:
+            total = short_cap / (short_w - max_shortfall)
+            if i + 1 == len(parts) or total <= parts[i + 1][1] / parts[i + 1][0]:
+                return max(total, cap / w)
+    return short_cap
+
+
+def mix(records: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0, max_shortfall: float = MAX_SHORTFALL) -> tuple[DataFrame, DataFrame]:
     """(selection, shares) of records (doc_id, source, n_tokens) and targets (source, target_weight, max_repeat).
 
     selection: (slot, source, doc_id, repetition, n_tokens); shares: (source, target_weight, max_repeat, n_records,
@@ -61,7 +76,7 @@ def mix(records: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
     rows = sorted(supply.collect(), key=lambda r: r.source)  # one row per listed source
     usable = [r for r in rows if r.available_tokens and (r.target_weight or 0) > 0 and (r.max_repeat or 0) > 0]
     scale = sum(r.target_weight for r in usable)
-    total = min((r.max_repeat * r.available_tokens * scale / r.target_weight for r in usable), default=0)
+    total = largest_total([(r.target_weight / scale, float(r.max_repeat * r.available_tokens)) for r in usable], max_shortfall) if usable else 0
     slots = int(total // block_tokens)
     if not slots:
         empty = spark.createDataFrame([], "slot bigint, source string, doc_id bigint, repetition int, n_tokens int")
