@@ -93,3 +93,26 @@ def p6_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_genes, p2_percentiles, p5_found, p5_hierarchy, p6_found, p6_counts, p6_state)}
+
+_NUM = "try_cast(nullif(regexp_extract({0}, '(\\d+)(?:\\.0*)?', 1), '') as bigint)"
+_ENDS = f"ends as (select {_NUM.format('gene_a')} as a, {_NUM.format('gene_b')} as b, case when cast(score_combined as varchar) <> 'nan' then score_combined end as s, loaded_at, ia_id from interaction)"
+_SIDES = f"{_ENDS}, sides as (select a as k, b as v, s from ends where a is not null union all select b, a, s from ends where b is not null and a is distinct from b)"
+_LINKS = """links as (select distinct t, c, p from (select 'term2term' as t, nullif(upper(trim(term_id)), '') as c, nullif(upper(trim(parent_term_id)), '') as p, distance from term2term
+ union all select 'e_go2go', nullif(upper(trim(child_go_id)), ''), nullif(upper(trim(parent_go_id)), ''), distance from e_go2go) where distance = 1 and c is not null and p is not null)"""
+_REFS = f"""{_ENDS}, refs as (select 'interaction' as ref_table, 'gene_a' as ref_field, ia_id as ref_row, a as k, loaded_at from ends union all select 'interaction', 'gene_b', ia_id, b, loaded_at from ends
+ union all select 'gid2source_id', 'gid', map_id, gid, loaded_at from gid2source_id),
+orphans as (select * from refs where k is not null and not exists (select 1 from gene_catalogue g where g.geneid = k and g.listed_at <= refs.loaded_at and (g.withdrawn_at is null or refs.loaded_at < g.withdrawn_at)))"""
+
+SQL = {
+    "p2_found": f"with {_SIDES} select k as geneid from sides group by 1 having count(*) >= 0.01 * (select count(*) from interaction)",
+    "p2_genes": f"""with {_SIDES}, f as (select k, v, count(*) as n from sides group by 1, 2), m as (select k, v, n from f where v is not null qualify row_number() over (partition by k order by n desc, v) = 1)
+ select x.k as geneid, x.n as n_rows, x.d as n_partners, m.v as top_partner, m.n as top_partner_rows, round(x.s, 3) as score_sum from (select k, count(*) as n, count(distinct v) as d, sum(s) as s from sides group by 1) x left join m on m.k = x.k""",
+    "p2_percentiles": f"""with {_SIDES}, o as (select k, s, row_number() over (partition by k order by s) as i, count(*) over (partition by k) as n from sides where s is not null)
+ select k as geneid, f.fraction, min(s) as score from o, (select unnest([0.5::double, 0.9::double]) as fraction) f where i >= greatest(1, ceil(f.fraction * n)) group by 1, 2""",
+    "p5_found": f"""with recursive {_LINKS}, reach as (select t, c as s, p as n from links union select reach.t, s, p from reach join links on links.t = reach.t and links.c = reach.n)
+ select distinct t as link_table, s as term_id from reach where s = n""",
+    "p6_found": f"with {_REFS} select ref_table, ref_field, ref_row from orphans",
+    "p6_counts": f"with {_REFS} select ref_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m') as period, count(*) as n_orphans, count(distinct k) as n_keys from orphans group by 1, 2, 3",
+    "p6_state": f"""with {_REFS}, e as (select geneid, sum(1 - case when withdrawn_at is not null then 1 else 0 end) as x from gene_catalogue where geneid is not null and listed_at is not null and (withdrawn_at is null or withdrawn_at > listed_at) group by 1)
+ select k as geneid, count(*) as n_references from refs left join e on e.geneid = k where k is not null group by 1 having coalesce(max(x), 0) <= 0""",
+}
