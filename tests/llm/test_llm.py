@@ -110,9 +110,9 @@ def test_pack(spark):
     for i, s in enumerate(sizes):
         assert sum(r.n_tokens for r in by[i]) == (s or 0) and len(by[i]) == max(1, -(-(s or 0) // 100))
         assert (by[i][0].container is None) == (not s)
-    assert sum(load.values()) / (100 * len(load)) > 0.9
+    # few buckets pad a lot; the default number does not
     report = packing.fill_report(packing.pack(df, ["doc_id"], "n", 100), 100).first()
-    assert report.overfull == 0 and report.n_tokens == sum(s or 0 for s in sizes)
+    assert report.overfull == 0 and report.n_tokens == sum(s or 0 for s in sizes) and report.unused_share < 0.02
     assert packing.pack(df.limit(0), ["doc_id"], "n", 100).count() == 0
 
 
