@@ -57,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than moving the rows.
+
+    A scan of many splits stays as it is; only an input of few splits, such as one small file, is moved.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def row_bytes(df: DataFrame) -> int:
     """Bound on a row's bytes by its fixed-width columns; strings count as 64, arrays as 256."""
     width = {"bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "int": 4, "date": 4, "boolean": 1}
