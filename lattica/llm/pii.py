@@ -9,7 +9,7 @@ family name with a given name or initials.
 The field is fitted on at most `train_docs` documents (with a rough cue of mail, numbers or titles first), labelled by rules: the node potentials
 as a softmax regression over hashed word, affix, shape and neighbour features, the edge potentials from smoothed counts of label pairs
 (piecewise training). The weights, a few MB whatever the table's size, are broadcast. Every document is labelled whole,
-in Arrow batches; there is no shuffle.
+in Arrow batches; there is no shuffle, unless the input has fewer splits than there are cores.
 
 Null and empty texts hold nothing. Repeated documents give their own rows; a value that occurs twice in a document is one row
 of `found`. Offsets are in characters.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import pii_lexer as lex
+from lattica.session import spread
 
 TRAIN_DOCS = 3000
 #: Rough cue for documents worth labelling by rules in the training sample.
@@ -342,7 +343,7 @@ def _run(df: DataFrame, field: Field, doc_id: str, text: str, schema: str, rows)
                 texts = [t if isinstance(t, str) else None for t in part["text"]]
                 yield rows(part["doc_id"].tolist(), texts, label_texts(mine, texts, lexicon))
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(work, schema)
+    return spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(work, schema)
 
 
 def find(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

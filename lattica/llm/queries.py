@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.ids import whole_numbers
 from lattica.llm import idmap, mixing, packing, pii, setjoin, tokens, topn
-from lattica.session import cut, table
+from lattica.session import cut, spread, table
 
 
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +70,7 @@ CAPACITY = 2048
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
