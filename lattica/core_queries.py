@@ -9,7 +9,7 @@ from lattica.functions.ids import term_key, whole_number
 from lattica.operators import compress as C
 from lattica.operators import hierarchy as H
 from lattica.operators import orphans as O
-from lattica.session import table
+from lattica.session import cut, table
 
 HOT_SHARE = 0.01
 
@@ -55,11 +55,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, root and nested-set range of every term; terms on or below a closed chain are told by status."""
+    """Path, depth, root and nested-set range of every term; terms on or below a closed chain are told by status.
+
+    n_in_tree is the length of the range; n_descendants counts every term from which the term is reached over direct links, and n_ancestors the reverse.
+    """
     strip = lambda c: F.expr(f"substring({c}, instr({c}, '|') + 1)").alias(c)
-    facts = H.hierarchy(*_links(spark, d))
+    links, nodes = map(cut, _links(spark, d))
+    placed = H.forest(links, nodes)
+    pairs = cut(H.reachable(links, placed))
+    for side in ("ancestor", "descendant"):
+        counts = pairs.groupBy(F.col("descendant" if side == "ancestor" else "ancestor").alias("id")).agg(F.count(F.lit(1)).alias(f"n_{side}s"))
+        nodes = nodes.join(counts, "id", "left")
+    facts = H.hierarchy(links, nodes.select("id"), placed=placed).join(nodes.na.fill(0, ["n_ancestors", "n_descendants"]), "id")
     facts = facts.withColumn("path", F.regexp_replace("path", r"(term2term|e_go2go)\|", ""))
-    return _split(facts, strip("parent"), "status", "depth", strip("root"), "path", "pre", (F.col("size") - 1).alias("n_descendants"), "n_links_up")
+    return _split(facts, strip("parent"), "status", "depth", strip("root"), "path", "pre", (F.col("size") - 1).alias("n_in_tree"), "n_descendants", "n_ancestors", "n_links_up")
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every term with every other term that reaches it over direct links of its table, through any parent."""
+    links, nodes = map(cut, _links(spark, d))
+    pairs = H.reachable(links, H.forest(links, nodes))
+    return _split(pairs.withColumnRenamed("ancestor", "id"), F.expr("substring(descendant, instr(descendant, '|') + 1)").alias("descendant_id"))
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +108,7 @@ def p6_state(spark: SparkSession, d: str) -> DataFrame:
     return O.orphan_report(O.apply_deltas(state, refs)).select(F.col("key").alias("geneid"), F.col("refs").alias("n_references"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_genes, p2_percentiles, p5_found, p5_hierarchy, p6_found, p6_counts, p6_state)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_genes, p2_percentiles, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_counts, p6_state)}
 
 _NUM = "try_cast(nullif(regexp_extract({0}, '(\\d+)(?:\\.0*)?', 1), '') as bigint)"
 _ENDS = f"ends as (select {_NUM.format('gene_a')} as a, {_NUM.format('gene_b')} as b, case when cast(score_combined as varchar) <> 'nan' then score_combined end as s, loaded_at, ia_id from interaction)"

@@ -4,7 +4,8 @@ Trees are climbed by pointer doubling, so the number of rounds is the logarithm
 each round is one equi-join, cut in the shared checkpoint folder. Subtree sizes are summed upward with the same
 jumps (a node at distance 2^k below another hands up what lies less than 2^k below itself), sibling ranges come from
 prefix sums, and preorder numbers are the offsets summed downward along the path. Nodes that the climb never
-finishes are the unprocessed ones: they lie on, or hang below, a closed chain.
+finishes are the unprocessed ones: they lie on, or hang below, a closed chain. What is reached through second parents is added
+by closing the small graph of the nodes that have them.
 
 Links with a null or empty side are no links, but the other side is still a node. Repeated links are one.
 """
@@ -140,40 +141,108 @@ def closed_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return pure.unionByName(marked).distinct()
 
 
-def hierarchy(links: DataFrame, nodes: DataFrame, separator: str = " > ", on_chain: DataFrame | None = None) -> DataFrame:
-    """(id, parent, status, depth, root, path, pre, size, n_links_up): nested sets over each node's first parent.
+def _spared(links: DataFrame, stuck: DataFrame, free: DataFrame) -> DataFrame:
+    """(id, parent) for the ids of stuck that lead, over ids of stuck, to an id of free; each round takes those next to what is free."""
+    up = cut(links.join(stuck.withColumnRenamed("id", "child"), "child", "left_semi"))
+    free, parts = free.select(F.col("id").alias("parent")), []
+    while True:
+        step = cut(up.join(free, "parent", "left_semi").groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent")))
+        parts.append(step)
+        if not step.limit(1).count():
+            return cut(reduce(DataFrame.unionByName, parts))
+        up = cut(up.join(step.select(F.col("id").alias("child")), "child", "left_anti"))
+        free = step.select(F.col("id").alias("parent"))
+
+
+def forest(links: DataFrame, nodes: DataFrame, on_chain: DataFrame | None = None) -> DataFrame:
+    """(id, parent, ptr, n_links_up, on_chain, meets, hangs, end, jumps, depth, up): every node in the tree of its first parent.
 
-    A node with several parents hangs in the tree of its smallest one that is on no closed chain; its other links
-    are counted in n_links_up and kept for `descendants`. Ancestors and descendants are range tests: d is in the tree below a
-    exactly if a.pre < d.pre < a.pre + a.size. status is 'tree', 'on_chain' or 'below_chain'; the last two have
-    no depth, root, path or range. Roots have depth 0.
+    The first parent is one with a way to a root that meets no closed chain, else one with any way to a root, else one that is on no
+    closed chain; the smallest of its kind goes first, but a smaller one off every chain is kept where its own way is as good. Nodes without a way to a root hang (hangs) below
+    nodes of a closed chain that have no ptr. up is the way from end to id, both included; meets tells that a closed chain is on it.
     """
     chain = (closed_chains(links, nodes) if on_chain is None else on_chain).select(F.col("id").alias("c_id"))
     flagged = links.join(chain, F.col("parent") == F.col("c_id"), "left").select("child", "parent", F.col("c_id").isNotNull().alias("bad"))
-    first = flagged.groupBy("child").agg(F.min(F.struct("bad", "parent")).alias("p"), F.count(F.lit(1)).alias("n_links_up")).select("child", F.col("p.parent").alias("ptr"), "n_links_up")
-    base = cut(nodes.join(first, F.col("id") == F.col("child"), "left").select("id", "ptr", F.coalesce("n_links_up", F.lit(0)).alias("n_links_up")))
-    done, unprocessed = climb(base.select("id", "ptr", F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("path")), {"depth": lambda me, up: up + me + 1, "path": lambda me, up: F.concat(up, F.lit(separator), me)})
-    done = cut(done)
+    first = flagged.groupBy("child").agg(F.min(F.struct("bad", "parent")).alias("p"), F.count(F.lit(1)).alias("n_links_up"))
+    told = nodes.join(first, F.col("id") == F.col("child"), "left").join(chain, F.col("id") == F.col("c_id"), "left").withColumn("on_chain", F.col("c_id").isNotNull())
+    # a node of a chain points off its chain or nowhere, so no way goes round
+    base = cut(told.select("id", F.col("p.parent").alias("parent"), F.when(~(F.col("on_chain") & F.col("p.bad")), F.col("p.parent")).alias("ptr"), F.coalesce("n_links_up", F.lit(0)).alias("n_links_up"), "on_chain"))
+    ends = base.filter("on_chain").select(F.col("id").alias("e_id"))
+
+    def place(base: DataFrame) -> DataFrame:
+        start = base.select("id", "ptr", F.lit(0).cast("bigint").alias("depth"), F.array("id").alias("up"), F.col("on_chain").alias("meets"))
+        done, _ = climb(start, {"depth": lambda me, up: up + me + 1, "up": lambda me, up: F.concat(up, me), "meets": lambda me, up: me | up})
+        return cut(base.join(done, "id").join(ends, F.col("end") == F.col("e_id"), "left").withColumn("hangs", F.col("e_id").isNotNull()).drop("e_id"))
+
+    placed = place(base)
+    if not placed.filter("meets").limit(1).count():
+        return placed
+    clear = _spared(links, placed.filter("meets and not on_chain").select("id"), placed.filter("not meets").select("id"))
+    stuck = cut(placed.filter("hangs").select("id").join(clear, "id", "left_anti"))
+    ways = placed.filter("not hangs").select("id").unionByName(clear.select("id"))
+    new = clear.unionByName(_spared(links, stuck, ways)).select(F.col("id").alias("s_id"), F.col("parent").alias("s_parent"))
+    moved = base.join(new, F.col("id") == F.col("s_id"), "left")
+    return place(cut(moved.select("id", F.coalesce("s_parent", "parent").alias("parent"), F.coalesce("s_parent", "ptr").alias("ptr"), "n_links_up", "on_chain")))
+
+
+def hierarchy(links: DataFrame, nodes: DataFrame, separator: str = " > ", on_chain: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
+    """(id, parent, status, depth, root, path, pre, size, n_links_up): nested sets over each node's first parent.
+
+    A node with several parents hangs in the tree of its first one (see `forest`, whose result may be given as placed); its other links are counted in
+    n_links_up, and what is reached through them is in `reachable`, not in the ranges. d is in the tree below a
+    exactly if a.pre < d.pre < a.pre + a.size. status is 'tree', 'on_chain' or 'below_chain' (no way to
+    a root at all); the last two have no depth, root, path or range. A path holds nodes of a closed chain only where no way without them exists. Roots have depth 0.
+    """
+    placed = forest(links, nodes, on_chain) if placed is None else placed
+    done = cut(placed.filter("not hangs"))
     rounds = done.agg(F.max(F.size("jumps"))).first()[0] or 0
     sizes = cut(done.select("id", "jumps", F.lit(1).cast("bigint").alias("size")))
     for k in range(rounds):
         below = sizes.filter(F.size("jumps") > k).groupBy(F.get("jumps", F.lit(k)).alias("b_id")).agg(F.sum("size").alias("more"))
         sizes = cut(sizes.join(below, F.col("id") == F.col("b_id"), "left").select("id", "jumps", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-    tree = cut(base.join(sizes.select("id", "size"), "id"))
+    tree = cut(done.select("id", "ptr").join(sizes.select("id", "size"), "id"))
     # what lies before a node among its siblings, or before its tree among the trees
     ordered = grouped_prefix(tree.filter("ptr is not null"), ["ptr"], ["id"], F.col("size")).withColumn("offset", F.col("before") + 1)
     roots = grouped_prefix(tree.filter("ptr is null").withColumn("one", F.lit(1)), ["one"], ["id"], F.col("size")).withColumn("offset", F.col("before"))
     offsets = ordered.select("id", "ptr", "offset").unionByName(roots.select("id", "ptr", "offset"))
     pre, _ = climb(offsets, {"offset": lambda me, up: me + up})
-    facts = done.select("id", "depth", F.col("end").alias("root"), "path").join(pre.select("id", F.col("offset").alias("pre")), "id").join(sizes.select("id", "size"), "id")
-    told = base.join(facts, "id", "left").join(chain, F.col("id") == F.col("c_id"), "left")
-    status = F.when(F.col("c_id").isNotNull(), "on_chain").when(F.col("pre").isNull(), "below_chain").otherwise("tree")
-    tree_only = lambda c: F.when(status == "tree", F.col(c)).alias(c)
-    return told.select("id", F.col("ptr").alias("parent"), status.alias("status"), *map(tree_only, ("depth", "root", "path", "pre", "size")), "n_links_up")
+    facts = done.select("id", "depth", F.col("end").alias("root"), F.array_join("up", separator).alias("path")).join(pre.select("id", F.col("offset").alias("pre")), "id").join(sizes.select("id", "size"), "id")
+    status = F.when(F.col("on_chain"), "on_chain").when(F.col("hangs"), "below_chain").otherwise("tree")
+    tree_only = lambda c: F.when(F.col("status") == "tree", F.col(c)).alias(c)
+    return placed.select("id", "parent", status.alias("status"), "n_links_up").join(facts, "id", "left").select("id", "parent", "status", *map(tree_only, ("depth", "root", "path", "pre", "size")), "n_links_up")
+
+
+def reachable(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """(ancestor, descendant), distinct: every other node that is reached over one or more links, second parents and closed chains included.
+
+    placed is `forest`. A way up follows the tree, or leaves it by a link that is not a first one. The nodes that have such links (doors) are few: each
+    door is joined to the next door on its own way up and on the ways up of its other parents, that small graph is closed by doubling, and
+    a node reaches what its way up holds and what the nearest door on it reaches.
+    """
+    ways = cut(placed.select("id", F.posexplode("up").alias("pos", "over")))
+    other = cut(links.join(placed.select(F.col("id").alias("child"), F.col("ptr").alias("parent")).filter("parent is not null"), ["child", "parent"], "left_anti"))
+    doors = cut(other.select(F.col("child").alias("door")).distinct())
+    met = cut(ways.join(doors, F.col("over") == F.col("door"), "left_semi"))
+    near = cut(met.groupBy("id").agg(F.max_by("over", "pos").alias("door")))
+    # the next door strictly above a door, and the nearest on or above each of its other parents
+    own = met.join(doors, F.col("id") == F.col("door"), "left_semi").filter("over <> id").groupBy("id").agg(F.max_by("over", "pos").alias("to")).select(F.col("id").alias("door"), "to")
+    beyond = other.join(near.select(F.col("id").alias("parent"), F.col("door").alias("to")), "parent").select(F.col("child").alias("door"), "to")
+    closed = cut(doors.select("door", F.col("door").alias("to")).unionByName(own).unionByName(beyond).distinct())
+    n = closed.count()
+    while n:
+        closed = cut(closed.join(closed.select(F.col("door").alias("to"), F.col("to").alias("far")), "to").select("door", F.col("far").alias("to")).distinct())
+        now = closed.count()
+        if now == n:
+            break
+        n = now
+    parents = closed.join(other.select(F.col("child").alias("to"), "parent"), "to").select("door", F.col("parent").alias("id")).distinct()
+    held = cut(parents.join(ways.select("id", "over"), "id").select("door", F.col("over").alias("ancestor")).distinct())
+    through = near.join(held, "door").select("ancestor", F.col("id").alias("descendant"))
+    return ways.select(F.col("over").alias("ancestor"), F.col("id").alias("descendant")).unionByName(through).filter("ancestor <> descendant").distinct()
 
 
 def descendants(facts: DataFrame, of: DataFrame, bucket: int = 256) -> DataFrame:
-    """(ancestor, descendant) in the trees for the ids of `of`, by range join on preorder buckets.
+    """(ancestor, descendant) in the trees of first parents for the ids of `of`, by range join on preorder buckets; `reachable` has all links.
 
     The output is one row per pair, as long as the answer itself. An ancestor meets only the preorder buckets of its own range.
     """

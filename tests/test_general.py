@@ -114,6 +114,39 @@ def test_hierarchy(spark):
     assert below == sorted((a, y) for a in ("n000", "x0") for y in tree if a in path(y)[:-1])
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_reachable_over_all_links(spark, seed):
+    rng = random.Random(seed)
+    links = [(f"n{i:02}", f"n{rng.randrange(i):02}") for i in range(1, 50)] + [(f"n{i:02}", f"n{rng.randrange(i):02}") for i in rng.sample(range(1, 50), 12)]
+    links += [("c1", "c2"), ("c2", "c1"), ("c2", "n05"), ("n40", "c1"), ("self", "self"), ("h1", "c1"), ("h2", "h1"), ("h2", "n03"), ("h3", "h2"), ("h4", "h1")]
+    up = defaultdict(set)
+    for c, p in links:
+        up[c].add(p)
+
+    def over(x, skip=()):
+        seen, todo = set(), [x]
+        while todo:
+            for y in up[todo.pop()] - seen - set(skip):
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    ids = {x for link in links for x in link}
+    on, roots = brute_chains(links), {x for x in ids if not up[x]}
+    edges, nodes = H.clean_links(spark.createDataFrame(links, "child string, parent string"), F.col("child"), F.col("parent"))
+    placed = H.forest(edges, nodes)
+    assert rows(H.reachable(edges, placed)) == sorted((a, x) for x in ids for a in over(x) if a != x)
+    got = {r.id: r for r in H.hierarchy(edges, nodes, placed=placed).collect()}
+    assert {x for x in ids if got[x].status == "tree"} == {x for x in ids - on if (over(x) | {x}) & roots}
+    # a path meets a chain only if no way to a root is free of chains, though the smallest parent hangs below one
+    for x in ids:
+        if got[x].status == "tree":
+            path = got[x].path.split(" > ")
+            assert path[0] in roots and path[-1] == x and all(p in up[c] for p, c in zip(path, path[1:], strict=False))
+            assert bool(set(path) & on) != bool((over(x, on) | {x}) & roots)
+    assert got["h2"].path.endswith("n03 > h2") and got["n40"].status != "below_chain"
+
+
 def test_empty_hierarchy(spark):
     empty = spark.createDataFrame([], "child string, parent string")
     assert H.hierarchy(*H.clean_links(empty, F.col("child"), F.col("parent"))).count() == 0
