@@ -25,6 +25,11 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, columns: Sequence[
     return df.groupBy(row).pivot(col, list(columns)).agg(F.avg(value)).na.fill(0.0)
 
 
+def mean_cells(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
+    """(row, col, n, mean): the present cells of the pivot over all values of col, however many there are."""
+    return df.groupBy(row, col).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
 def minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of a whose key is not in b, order and repeats kept; a null key is in nothing."""
     return a.join(b.select(key).dropna().distinct(), key, "left_anti")

@@ -191,6 +191,12 @@ def category_pivot(spark: SparkSession, d: str) -> DataFrame:
     return r.select("list_name", *[F.round(c, 6).alias(f"c{c}") for c in ("3", "5", "11", "19")])
 
 
+def category_means(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of the pivot over every category of the table, in long form; category_pivot has the four columns that its SQL names."""
+    df = table(spark, d, "go_result").filter("logp is not null and not isnan(logp) and categoryid is not null")
+    return reshape.mean_cells(df, "list_name", "categoryid", "logp").withColumn("mean", F.round("mean", 6))
+
+
 def unlisted_genes(spark: SparkSession, d: str) -> DataFrame:
     ia = table(spark, d, "interaction")
     a = ia.select(F.explode(F.array(whole_number(F.col("gene_a")), whole_number(F.col("gene_b")))).alias("gene")).dropna().distinct()
@@ -248,7 +254,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     enrich_lists, adjusted_p, list_membership, list_overlap, term_kappa, term_clusters, cluster_representatives, merged_terms, rank_enrichment, node_degree, network_density, sub_network,
     hop_distance, over_connected, indirect_links, k_core, network_components, strong_modules, propagated_scores, id_conversion, nearest_ancestor, gene_text, gene_profile, melted_scores,
-    category_pivot, unlisted_genes, list_fingerprint, score_summary, score_mad, enrichment_gini, score_otsu, score_ranks, score_tests, score_z_factor, evidence_table, event_windows,
+    category_pivot, category_means, unlisted_genes, list_fingerprint, score_summary, score_mad, enrichment_gini, score_otsu, score_ranks, score_tests, score_z_factor, evidence_table, event_windows,
 )}
 
 _KEPT = f"{_TESTED}, kept as (select * from tested where logp <= log10(0.05))"

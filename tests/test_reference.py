@@ -114,6 +114,19 @@ def test_reshape_and_identifiers(spark):
     assert {r.input: r.gene for r in got.collect()} == {"ab.1-x": 7, "ab": 3}
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the small tables")
+def test_category_means_hold_every_row(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    used = spark.read.parquet(f"{d}/go_result.parquet").filter("logp is not null and not isnan(logp) and categoryid is not null")
+    got = e.queries()["category_means"](spark, d).collect()
+    assert {r.categoryid for r in got} == {r[0] for r in used.select("categoryid").distinct().collect()} > {3, 5, 11, 19}
+    assert sum(r.n for r in got) == used.count()
+    pivot = {r.list_name: r for r in e.queries()["category_pivot"](spark, d).collect()}
+    assert all(r.mean == pytest.approx(pivot[r.list_name][f"c{r.categoryid}"], abs=1e-6) for r in got if r.categoryid in (3, 5, 11, 19))
+
+
 def test_evidence(spark):
     rng = random.Random(5)
     rows = [(float(a), float(b), int(rng.random() < (0.8 if a else 0.2))) for a in (0, 1) for b in (0, 1) for _ in range(50)]
