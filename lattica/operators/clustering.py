@@ -1,17 +1,22 @@
-"""Average linkage over a bounded set (terms chosen for clustering, arrays of a study) and what is read off its tree.
+"""Average linkage, whole over a bounded set (arrays of a study) or down to a cut over any number of terms, and what is read off it.
 
-A linkage needs all distances of its set at once, so the set's size is checked against MAX_LEAVES before it is gathered into one task;
-this mirrors the cap on terms that are clustered and is no cap on the data.
+A whole tree needs all distances of its set at once, so `cluster_terms` checks the set's size against MAX_LEAVES and refuses a larger one. `group_terms` needs
+only the pairs that are listed and takes every term.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lattica.operators.network import components
+from lattica.session import cut, maybe_broadcast
+
 MAX_LEAVES = 2000
 
 
@@ -92,6 +97,55 @@ def cluster_terms(terms: DataFrame, pairs: DataFrame, similarity: float = 0.3) -
     return rows.groupBy("k").applyInPandas(run, "term string, cluster int, leaf_order int")
 
 
+def linked_groups(pairs: list[tuple[str, str, float]], similarity: float) -> dict[str, str]:
+    """The first name of its group for each name: average linkage of listed pairs (others have similarity 0), merged while the mean is at least `similarity`.
+
+    Only sums of listed similarities are held, so the work follows the pairs. Ties join the smaller names, as in average_linkage.
+    """
+    near: dict[str, dict[str, float]] = {}
+    for a, b, s in pairs:
+        near.setdefault(a, {})[b] = s
+        near.setdefault(b, {})[a] = s
+    size, first = dict.fromkeys(near, 1), {x: x for x in near}
+    heap = [(-s, *sorted((a, b))) for a, b, s in pairs if s >= similarity - 1e-12]
+    heapq.heapify(heap)
+    while heap:
+        s, a, b = heapq.heappop(heap)
+        if a not in near or b not in near[a] or -s != near[a][b] / (size[a] * size[b]):
+            continue  # one of the two has grown or gone since
+        for x, t in near.pop(b).items():
+            del near[x][b]
+            if x != a:
+                near[a][x] = near[x][a] = near[a].get(x, 0.0) + t
+        size[a] += size.pop(b)
+        first[b] = a
+        for x, t in near[a].items():
+            if (mean := t / (size[a] * size[x])) >= similarity - 1e-12:
+                heapq.heappush(heap, (-mean, *sorted((a, x))))
+    for x in sorted(first):  # a group's first name is smaller than the others, so it is settled before them
+        first[x] = first[first[x]]
+    return first
+
+
+def group_terms(terms: DataFrame, pairs: DataFrame, similarity: float = 0.3) -> DataFrame:
+    """(term, cluster): the groups of cluster_terms for any number of terms; cluster is the group's first term.
+
+    Two groups merge only if their mean similarity reaches the cut, so some pair between them does: each connected component of such pairs is
+    linked for itself, over all its listed pairs, and a task holds the pairs of one component. similarity must be above 0.
+    """
+    pairs = pairs.select(F.col("term_a").alias("a"), F.col("term_b").alias("b"), F.col("kappa").alias("score"))
+    comp = cut(components(pairs.filter(F.col("score") >= similarity - 1e-12)))
+    ends = [comp.select(F.col("node").alias(x), F.col("component").alias(c)) for x, c in (("a", "component"), ("b", "other"))]
+    inside = pairs.join(ends[0], "a").join(ends[1], "b").filter("component = other").select("component", "a", "b", "score")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = linked_groups(list(pdf[["a", "b", "score"]].itertuples(index=False, name=None)), similarity)
+        return pd.DataFrame({"term": list(first), "cluster": list(first.values())}, columns=["term", "cluster"])
+
+    linked = inside.groupBy("component").applyInPandas(run, "term string, cluster string")
+    return terms.select("term").distinct().join(linked, "term", "left").select("term", F.coalesce("cluster", "term").alias("cluster"))
+
+
 def cluster_heads(results: DataFrame, clusters: DataFrame) -> DataFrame:
     """results with cluster renumbered by best logp, and flags for the first row by logp and the best values per cluster."""
     met = results.join(clusters.select("term", "cluster"), "term")
@@ -99,7 +153,7 @@ def cluster_heads(results: DataFrame, clusters: DataFrame) -> DataFrame:
     best = met.groupBy("cluster").agg(F.min(F.struct("logp", (-F.col("enrichment")).alias("e"), "term")).alias("m"), F.max("enrichment").alias("best_enrichment"))
     ranked = best.select(F.col("cluster").alias("_c"), "best_enrichment", F.row_number().over(W.orderBy("m")).alias("group_id"))
     first = F.row_number().over(W.partitionBy("cluster").orderBy(*order))
-    return met.join(F.broadcast(ranked), F.col("cluster") == F.col("_c")).withColumn("first_in_group", (first == 1).cast("int")).drop("_c", "cluster")
+    return met.join(maybe_broadcast(ranked), F.col("cluster") == F.col("_c")).withColumn("first_in_group", (first == 1).cast("int")).drop("_c", "cluster")
 
 
 def representatives(results: DataFrame, per_cluster: int, max_clusters: int) -> DataFrame:

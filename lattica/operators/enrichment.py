@@ -115,7 +115,7 @@ def list_overlaps(lists: DataFrame, universe: int) -> DataFrame:
 def term_kappa(annotation: DataFrame, terms: DataFrame) -> DataFrame:
     """(term_a, term_b, shared, kappa, max_share) of chosen terms that share an item; n is the number of their items.
 
-    `terms` is a bounded choice (the reference's term clustering takes the best 2,000), so the pairs are bounded too.
+    `terms` may be all terms or a choice; the pairs are as many as share an item.
     """
     ann = clean_pairs(annotation, "term", "item").join(terms.select("term").distinct(), "term", "left_semi")
     sizes = maybe_broadcast(ann.groupBy("term").agg(F.count("item").alias("n")))

@@ -80,9 +80,8 @@ def list_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clustered_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The 2,000 terms with the best p over all lists: the size of a term clustering is a parameter of the operator."""
-    best = enrichment.merge_lists(_enriched(spark, d))
-    return best.orderBy("logp", F.desc("enrichment"), "term").limit(clustering.MAX_LEAVES)
+    """Every enriched term with its best p over all lists."""
+    return enrichment.merge_lists(_enriched(spark, d))
 
 
 def term_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +92,7 @@ def term_kappa(spark: SparkSession, d: str) -> DataFrame:
 def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     best = cut(_clustered_terms(spark, d))
     pairs = cut(enrichment.term_kappa(annotation(spark, d), best))
-    return clustering.cluster_heads(best, clustering.cluster_terms(best, pairs)), pairs
+    return clustering.cluster_heads(best, clustering.group_terms(best, pairs)), pairs
 
 
 def term_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,23 @@ def test_linkage_matches_definition():
     assert len(set(clustering.cut_tree(merges, 12, -1))) == 12 and set(clustering.cut_tree(merges, 12, 9)) == {1}
 
 
+def test_groups_of_any_number_of_terms(spark):
+    rng = random.Random(7)
+    names = [f"t{i:02}" for i in range(40)]
+    sims = {(a, b): rng.uniform(-0.2, 1.0) for i, a in enumerate(names) for b in names[i + 1:] if rng.random() < 0.15}
+    df = lambda x, kinds: spark.createDataFrame(x, kinds)
+    pairs = df([(a, b, s) for (a, b), s in sims.items()], "term_a string, term_b string, kappa double")
+    groups = lambda got: {frozenset(r.term for r in got if r.cluster == c) for c in {r.cluster for r in got}}
+    terms = df([(n,) for n in names], "term string")
+    assert groups(clustering.group_terms(terms, pairs).collect()) == groups(clustering.cluster_terms(terms, pairs).collect())
+    # more terms than one whole tree may have, all of them grouped
+    n = clustering.MAX_LEAVES + 400
+    many = df([(f"m{i:04}",) for i in range(n)], "term string")
+    twos = df([(f"m{i:04}", f"m{i + 1:04}", 0.9) for i in range(0, n, 2)], "term_a string, term_b string, kappa double")
+    got = clustering.group_terms(many, twos).collect()
+    assert len(got) == n and len({r.cluster for r in got}) == n // 2
+
+
 def test_statistics(spark):
     rng = random.Random(4)
     data = [(g, float(rng.choice([1, 2, 2, 5, 9]))) for g in "ab" for _ in range(30)] + [("a", None), ("b", float("nan")), (None, 1.0)]
