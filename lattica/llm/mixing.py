@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 The total is the largest at which the sources that cannot fill their share, with every record repeated up to its cap, miss
-at most `max_shortfall` of it together (0 keeps every share exact and lets the scarcest source bound the total); actual shares are
+at most `max_shortfall` of it together (0, the default, keeps every share exact and lets the scarcest source bound the total); actual shares are
 reported. Sources without records, and target weights of zero, are left out and the other weights scaled up. Slots of
 `block_tokens` tokens are numbered; slot i goes to the source in whose part of the cumulative weights the van der Corput point
 of i falls, so every stretch of slots has nearly the target shares. A slot's rank among its source's slots names a block of
@@ -25,7 +25,7 @@ from lattica.operators.ranks import grouped_prefix
 from lattica.session import cut
 
 BLOCK_TOKENS = 512
-MAX_SHORTFALL = 0.02
+MAX_SHORTFALL = 0.0
 SLOTS_PER_CHUNK = 1 << 16
 
 

@@ -127,6 +127,15 @@ def test_largest_total():
             assert miss(t) <= 1e-9 and miss(t * 1.01) > 0
 
 
+def test_a_scarce_source_has_its_share_by_default(spark):
+    docs = [(i, "big", 100) for i in range(1000)] + [(2000 + i, "scarce", 100) for i in range(5)]
+    targets = spark.createDataFrame([("big", 0.99, 1), ("scarce", 0.01, 1)], "source string, target_weight double, max_repeat int")
+    shares = {r.source: r for r in mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens int"), targets, block_tokens=100)[1].collect()}
+    total = sum(r.selected_tokens for r in shares.values())
+    # exact to one slot of the schedule, 100 tokens of about 50,000
+    assert abs(shares["scarce"].selected_tokens - 0.01 * total) <= 100 and shares["scarce"].actual_share > 0.0075
+
+
 def test_mix(spark):
     rng = random.Random(6)
     docs = [(i, rng.choice([" Big", "big ", "BIG", "big", "mid", "small", "other", None]), rng.randint(0, 60)) for i in range(6000)]
