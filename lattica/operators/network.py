@@ -17,7 +17,7 @@ from lattica.functions.numeric import enrichment_z, hypergeometric_tail, log10_p
 from lattica.operators.enrichment import adjust
 from lattica.session import cut, maybe_broadcast
 
-MIN_CLUSTER, MAX_CLUSTER = 3, 500
+MIN_CLUSTER = 3
 
 
 def canonical(df: DataFrame, a: Column, b: Column, score: Column, kind: Column | None = None) -> DataFrame:
@@ -165,23 +165,63 @@ def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance:
     return state.select("node", F.col("f").alias("score"))
 
 
-def dense_clusters(edges: DataFrame, min_nodes: int = MIN_CLUSTER, max_nodes: int = MAX_CLUSTER, score_cut: float = 0.2) -> DataFrame:
-    """(component, cluster, node, seed, cluster_score, node_score) by seeded growth inside components of min_nodes to max_nodes.
+def node_scores(edges: DataFrame) -> DataFrame:
+    """(node, score, density, degree), node as text: each node from the edges of its closed neighbourhood, found as triangles.
 
-    A component outside these sizes is not searched, as in the reference; so a task holds at most max_nodes nodes. Seeds go by
-    (score desc, density desc, neighbours desc, node asc), which makes the result unique.
+    Edges go from the node of lower degree to the other, so a hub starts few of the pairs that triangles are closed from.
+    """
+    plain = cut(edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    sides = plain.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
+    deg = cut(sides.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
+    da, db = (deg.select(F.col("node").alias(x), F.struct("degree", "node").alias(f"d{x}")) for x in ("a", "b"))
+    out = cut(plain.join(da, "a").join(db, "b").select(F.least("da", "db")["node"].alias("u"), F.greatest("da", "db").alias("v")))
+    to = out.select("u", F.col("v.node").alias("z"))
+    wedges = out.alias("x").join(out.alias("y"), F.expr("x.u = y.u and x.v < y.v")).select(F.col("x.u").alias("w"), F.col("x.v.node").alias("u"), F.col("y.v.node").alias("z"))
+    closed = wedges.join(to, ["u", "z"])
+    corners = F.array(*[F.struct(F.col(n).alias("node"), F.struct(F.col(p).alias("p"), F.col(q).alias("q")).alias("e")) for n, p, q in (("w", "u", "z"), ("u", "w", "z"), ("z", "u", "w"))])
+    facing = closed.select(F.explode(corners).alias("c")).select("c.*").groupBy("node").agg(F.collect_list("e").alias("facing"))
+
+    @F.udf("struct<score:double,density:double>")
+    def score(node: str, degree: int, facing: list | None) -> tuple[float, float]:
+        near: dict[str, set[str]] = {node: set()}
+        for p, q in facing or []:
+            for x, y in ((p, q), (q, p), (node, p), (node, q), (p, node), (q, node)):
+                near.setdefault(x, set()).add(y)
+        for i in range(degree - len(near[node])):  # neighbours in no triangle
+            near[node].add(f"\0{i}")
+            near[f"\0{i}"] = {node}
+        return _node_score(node, near)
+
+    told = cut(deg.join(facing, "node", "left").select("node", "degree", score("node", "degree", "facing").alias("s")))
+    return told.select("node", "s.score", "s.density", "degree")
+
+
+def dense_clusters(edges: DataFrame, min_nodes: int = MIN_CLUSTER, max_nodes: int | None = None, score_cut: float = 0.2) -> DataFrame:
+    """(component, cluster, node, seed, cluster_score, node_score) by seeded growth in components of at least min_nodes, and of at most max_nodes if given.
+
+    Nodes are scored over all cores. Growth meets only nodes with a score above 0, so each connected part of those is grown for itself, however large its
+    component, and a task holds the edges of one such part. Seeds go by (score desc, density desc, neighbours desc, node asc), which makes the result unique.
     """
     comp = components(edges)
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(min_nodes, max_nodes))
-    kept = comp.join(sizes.select("component"), "component", "left_semi")
-    inside = edges.filter("a <> b").join(kept.withColumnRenamed("node", "a"), "a").select("component", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_nodes)
+    sizes = sizes if max_nodes is None else sizes.filter(F.col("n") <= max_nodes)
+    kept = comp.join(sizes.select("component"), "component", "left_semi").select("component", F.col("node").cast("string").alias("node"))
+    plain = edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    scored = node_scores(edges).filter("score > 0").join(kept, "node")
+    facts = [cut(scored.select(F.col("node").alias(x), F.struct("score", "density", "degree").alias(f"f{x}"), *(["component"] if x == "a" else []))) for x in ("a", "b")]
+    live = cut(plain.join(facts[0], "a").join(facts[1], "b"))
+    part = components(live.select("a", "b", F.lit(1.0).alias("score"))).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    inside = live.join(part, "a").select("component", "part", "a", "b", *[F.col(f"f{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("score", "density", "degree")])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["component"].iloc[0], i, n, s, cs, ns) for i, (s, cs, nodes) in enumerate(_grow(zip(pdf["a"], pdf["b"], strict=True), score_cut), 1) for n, ns in nodes]
-        return pd.DataFrame(rows, columns=["component", "cluster", "node", "seed", "cluster_score", "node_score"])
+        known = {r[0]: r[1:] for x in "ab" for r in pdf[[x, f"{x}_score", f"{x}_density", f"{x}_degree"]].itertuples(index=False, name=None)}
+        rows = [(pdf["component"].iloc[0], n, s, cs, ns) for s, cs, nodes in _grow(zip(pdf["a"], pdf["b"], strict=True), score_cut, known) for n, ns in nodes]
+        return pd.DataFrame(rows, columns=["component", "node", "seed", "cluster_score", "node_score"])
 
     kind = dict(comp.dtypes)["component"]
-    return inside.groupBy("component").applyInPandas(grow, f"component {kind}, cluster int, node string, seed string, cluster_score double, node_score double")
+    found = inside.groupBy("part").applyInPandas(grow, f"component {kind}, node string, seed string, cluster_score double, node_score double")
+    number = F.dense_rank().over(W.partitionBy("component").orderBy(F.desc("cluster_score"), "seed"))
+    return found.select("component", number.alias("cluster"), "node", "seed", "cluster_score", "node_score")
 
 
 def _peel(nodes: set[str], near: dict[str, set[str]], k: int) -> set[str]:
@@ -207,15 +247,15 @@ def _node_score(node: str, near: dict[str, set[str]]) -> tuple[float, float]:
     return k * count(best) / len(best) ** 2, dens
 
 
-def _grow(pairs: Iterator[tuple[str, str]], score_cut: float) -> list[tuple[str, float, list[tuple[str, float]]]]:
+def _grow(pairs: Iterator[tuple[str, str]], score_cut: float, known: dict[str, tuple[float, float, int]] | None = None) -> list[tuple[str, float, list[tuple[str, float]]]]:
     near: dict[str, set[str]] = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    score = {n: _node_score(n, near) for n in near}
+    score = known or {n: (*_node_score(n, near), len(near[n])) for n in near}
     seen: set[str] = set()
     found = []
-    for seed in sorted(near, key=lambda n: (-score[n][0], -score[n][1], -len(near[n]), n)):
+    for seed in sorted(near, key=lambda n: (-score[n][0], -score[n][1], -score[n][2], n)):
         if seed in seen or score[seed][0] <= 0:
             continue
         need, members, stack = score[seed][0] * (1 - score_cut), {seed}, [seed]

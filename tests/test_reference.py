@@ -65,6 +65,20 @@ def test_dense_clusters(spark):
     assert {r.node for r in got} == {f"k{i}" for i in range(5)} and {r.cluster_score for r in got} == {2.0}
 
 
+def test_dense_clusters_of_a_large_component(spark):
+    rng = random.Random(8)
+    pairs = {(f"n{rng.randrange(i):03}", f"n{i:03}") for i in range(1, 620)}
+    for _ in range(25):  # dense spots in one component of more than 500 nodes
+        spot = sorted(rng.sample([f"n{i:03}" for i in range(620)], 6))
+        pairs |= {(x, y) for i, x in enumerate(spot) for y in spot[i + 1:] if rng.random() < 0.8}
+    got = network.dense_clusters(edges_of(spark, [(x, y, 1.0) for x, y in pairs])).collect()
+    want = network._grow(iter(sorted(pairs)), 0.2)
+    told = {}
+    for r in got:
+        told.setdefault((r.cluster, r.seed, round(r.cluster_score, 9)), {})[r.node] = round(r.node_score, 9)
+    assert want and told == {(i, s, round(c, 9)): {n: round(v, 9) for n, v in nodes} for i, (s, c, nodes) in enumerate(want, 1)}
+
+
 def test_linkage_matches_definition():
     rng = np.random.default_rng(1)
     x = rng.random((12, 3))
