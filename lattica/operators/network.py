@@ -7,6 +7,7 @@ edges exists only through a self loop. Iterations are cut in the shared checkpoi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,7 +148,7 @@ def over_connected(edges: DataFrame, chosen: DataFrame, min_links: int = 3, p_cu
     return adjust(kept.withColumn("n_tests", F.lit(candidates).cast("bigint")), "logp", "n_tests").select(F.col("u").alias("node"), "links", "degree", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
 
 
-def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance: float = 1e-6, max_rounds: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance: float = 1e-6, max_rounds: int | None = None) -> DataFrame:
     """(node, score): F = alpha W F + (1 - alpha) Y with W = w / sqrt(d_i d_j), until the total change is below tolerance."""
     links = both_ways(edges).filter("score > 0")
     deg = links.groupBy("u").agg(F.sum("score").alias("d"))
@@ -155,7 +156,7 @@ def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance:
     w = cut(w)
     start = prior.groupBy("node").agg(F.sum("score").alias("y"))
     state = cut(deg.select(F.col("u").alias("node")).join(start, "node", "left").select("node", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("y", F.lit(0.0)).alias("f")))
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):  # alpha below 1 shrinks the change from round to round
         flow = w.join(state.select(F.col("node").alias("u"), "f"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("w") * F.col("f")).alias("in"))
         new = cut(state.join(flow, "node", "left").select("node", "y", (alpha * F.coalesce("in", F.lit(0.0)) + (1 - alpha) * F.col("y")).alias("g"), "f"))
         change = new.agg(F.sum(F.abs(F.col("g") - F.col("f")))).first()[0] or 0.0

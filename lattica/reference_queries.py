@@ -155,7 +155,7 @@ def strong_modules(spark: SparkSession, d: str) -> DataFrame:
 
 def propagated_scores(spark: SparkSession, d: str) -> DataFrame:
     prior = _chosen(spark, d).withColumn("score", F.lit(1.0))
-    return network.propagate(cut(edges(spark, d)), prior, max_rounds=12).withColumn("score", F.round("score", 4))
+    return network.propagate(cut(edges(spark, d)), prior).withColumn("score", F.round("score", 4))
 
 
 def id_conversion(spark: SparkSession, d: str) -> DataFrame:

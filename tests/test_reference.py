@@ -79,6 +79,19 @@ def test_dense_clusters_of_a_large_component(spark):
     assert want and told == {(i, s, round(c, 9)): {n: round(v, 9) for n, v in nodes} for i, (s, c, nodes) in enumerate(want, 1)}
 
 
+def test_propagation_query_ends_by_tolerance(spark, monkeypatch):
+    import lattica.reference_queries as q
+
+    chain = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(16)])
+    monkeypatch.setattr(q, "edges", lambda *_: chain)
+    monkeypatch.setattr(q, "_chosen", lambda *_: spark.createDataFrame([(f"n{i:02}",) for i in range(4)], "node string"))
+    seen = []
+    whole = network.propagate
+    monkeypatch.setattr(network, "propagate", lambda *a, **k: seen.append(whole(*a, **k)) or seen[0])
+    q.propagated_scores(spark, "")
+    assert all(r.score > 0 for r in seen[0].collect())  # node 16 is 13 steps from the list
+
+
 def test_linkage_matches_definition():
     rng = np.random.default_rng(1)
     x = rng.random((12, 3))
