@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,29 +34,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); a private one only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir, or a private one only where none is named (local masters)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "lattica-checkpoints")
-    sc.setCheckpointDir(named)
+        named = os.path.join(tempfile.gettempdir(), "lattica-scratch")
+    return f"{named.rstrip('/')}/lattica-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write df to the shared folder and read it back: the lineage ends there, and the loss of executors loses nothing.
+
+    The rows keep the partitions of their plan, so an input is read and worked on in as many tasks as it has splits; reading packs
+    small files together. What was written is dropped by `drop_cut` where a loop has no more use for it, by `clear_cuts` after a
+    query's result has been taken, and else at the end of the session.
+    """
     spark = df.sparkSession
-    # unions of earlier cuts would otherwise add up their partitions from round to round
-    kept = df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True)
-    # a checkpoint carries its plan's size estimate and constraints on; over the rounds of a loop they multiply until
-    # planning takes minutes, so the rows are wrapped anew and AQE goes by the sizes it meets
-    plain = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    return DataFrame(plain, spark)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    # the default committer renames task files one by one; nothing reads the table before it is whole
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    if not _at_exit.get(spark.sparkContext.applicationId):
+        _at_exit[spark.sparkContext.applicationId] = True
+        atexit.register(_quiet_clear, spark)
+    return kept
+
+
+_at_exit: dict[str, bool] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop_cut(*frames: DataFrame | None) -> None:
+    """Delete the tables behind frames returned by `cut`; nothing that is still to be computed may read them."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session, once the results that read them have been taken."""
+    _delete(spark, shared_folder(spark))
+
+
+def _quiet_clear(spark: SparkSession) -> None:
+    try:
+        clear_cuts(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def spread(df: DataFrame) -> DataFrame:
