@@ -109,9 +109,10 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p3_found, p3_links, p4_found, p4_top5, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_redacted)}
-_SETS = """sets as (select distinct go, item from (select go, cast(unnest(regexp_extract_all(coalesce(genes, ''), '(\\d+)(?:\\.0*)?', 1)) as bigint) as item from term_annotation) where go is not null),
+# read apart from the operator: cut at the separators, each part read as a number
+_SETS = """sets as (select distinct go, item from (select go, cast(try_cast(nullif(unnest(string_split_regex(coalesce(genes, ''), '[,;|\\s]+')), '') as double) as bigint) as item from term_annotation) where go is not null and item is not null),
  sizes as (select go, count(*) as n from sets group by 1), pairs as (select a.go as go_a, b.go as go_b, count(*) as s from sets a join sets b on a.item = b.item and a.go < b.go group by 1, 2),
- near as (select go_a, go_b from pairs join sizes x on x.go = go_a join sizes y on y.go = go_b where 10 * s >= 7 * greatest(x.n, y.n))"""
+ near as (select go_a, go_b from pairs join sizes x on x.go = go_a join sizes y on y.go = go_b where 10 * s >= 7 * (x.n + y.n - s))"""
 _RANKED = """b as (select *, row_number() over (partition by list_name, categoryid, go order by logp, e desc nulls last) as r from (select *, case when cast(enrichment as varchar) <> 'nan' then enrichment end as e from go_result)
  where logp is not null and cast(logp as varchar) <> 'nan' and list_name is not null and categoryid is not null and go is not null),
  k as (select *, row_number() over (partition by list_name, categoryid order by logp, e desc nulls last, go) as rank from b where r = 1)"""

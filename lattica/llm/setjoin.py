@@ -1,15 +1,15 @@
 """All pairs of similar sets, exactly, by metric pivot partitioning under Jaccard distance.
 
-A pair counts when the sets share at least `share` of the items of either. Then their Jaccard distance is at most
-r = 1 - share / (2 - share). Equal sets are one class and enter once. Every class has a home cell, that of the nearest pivot among
-the leaders of its minhash groups if one lies within `reach`, else its own. By the triangle inequality a class y can be
-similar to a member of cell p only if d(y, p) <= r + (radius of p), so it is replicated to exactly these cells, and pairs are
-joined exactly inside the cells. The leaders decide the work only, not the result: whatever they are, the radius is measured.
+A pair counts when the shared items are at least `share` of the items that either set holds (the union), which is a Jaccard distance
+of at most r = 1 - share. Equal sets are one class and enter once. Pivots are chosen among the leaders of minhash groups:
+a leader that lies near no smaller leader is a pivot, every class has its home cell at the nearest pivot within `reach`, and a class that no
+pivot lies near is the pivot of its own cell. The radius of each cell is measured. By the triangle inequality a class y can be similar to
+a member of cell p only if d(y, p) <= r + radius(p), so y is replicated to exactly these cells, with its distance, and pairs are joined exactly
+inside the cells: with the pivot itself the distance is the replica's, with the other members a pair must also pass
+|d(x, p) - d(y, p)| <= r before its exact test. The pivots decide the work only, never the result.
 
 Which pivots lie that near is found with the prefix filter on items in rarest-first order: for a distance below 1 the sets
-share one of their first items. A cell with only its pivot in it has radius 0, so the replication test is
-the pair test itself and nothing is left to join; in wider cells members and replicas meet on prefix items, with
-length, position and triangle filters before the exact overlap.
+share one of their first items. Frequent items come last, so they carry no join key unless a set has nothing rarer.
 
 Null items are dropped, repeated ones count once, empty sets are in no pair. Copies are expanded only by `expand`.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lattica.session import cut
 
-REACH = 0.2
-BANDS, ROWS = 3, 3
+REACH = 0.3
+BANDS, ROWS = 6, 2
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,18 +45,20 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - 1e-9)
 
 
-def _tokens(df: DataFrame, id_col: str, least: Column, *more: str) -> DataFrame:
+def _tokens(df: DataFrame, least: Column, *keep: str) -> DataFrame:
     """One row per prefix item: with `least` shared items needed, the first n - least + 1 must hold a shared one."""
     prefix = F.slice("items", F.lit(1), F.greatest(F.lit(1), (F.col("n") - least + 1).cast("int")))
-    return df.select(F.col(id_col), "n", *more, F.posexplode(prefix).alias("pos", "item"))
+    return df.select("n", *keep, F.posexplode(prefix).alias("pos", "item"))
 
 
-def _overlap(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(a, b))
+def _distance(a: str, b: str, na: str, nb: str) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return 1.0 - shared / (F.col(na) + F.col(nb) - shared)
 
 
-def _jaccard_distance(shared: Column, na: str, nb: str) -> Column:
-    return 1.0 - shared / (F.col(na) + F.col(nb) - shared)
+def _enough(share: Column, na: str, nb: str) -> Column:
+    """Least number of shared items of two sets at a Jaccard similarity of `share`."""
+    return _ceil(share / (1 + share) * (F.col(na) + F.col(nb)))
 
 
 def _minhash(seed: int) -> Column:
@@ -64,71 +66,50 @@ def _minhash(seed: int) -> Column:
 
 
 def home_cells(ordered: DataFrame, reach: float) -> DataFrame:
-    """(cid, home, d_home): the nearest pivot within reach among the leaders of the class's minhash groups, else itself."""
-    sigs = ordered.select("cid", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[_minhash(b * ROWS + j) for j in range(ROWS)]).alias("h")) for b in range(BANDS)])).alias("s")).select("cid", "s.b", "s.h")
+    """(cid, home, d_home): the nearest pivot within reach; a class that none lies near is its own."""
+    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[_minhash(b * ROWS + j) for j in range(ROWS)]).alias("h")) for b in range(BANDS)])
+    sigs = ordered.select("cid", F.explode(bands).alias("s")).select("cid", "s.b", "s.h")
     lead = sigs.groupBy("b", "h").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("b", "h", "leader")
-    offers = sigs.join(lead, ["b", "h"]).select("cid", "leader").distinct()
+    offers = sigs.join(lead, ["b", "h"]).filter("cid <> leader").select("cid", "leader").distinct()
     a = ordered.select("cid", F.col("items").alias("i1"), F.col("n").alias("n1"))
     b = ordered.select(F.col("cid").alias("leader"), F.col("items").alias("i2"), F.col("n").alias("n2"))
-    near = offers.join(a, "cid").join(b, "leader").select("cid", "leader", _jaccard_distance(_overlap("i1", "i2"), "n1", "n2").alias("d")).filter(F.col("d") <= reach)
-    best = near.groupBy("cid").agg(F.min(F.struct("d", "leader")).alias("b"))
-    # a leader that is itself drawn to another is no pivot, so its followers are their own cell
-    told = ordered.join(best, "cid", "left").select("cid", F.coalesce("b.leader", F.col("cid")).alias("home"), F.coalesce("b.d", F.lit(0.0)).alias("d_home"))
-    pivots = told.filter("home = cid").select(F.col("cid").alias("pivot"))
-    held = told.join(pivots, F.col("home") == F.col("pivot"), "left")
-    return held.select("cid", F.coalesce("pivot", "cid").alias("home"), F.when(F.col("pivot").isNull(), 0.0).otherwise(F.col("d_home")).alias("d_home"))
+    near = cut(offers.join(a, "cid").join(b, "leader").select("cid", "leader", _distance("i1", "i2", "n1", "n2").alias("d")).filter(F.col("d") <= reach))
+    # who has a smaller leader near is no pivot; the others near it look for another one
+    taken = near.select(F.col("cid").alias("leader")).distinct()
+    best = near.join(taken, "leader", "left_anti").groupBy("cid").agg(F.min(F.struct("d", "leader")).alias("b"))
+    return ordered.select("cid").join(best, "cid", "left").select("cid", F.coalesce("b.leader", F.col("cid")).alias("home"), F.coalesce("b.d", F.lit(0.0)).alias("d_home"))
 
 
 def similar_classes(classes: DataFrame, share: float = 0.7, reach: float = REACH) -> DataFrame:
-    """(a, b, shared): pairs of classes, a < b, that share at least `share` of the items of either."""
-    theta = share / (2.0 - share)
-    r = 1.0 - theta
-    if not 0.0 < reach < theta:
-        raise ValueError("reach must be positive and below share / (2 - share)")
+    """(a, b, d): pairs of classes, a < b, whose Jaccard distance is at most 1 - share."""
+    if not 0.0 < reach < share <= 1.0:
+        raise ValueError("reach must be positive and below share")
+    r = 1.0 - share
     ordered = cut(rare_first(classes))
     homes = cut(home_cells(ordered, reach))
-    radius = homes.groupBy("home").agg(F.max("d_home").alias("radius"))
-    sets = ordered.join(homes, "cid").join(radius, "home")  # (home, cid, items, n, d_home, radius)
-    sets = cut(sets.select("cid", "items", "n", "home", "d_home", "radius"))
-    needed = lambda n: _ceil(F.lit(share) * n)
-    body = sets.select("cid", "items", "n")
-    # cells that hold their pivot only: the test for replication is the test for a pair
-    tokens = _tokens(sets, "cid", needed(F.col("n")), "radius")
-    one = tokens.filter("radius = 0").select(F.col("cid").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), "item")
-    any_ = tokens.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), (F.col("radius") == 0).alias("alone"), "item")
-    must = needed(F.greatest("np", "ny"))
-    room = 1 + F.least(F.col("np") - F.col("pp"), F.col("ny") - F.col("py")) - 1
-    direct = any_.join(one, "item").filter((F.col("y") != F.col("p")) & (~F.col("alone") | (F.col("y") < F.col("p"))) & (room >= must) & (F.least("np", "ny") >= must))
-    pairs_one = _verified(direct.select("y", "p").distinct(), body, share)
-    # wider cells: replicate by the triangle inequality, then join inside
-    low = theta - reach
-    wide = sets.filter("radius > 0")
-    pivots = sets.join(wide.select(F.col("home").alias("p")).distinct(), F.col("cid") == F.col("p"), "left_semi").select("cid", "items", "n", "radius")
-    near_p = _tokens(pivots, "cid", _ceil(F.lit(low) * F.col("n")), "radius").select(F.col("cid").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), "radius", "item")
-    near_y = _tokens(body, "cid", _ceil(F.lit(low) * F.col("n"))).select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "item")
-    theta_p = F.lit(theta) - F.col("radius")
-    inter = _ceil(theta_p / (1 + theta_p) * (F.col("np") + F.col("ny")))
-    cand = near_y.join(near_p, "item").filter((F.least(F.col("np") - F.col("pp"), F.col("ny") - F.col("py")) >= inter) & (F.least("np", "ny") >= inter)).select("y", "p", "radius").distinct()
-    y_body = body.select(F.col("cid").alias("y"), F.col("items").alias("yi"), F.col("n").alias("yn"))
-    p_body = pivots.select(F.col("cid").alias("p"), F.col("items").alias("pi"), F.col("n").alias("pn"))
-    replicas = cand.join(y_body, "y").join(p_body, "p").select("p", "y", "yi", "yn", "radius", _jaccard_distance(_overlap("yi", "pi"), "yn", "pn").alias("d")).filter(F.col("d") <= F.col("radius") + r + 1e-9)
-    replicas = cut(replicas.select(F.col("p").alias("cell"), F.col("y").alias("cid"), F.col("yi").alias("items"), F.col("yn").alias("n"), "d"))
-    inside = replicas.join(homes.filter("home <> cid or d_home = 0").select(F.col("home").alias("cell"), "cid"), ["cell", "cid"], "left_semi")
-    t_in = _tokens(inside, "cid", needed(F.col("n")), "cell", "d").select("cell", "item", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("d").alias("dx"))
-    t_re = _tokens(replicas, "cid", needed(F.col("n")), "cell", "d").select("cell", "item", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("d").alias("dy"))
-    must_in = needed(F.greatest("nx", "ny"))
-    met = t_in.join(t_re, ["cell", "item"]).filter((F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & (F.least("nx", "ny") >= must_in) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= must_in))
-    pairs_wide = _verified(met.select(F.col("x").alias("y"), F.col("y").alias("p")).distinct(), body, share)
-    return pairs_one.unionByName(pairs_wide).distinct()
-
-
-def _verified(pairs: DataFrame, body: DataFrame, share: float) -> DataFrame:
-    """(a, b, shared) of candidate pairs (y, p), by exact overlap."""
-    small = pairs.select(F.least("y", "p").alias("a"), F.greatest("y", "p").alias("b")).distinct()
-    one = body.select(F.col("cid").alias("a"), F.col("items").alias("ai"), F.col("n").alias("an"))
-    two = body.select(F.col("cid").alias("b"), F.col("items").alias("bi"), F.col("n").alias("bn"))
-    met = small.join(one, "a").join(two, "b").withColumn("shared", _overlap("ai", "bi"))
-    return met.filter(F.col("shared") >= _ceil(F.lit(share) * F.greatest("an", "bn"))).select("a", "b", "shared")
+    pivots = ordered.join(homes.groupBy("home").agg(F.max("d_home").alias("radius")), F.col("cid") == F.col("home")).select(F.col("cid").alias("p"), "items", "n", "radius")
+    # replication: y goes to every cell p with d(y, p) <= r + radius(p)
+    least = F.lit(share) - F.col("radius")
+    near_p = _tokens(pivots, _ceil(least * F.col("n")), "p", "radius").withColumnsRenamed({"n": "np", "pos": "pp"})
+    near_y = _tokens(ordered, _ceil(F.lit(share - reach) * F.col("n")), "cid").withColumnsRenamed({"n": "ny", "pos": "py"})
+    need = _enough(F.lit(share) - F.col("radius"), "np", "ny")
+    room = F.least(F.col("np") - F.col("pp"), F.col("ny") - F.col("py"), "np", "ny")
+    met = near_y.join(near_p, "item").filter(room >= need).select("cid", "p", "radius").distinct()
+    body = pivots.select("p", F.col("items").alias("pi"), F.col("n").alias("np"))
+    told = met.join(ordered, "cid").join(body, "p").withColumn("d", _distance("items", "pi", "n", "np")).filter(F.col("d") <= F.col("radius") + r + 1e-9)
+    replicas = cut(told.select("p", "cid", "items", "n", "d", "radius"))
+    # inside the cells: the pivot against its replicas, then the other members
+    with_pivot = replicas.filter((F.col("cid") != F.col("p")) & (F.col("d") <= r + 1e-9)).select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "d")
+    inside = replicas.filter("radius > 0").join(homes.filter("d_home > 0").select(F.col("home").alias("p"), "cid"), ["p", "cid"], "left_semi")
+    own = _ceil(F.lit(share) * F.col("n"))
+    t_in = _tokens(inside, own, "p", "cid", "d").withColumnsRenamed({"n": "nx", "pos": "px", "cid": "x", "d": "dx"})
+    t_re = _tokens(replicas.filter("radius > 0 and cid <> p"), own, "p", "cid", "d").withColumnsRenamed({"n": "ny", "pos": "py", "cid": "y", "d": "dy"})
+    both = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"), "nx", "ny") >= _enough(F.lit(share), "nx", "ny")
+    pairs = t_in.join(t_re, ["p", "item"]).filter((F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & both)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = (ordered.select(F.col("cid").alias(k), F.col("items").alias(f"{k}i"), F.col("n").alias(f"{k}n")) for k in "ab")
+    members = pairs.join(one, "a").join(two, "b").withColumn("d", _distance("ai", "bi", "an", "bn")).filter(F.col("d") <= r + 1e-9).select("a", "b", "d")
+    return with_pivot.unionByName(members).distinct()
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
