@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from lattica.functions.ids import whole_numbers
 from lattica.llm import idmap, mixing, packing, pii, setjoin, tokens, topn
-from lattica.session import cut, spread, table
+from lattica.session import cut, maybe_broadcast, spread, table
+
+
+#: Words of this field that are written before an identifier or added to it and tell nothing about which one it is.
+LABELS = ("gene", "symbol", "sym", "acc", "id", "ref")
+ADDED = ("protein[ _-]coding", "putative", "gene", "human", "mouse", "rat")
 
 
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     inputs = table(spark, d, "id_conversion").select("conv_id", "inputid")
     refs = table(spark, d, "ref_identifier").select(F.col("source_id").alias("ref_source_id"), F.col("gene_id").alias("ref_gene_id"))
-    return idmap.map_values(inputs, "inputid", refs, "ref_source_id")
+    return idmap.map_values(inputs, "inputid", refs, "ref_source_id", labels=LABELS, added=ADDED)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,8 +29,8 @@ def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
     """Every input row with its entry, its gene and the edits between them, or as unmatched."""
     matched, unmatched = _mapped(spark, d)
     genes = table(spark, d, "ref_identifier").groupBy("source_id").agg(F.min("gene_id").alias("gene_id"))
-    known = matched.join(F.broadcast(genes), F.col("ref") == F.col("source_id"), "left").select("conv_id", "inputid", F.col("ref").alias("source_id"), "gene_id", "edits", F.lit("matched").alias("status"))
-    return known.unionByName(unmatched.select("conv_id", "inputid", F.lit("unmatched").alias("status")), allowMissingColumns=True)
+    known = matched.join(maybe_broadcast(genes), F.col("ref") == F.col("source_id"), "left").select("conv_id", "inputid", F.col("ref").alias("source_id"), "gene_id", "edits", F.lit("matched").alias("status"))
+    return known.unionByName(unmatched.select("conv_id", "inputid", F.when(F.col("why") == "tie", "unmatched (tie)").otherwise("unmatched").alias("status")), allowMissingColumns=True)
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:

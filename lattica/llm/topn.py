@@ -1,33 +1,32 @@
 """The N best items of every group under one fixed tie rule, by two-stage salted ranking.
 
 Groups that hold many rows are hashed by item into subgroups; the best N of each subgroup are ranked first, the survivors
-then once more by score and identifier. How many subgroups a group gets follows its estimated
-size, so the many small groups are finished by the first stage and a group of any size never meets one task.
-All rows of an item fall into the same subgroup, where the item keeps its best row. Rows whose score is null or NaN,
-or whose group has a null key, are left out; ties beyond score and second score go to the smaller item. Repeated
-rows of an item count once.
+then once more by score and identifier. How many subgroups a group gets follows its exact row count, which is combined map-side
+and of which only groups beyond one subgroup are kept (at most rows / subgroup_rows of them, however many groups there are). So the many
+small groups are finished by the first stage and a group of any size never meets one task. All rows of an item fall into the
+same subgroup, where the item keeps its best row. Rows whose score is null or NaN, or whose group has a null key, are left
+out; ties beyond score and second score go to the smaller item. Repeated rows of an item count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of one subgroup, and how many large groups are told apart. Only the split depends on these, not the result.
+from lattica.session import cut, maybe_broadcast
+
+#: Rows of one subgroup. Only the split depends on it, not the result.
 SUBGROUP_ROWS = 50_000
-TRACKED_GROUPS = 20_000
-LARGE_GROUPS = 2_000
 
 
-def large_groups(rows: DataFrame, group: Sequence[str], subgroup_rows: int) -> DataFrame:
-    """(gk, salts) of the groups that need more than one subgroup, at most LARGE_GROUPS rows, from a one-pass sketch."""
-    key = F.xxhash64(*group)
-    top = rows.agg(F.expr(f"approx_top_k(gk, {LARGE_GROUPS}, {TRACKED_GROUPS})").alias("t")) if "gk" in rows.columns else rows.select(key.alias("gk")).agg(F.expr(f"approx_top_k(gk, {LARGE_GROUPS}, {TRACKED_GROUPS})").alias("t"))
-    flat = top.select(F.explode("t").alias("t")).select(F.col("t.item").alias("gk"), F.col("t.count").alias("n"))
-    return flat.filter(F.col("n") > subgroup_rows).select("gk", F.least(F.lit(4096), F.ceil(F.col("n") / subgroup_rows)).cast("int").alias("salts"))
+def large_groups(rows: DataFrame, keys: Sequence[str], subgroup_rows: int) -> DataFrame:
+    """(b_<key>..., salts) of the groups that need more than one subgroup."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > subgroup_rows)
+    return counts.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.ceil(F.col("n") / subgroup_rows).alias("salts"))
 
 
 def top_n(df: DataFrame, group: Sequence[str], item: str, score: str, second: str | None = None, n: int = 3, subgroup_rows: int = SUBGROUP_ROWS) -> DataFrame:
@@ -39,10 +38,10 @@ def top_n(df: DataFrame, group: Sequence[str], item: str, score: str, second: st
     down = F.when(~F.isnan(down), -down)
     rows = kept.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(item).alias("item"), F.col(score).alias("score"), down.alias("down"))
     keys = [f"g{i}" for i in range(len(group))]
-    rows = rows.withColumn("gk", F.xxhash64(*keys))
-    big = F.broadcast(large_groups(rows, keys, subgroup_rows))  # at most LARGE_GROUPS rows of 12 bytes
+    big = maybe_broadcast(cut(large_groups(rows, keys, subgroup_rows)))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"b_{k}") for k in keys])
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("item"), F.col("salts"))).otherwise(0)
-    salted = rows.join(big, "gk", "left").withColumn("salt", salt).drop("gk", "salts")
+    salted = rows.join(big, same, "left").withColumn("salt", salt).drop("salts", *[f"b_{k}" for k in keys])
     # one shuffle by subgroup serves the best row per item and the ranking
     placed = salted.repartition(*keys, "salt")
     best = placed.groupBy(*keys, "salt", "item").agg(F.min(F.struct("score", F.col("down").isNull().alias("none"), "down")).alias("b"))

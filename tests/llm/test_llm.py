@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import idmap, mixing, packing, pii, pii_lexer, setjoin, tokens, topn
+from lattica.llm import idmap, mixing, packing, pii, pii_lexer, queries, setjoin, tokens, topn
 
 
 def lev(a, b):
@@ -25,22 +25,57 @@ def test_pigeonhole_join_is_exact(spark):
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
     refs = [word(rng.randint(4, 9)) for _ in range(60)]
     ins = [word(rng.randint(1, 11)) for _ in range(150)] + refs[:5]
-    for k in (1, 2):
+    for k in (0, 1, 2):
         i = spark.createDataFrame([(x, "1", x) for x in sorted(set(ins))], "value string, strict string, letters string")
-        r = spark.createDataFrame([(x, "1", x) for x in sorted(set(refs))], "ref string, strict string, letters string")
+        r = spark.createDataFrame([(x, "1", x, min(k, len(x) % 3)) for x in sorted(set(refs))], "ref string, strict string, letters string, allowed int")
         got = {(a, b, d) for a, b, d in idmap.pigeonhole_join(i, r, k).collect()}
-        assert got == {(a, b, lev(a, b)) for a in set(ins) for b in set(refs) if lev(a, b) <= k}
+        assert got == {(a, b, lev(a, b)) for a in set(ins) for b in set(refs) if lev(a, b) <= min(k, len(b) % 3)}
+
+
+def test_a_plain_list_needs_no_numbers_or_class_words(spark):
+    refs = spark.createDataFrame([("Berlin",), ("Hamburg",), ("software engineer",), ("Coca Cola",), ("ab kinase 4",), ("Ulm",), ("Au",), ("Łódź",), ("7157",), ("---",)], "name string")
+    typed = {"Berlin": "Berlin", "Berln": "Berlin", "Software Enginer": "software engineer", "coca-cola": "Coca Cola", "ab kinase 4": "ab kinase 4", "hamburg": "Hamburg", "Engineer, Software": "software engineer",
+             "ulm": "Ulm", "Uln": "Ulm", "au": "Au", "ab": None, "7157": "7157", "7158": None, "---": "---", "Bremen": None, "ab kinase 5": None, "łódź": "Łódź"}
+    matched, unmatched = idmap.map_values(spark.createDataFrame(list(enumerate(typed)), "id int, text string"), "text", refs, "name")
+    assert {r.text: r.ref for r in matched.collect()} == {t: r for t, r in typed.items() if r}
+    assert {(r.text, r.why) for r in unmatched.collect()} == {(t, "no entry") for t, r in typed.items() if not r}
+    twins = spark.createDataFrame([("marbach",), ("marbech",)], "name string")
+    assert [r.why for r in idmap.map_values(spark.createDataFrame([("marbich",)], "text string"), "text", twins, "name")[1].collect()] == ["tie"]
+
+
+def test_recall_on_an_unseen_list(spark):
+    """Job titles with class words, typed with slips and short forms, against brute force over edits."""
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(3, 5))) for _ in range(60)]
+    refs = sorted({f"{s} {c} {rng.randint(1, 5)}" for s in stems for c in rng.sample(["manager", "engineer", "assistant", "director"], 2)})
+    short = {"manager": "mgr.", "engineer": "eng", "assistant": "asst", "director": "dir."}
+    typed, want = [], {}
+    for i in range(400):
+        ref = rng.choice(refs)
+        stem, role, n = ref.split()
+        at = rng.randrange(len(stem))
+        slip = rng.choice([stem, stem[:at] + rng.choice("xz") + stem[at:], stem[:at] + stem[at + 1 :], stem.upper()])
+        text = rng.choice([f"{slip} {role} {n}", f"{slip}-{short[role]}-{n}", f"{role.title()} {n}, {slip}"])
+        typed.append((i, text))
+        want[i] = ref
+    matched, _ = idmap.map_values(spark.createDataFrame(typed, "id int, text string"), "text", spark.createDataFrame([(r,) for r in refs], "name string"), "name")
+    got = {r.id: r.ref for r in matched.collect()}
+    right = sum(got.get(i) == r for i, r in want.items())
+    assert right / len(want) >= 0.9 and right / len(got) >= 0.97
 
 
 def test_map_values(spark):
-    refs = spark.createDataFrame([("zaltomir kinase 4",), ("zaltomir ligase 4",), ("nuclear zaltomir receptor beta 2",), ("ABCD12A",), ("XZ_1234567",), (None,)], "name string")
+    # enough names for the class words of the list to be learned from it
+    stems = ["brokafen", "delmuniq", "fostarip", "gurlanda", "hestimor", "jaklopus"]
+    more = [(f"{s} {c} {i}",) for i, s in enumerate(stems, 1) for c in ("kinase", "ligase", "receptor beta", "nuclear receptor")]
+    refs = spark.createDataFrame([("zaltomir kinase 4",), ("zaltomir ligase 4",), ("nuclear zaltomir receptor beta 2",), ("ABCD12A",), ("XZ_1234567",), (None,), *more], "name string")
     typed = {
         "Zaltomir-Kinase-IV": "zaltomir kinase 4", "kinase four, zaltmoir": "zaltomir kinase 4", "zaltomir kin. (4) [mouse]": "zaltomir kinase 4", "za1tomir ligase4": "zaltomir ligase 4",
         "nucl. zaltomir rec. β 2, putative": "nuclear zaltomir receptor beta 2", "sym:abcd-12a": "ABCD12A", "ABCD12A (human)": "ABCD12A", "ref|xz 1234567.3|x": "XZ_1234567",
         "zaltomir kinase 5": None, "zaltomir receptor beta 2": None, "nuclear zaltomir receptor alpha 2": None, "ABCD13A": None, "XZ_1234568": None, "unknown": None, "": None, " ": None, "x" * 5000: None, "kinase": None, "7": None,
     }
     data = [(i, t, "clash") for i, t in enumerate([*typed, None, *list(typed)[:1]])]
-    matched, unmatched = idmap.map_values(spark.createDataFrame(data, "id int, text string, code string").drop("code").withColumn("kind", F.lit(1)), "text", refs, "name")
+    matched, unmatched = idmap.map_values(spark.createDataFrame(data, "id int, text string, code string").drop("code").withColumn("kind", F.lit(1)), "text", refs, "name", labels=queries.LABELS, added=queries.ADDED)
     got = {r.id: r.ref for r in matched.collect()}
     assert got == {i: typed[t] for i, t, _ in data if t in typed and typed[t]}
     assert {r.id for r in unmatched.collect()} == {i for i, _, _ in data} - set(got)
@@ -85,6 +120,17 @@ def test_top_n(spark):
     assert topn.top_n(df.limit(0), ["g", "c"], "item", "score", "second").count() == 0
 
 
+def test_top_n_splits_any_number_of_large_groups(spark):
+    df = spark.range(60_000).select((F.col("id") % 3000).alias("g"), F.concat(F.lit("i"), (F.col("id") % 17 * 3001 + F.col("id")).cast("string")).alias("item"), (F.hash("id") % 50).cast("double").alias("score"))
+    want = defaultdict(list)
+    for g, i, v in df.collect():
+        want[g].append((v, i))
+    got = defaultdict(list)
+    for r in topn.top_n(df, ["g"], "item", "score", n=2, subgroup_rows=4).collect():
+        got[r.g].append((r.score, r["item"]))
+    assert len(want) == 3000 and {g: sorted(v) for g, v in got.items()} == {g: sorted(v)[:2] for g, v in want.items()}
+
+
 def test_best_boundaries():
     rng = np.random.default_rng(3)
     counts = np.zeros(13, int)
