@@ -9,7 +9,7 @@ from lattica.functions.ids import term_key, whole_number
 from lattica.operators import compress as C
 from lattica.operators import hierarchy as H
 from lattica.operators import orphans as O
-from lattica.session import cut, table
+from lattica.session import cut, drop_cut, table
 
 HOT_SHARE = 0.01
 
@@ -88,7 +88,7 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     deltas = O.existence_deltas(table(spark, d, "gene_catalogue"), F.col("geneid"), F.col("listed_at"), F.col("withdrawn_at"))
-    return O.orphan_rows(_references(spark, d), O.existing_spans(deltas))
+    return O.orphan_rows(_references(spark, d), O.epochs(O.add_changes(None, deltas)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +101,24 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_state(spark: SparkSession, d: str) -> DataFrame:
-    """Genes that are referred to and not listed after all deltas, applied in two batches as they would arrive."""
-    refs = _references(spark, d).select("key", F.lit(1).alias("refs"), F.lit(0).alias("existing"))
+    """Genes that are referred to and not listed after all changes, applied in six batches as they arrived.
+
+    References arrive when they are loaded. Of the catalogue the withdrawals arrive one batch after their time, so some come late.
+    """
+    at = F.col("at").cast("timestamp")
+    refs = _references(spark, d).select("key", at.alias("at"), F.lit(1).alias("refs"), F.lit(0).alias("existing"))
     deltas = O.existence_deltas(table(spark, d, "gene_catalogue"), F.col("geneid"), F.col("listed_at"), F.col("withdrawn_at"))
-    state = O.apply_deltas(None, deltas.select("key", F.lit(0).alias("refs"), F.col("existence").alias("existing")))
-    return O.orphan_report(O.apply_deltas(state, refs)).select(F.col("key").alias("geneid"), F.col("refs").alias("n_references"))
+    listed = deltas.select("key", at.alias("at"), F.lit(0).alias("refs"), F.col("existence").alias("existing"))
+    half_year = F.floor(F.months_between(F.coalesce("at", F.lit("1970-01-01").cast("timestamp")), F.lit("2023-01-01").cast("timestamp")) / 6)
+    batch = F.least(F.lit(5), F.greatest(F.lit(0), half_year + F.when(F.col("existing") < 0, 1).otherwise(0)))
+    changes = refs.unionByName(listed).withColumn("batch", batch)
+    # signed counts are sums, so each batch is reduced to its keys in one pass before they are applied in turn
+    per_batch = cut(changes.filter("key is not null").groupBy("batch", "key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing")))
+    state = None
+    for b in range(6):
+        older, state = state, cut(O.apply_deltas(state, per_batch.filter(F.col("batch") == b)))
+        drop_cut(older)
+    return O.orphan_report(state).select(F.col("key").alias("geneid"), F.col("refs").alias("n_references"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_genes, p2_percentiles, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_counts, p6_state)}
@@ -115,6 +128,9 @@ _ENDS = f"ends as (select {_NUM.format('gene_a')} as a, {_NUM.format('gene_b')}
 _SIDES = f"{_ENDS}, sides as (select a as k, b as v, s from ends where a is not null union all select b, a, s from ends where b is not null and a is distinct from b)"
 _LINKS = """links as (select distinct t, c, p from (select 'term2term' as t, nullif(upper(trim(term_id)), '') as c, nullif(upper(trim(parent_term_id)), '') as p, distance from term2term
  union all select 'e_go2go', nullif(upper(trim(child_go_id)), ''), nullif(upper(trim(parent_go_id)), ''), distance from e_go2go) where distance = 1 and c is not null and p is not null)"""
+_REACH = f"{_LINKS}, reach as (select t, c as s, p as n from links union select reach.t, s, p from reach join links on links.t = reach.t and links.c = reach.n)"
+_NODES = """select distinct t, id from (select 'term2term' as t, nullif(upper(trim(term_id)), '') as id from term2term where distance = 1 union all select 'term2term', nullif(upper(trim(parent_term_id)), '') from term2term where distance = 1
+ union all select 'e_go2go', nullif(upper(trim(child_go_id)), '') from e_go2go where distance = 1 union all select 'e_go2go', nullif(upper(trim(parent_go_id)), '') from e_go2go where distance = 1) where id is not null"""
 _REFS = f"""{_ENDS}, refs as (select 'interaction' as ref_table, 'gene_a' as ref_field, ia_id as ref_row, a as k, loaded_at from ends union all select 'interaction', 'gene_b', ia_id, b, loaded_at from ends
  union all select 'gid2source_id', 'gid', map_id, gid, loaded_at from gid2source_id),
 orphans as (select * from refs where k is not null and not exists (select 1 from gene_catalogue g where g.geneid = k and g.listed_at <= refs.loaded_at and (g.withdrawn_at is null or refs.loaded_at < g.withdrawn_at)))"""
@@ -125,8 +141,23 @@ SQL = {
  select x.k as geneid, x.n as n_rows, x.d as n_partners, m.v as top_partner, m.n as top_partner_rows, round(x.s, 3) as score_sum from (select k, count(*) as n, count(distinct v) as d, sum(s) as s from sides group by 1) x left join m on m.k = x.k""",
     "p2_percentiles": f"""with {_SIDES}, o as (select k, s, row_number() over (partition by k order by s) as i, count(*) over (partition by k) as n from sides where s is not null)
  select k as geneid, f.fraction, min(s) as score from o, (select unnest([0.5::double, 0.9::double]) as fraction) f where i >= greatest(1, ceil(f.fraction * n)) group by 1, 2""",
-    "p5_found": f"""with recursive {_LINKS}, reach as (select t, c as s, p as n from links union select reach.t, s, p from reach join links on links.t = reach.t and links.c = reach.n)
- select distinct t as link_table, s as term_id from reach where s = n""",
+    "p5_found": f"with recursive {_REACH} select distinct t as link_table, s as term_id from reach where s = n",
+    "p5_descendants": f"with recursive {_REACH} select distinct t as link_table, n as term_id, s as descendant_id from reach where s <> n",
+    "p5_hierarchy": f"""with recursive {_REACH}, chain as (select distinct t, s as id from reach where s = n), nodes as ({_NODES}),
+ roots as (select t, id from nodes where not exists (select 1 from links l where l.t = nodes.t and l.c = nodes.id)),
+ clear as (select t, id from roots union select l.t, l.c from clear k join links l on l.t = k.t and l.p = k.id where not exists (select 1 from chain x where x.t = l.t and x.id = l.c)),
+ steps as (select t, id, 0 as d from clear union select l.t, l.c, d + 1 from steps k join links l on l.t = k.t and l.p = k.id where d < 60 and not exists (select 1 from clear x where x.t = l.t and x.id = l.c)),
+ far as (select t, id, min(d) as d from steps group by 1, 2),
+ up as (select l.t, l.c, l.p, row_number() over (partition by l.t, l.c order by case when fc.d = 0 then case when fp.d = 0 then 0 else 1 end when fc.d is not null then case when fp.d = fc.d - 1 then 0 else 1 end else case when xp.id is null then 0 else 1 end end, l.p) as r,
+  count(*) over (partition by l.t, l.c) as n from links l left join far fc on fc.t = l.t and fc.id = l.c left join far fp on fp.t = l.t and fp.id = l.p left join chain xp on xp.t = l.t and xp.id = l.p),
+ tree as (select t, id, id as root, 0 as depth, [t || '|' || id] as path from roots union all select u.t, u.c, root, depth + 1, list_append(path, u.t || '|' || u.c) from tree join up u on u.t = tree.t and u.p = tree.id and u.r = 1 join far on far.t = u.t and far.id = u.c),
+ sized as (select x as id, count(*) as size from (select unnest(path) as x from tree) group by 1), placed as (select *, row_number() over (order by path) - 1 as pre from tree),
+ below as (select t, n as id, count(distinct s) as k from reach where s <> n group by 1, 2), above as (select t, s as id, count(distinct n) as k from reach where s <> n group by 1, 2)
+ select nodes.t as link_table, nodes.id as term_id, up.p as parent, case when chain.id is not null then 'on_chain' when far.id is null then 'below_chain' else 'tree' end as status,
+  case when chain.id is null then depth end as depth, case when chain.id is null then root end as root, case when chain.id is null then regexp_replace(array_to_string(path, ' > '), '(term2term|e_go2go)\\|', '', 'g') end as path,
+  case when chain.id is null then pre end as pre, case when chain.id is null then size - 1 end as n_in_tree, coalesce(below.k, 0) as n_descendants, coalesce(above.k, 0) as n_ancestors, coalesce(up.n, 0) as n_links_up
+ from nodes left join up on up.t = nodes.t and up.c = nodes.id and up.r = 1 left join chain on chain.t = nodes.t and chain.id = nodes.id left join far on far.t = nodes.t and far.id = nodes.id
+ left join placed on placed.t = nodes.t and placed.id = nodes.id left join sized on sized.id = nodes.t || '|' || nodes.id left join below on below.t = nodes.t and below.id = nodes.id left join above on above.t = nodes.t and above.id = nodes.id""",
     "p6_found": f"with {_REFS} select ref_table, ref_field, ref_row from orphans",
     "p6_counts": f"with {_REFS} select ref_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m') as period, count(*) as n_orphans, count(distinct k) as n_keys from orphans group by 1, 2, 3",
     "p6_state": f"""with {_REFS}, e as (select geneid, sum(1 - case when withdrawn_at is not null then 1 else 0 end) as x from gene_catalogue where geneid is not null and listed_at is not null and (withdrawn_at is null or withdrawn_at > listed_at) group by 1)

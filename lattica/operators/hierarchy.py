@@ -12,14 +12,15 @@ Links with a null or empty side are no links, but the other side is still a node
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.ranks import grouped_prefix
-from lattica.session import cut
+from lattica.operators.ranks import ordered_prefix
+from lattica.session import cut, drop_cut
 
 
 def clean_links(df: DataFrame, child: Column, parent: Column) -> tuple[DataFrame, DataFrame]:
@@ -37,24 +38,93 @@ def climb(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column
     unprocessed: (id, jumps, ptr) for nodes whose chain never ends.
     """
     values = list(combine)
-    start = cut(nodes.select("id", "ptr", *values, F.when(F.col("ptr").isNull(), F.col("id")).alias("end"), F.when(F.col("ptr").isNotNull(), F.array("ptr")).otherwise(F.array().cast("array<string>")).alias("jumps")))
-    done, active = start.filter("end is not null").drop("ptr"), start.filter("end is null").drop("end")
-    parts, left = [done], active.count()
+    jumps = F.when(F.col("ptr").isNotNull(), F.array("ptr")).otherwise(F.array().cast("array<string>"))
+    state = cut(nodes.select("id", "ptr", F.when(F.col("ptr").isNull(), F.col("id")).alias("end"), jumps.alias("jumps"), *values))
+    left = state.filter("end is null").count()
     while left:
-        far = active.select(F.col("id").alias("f_id"), F.col("ptr").alias("f_ptr"), F.lit(None).cast("string").alias("f_end"), *[F.col(v).alias(f"f_{v}") for v in values])
-        for p in parts:
-            far = far.unionByName(p.select(F.col("id").alias("f_id"), F.lit(None).cast("string").alias("f_ptr"), F.col("end").alias("f_end"), *[F.col(v).alias(f"f_{v}") for v in values]))
+        active = state.filter("end is null")
+        far = state.select(F.col("id").alias("f_id"), F.col("ptr").alias("f_ptr"), F.col("end").alias("f_end"), *[F.col(v).alias(f"f_{v}") for v in values])
         met = active.join(far, F.col("ptr") == F.col("f_id"), "inner")
         jumps = F.when(F.col("f_ptr").isNotNull(), F.concat("jumps", F.array("f_ptr"))).otherwise(F.col("jumps"))
-        step = cut(met.select("id", F.col("f_ptr").alias("ptr"), F.col("f_end").alias("end"), jumps.alias("jumps"), *[combine[v](F.col(v), F.col(f"f_{v}")).alias(v) for v in values]))
-        closed, active = step.filter("end is not null").drop("ptr"), step.filter("end is null").drop("end")
-        now = active.count()
-        parts.append(closed)
+        step = met.select("id", F.col("f_ptr").alias("ptr"), F.col("f_end").alias("end"), jumps.alias("jumps"), *[combine[v](F.col(v), F.col(f"f_{v}")).alias(v) for v in values])
+        # what has ended goes round the join, so ended rows do not meet in one task on a null key
+        older, state = state, cut(state.filter("end is not null").unionByName(step))
+        drop_cut(older)
+        now = state.filter("end is null").count()
         if now == left:
             break  # no chain of this length ended, so none longer does
         left = now
-    done = reduce(DataFrame.unionByName, [p.select("id", "end", "jumps", *values) for p in parts])
-    return done, active.select("id", "jumps", "ptr")
+    return state.filter("end is not null").select("id", "end", "jumps", *values), state.filter("end is null").select("id", "jumps", "ptr")
+
+
+#: Links of a contracted graph that one task searches; a larger graph is searched in rounds by all tasks.
+LOCAL_LINKS = 200_000
+
+
+def _unprocessed(below: list[list[int]], above: list[list[int]]) -> list[bool]:
+    """Nodes that no order of processing reaches when a node waits for all of `below`."""
+    waits = [len(b) for b in below]
+    ready = [i for i, n in enumerate(waits) if not n]
+    left = [True] * len(waits)
+    while ready:
+        i = ready.pop()
+        left[i] = False
+        for j in above[i]:
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    return left
+
+
+def _strong_parts(ups: list[list[int]], left: list[bool]) -> list[int]:
+    """A number per node of its strongly connected part among the nodes that are left (iterative, by lowest links)."""
+    part, index, low, stack, on, count, parts = [-1] * len(ups), [-1] * len(ups), [0] * len(ups), [], set(), 0, 0
+    for root in range(len(ups)):
+        if not left[root] or index[root] >= 0:
+            continue
+        work = [(root, iter(ups[root]))]
+        while work:
+            v, todo = work[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on.add(v)
+            for w in todo:
+                if not left[w]:
+                    continue
+                if index[w] < 0:
+                    work.append((w, iter(ups[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        part[w] = parts
+                        if w == v:
+                            break
+                    parts += 1
+    return part
+
+
+def _strong_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (u, v, via) on closed chains: those that neither the pass upward nor the one downward processes, then checked exactly."""
+    frame = pd.concat([pd.DataFrame({"u": [], "v": [], "via": []}, dtype=object), *batches])
+    number = {x: i for i, x in enumerate(dict.fromkeys([*frame.u, *frame.v]))}
+    links = [(number[a], number[b]) for a, b in zip(frame.u, frame.v, strict=True)]
+    ups, downs = [[] for _ in number], [[] for _ in number]
+    for a, b in links:
+        ups[a].append(b)
+        downs[b].append(a)
+    left = [x and y for x, y in zip(_unprocessed(downs, ups), _unprocessed(ups, downs), strict=True)]
+    part = _strong_parts(ups, left)
+    yield frame[[left[a] and left[b] and part[a] == part[b] for a, b in links]] if links else frame
 
 
 def _functional_cycles(unprocessed: DataFrame) -> DataFrame:
@@ -115,51 +185,60 @@ def _strong_edges(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else edges.select("u", "v", "via").limit(0)
 
 
-def closed_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def closed_chains(links: DataFrame, nodes: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(id): every node that lies on a closed chain of links, a node that is its own parent included.
 
     Nodes with one parent are climbed by doubling up to a root or to a node with several parents; what
     the climb leaves unprocessed is on or below a closed chain of such nodes. The nodes with several parents and their
-    links, each carried to the end of its chain, form a much smaller graph, which is peeled from both sides; the strongly connected
-    rest, and the chains between its nodes, are the other closed chains.
+    links, each carried to the end of its chain, form a much smaller graph. Nodes of it that the pass upward (a node waits for all below it)
+    and the pass downward (it waits for all above it) both leave unprocessed reveal its closed chains; an exact
+    check by strongly connected parts drops those that only lie between two chains. The contracted graph is searched by one task while
+    it has at most `local_links` links, by its measured size, and else in rounds by all tasks.
     """
-    ptr = links.groupBy("child").agg(F.count(F.lit(1)).alias("n_parents"), F.min("parent").alias("parent"))
+    ptr = cut(links.groupBy("child").agg(F.count(F.lit(1)).alias("n_parents"), F.min("parent").alias("parent")))
     base = nodes.join(ptr, F.col("id") == F.col("child"), "left").select("id", F.when(F.col("n_parents") == 1, F.col("parent")).alias("ptr"))
     done, unprocessed = climb(base, {})
-    pure = _functional_cycles(unprocessed)
-    many = cut(ptr.filter("n_parents > 1").select(F.col("child").alias("m")))
+    many = ptr.filter("n_parents > 1").select(F.col("child").alias("m"))
     out = links.join(many, F.col("child") == F.col("m"), "left_semi").select(F.col("child").alias("u"), F.col("parent").alias("via"))
     ends = done.select(F.col("id").alias("via"), F.col("end").alias("v"))
-    edges = out.join(ends, "via").join(many.withColumnRenamed("m", "v"), "v", "left_semi").select("u", "v", "via")
-    strong = cut(_strong_edges(edges))
-    marked = cut(strong.select(F.explode(F.array("u", "via")).alias("id")).distinct())
+    edges = cut(out.join(ends, "via").join(many.withColumnRenamed("m", "v"), "v", "left_semi").select("u", "v", "via"))
+    pure = cut(unprocessed.join(ptr, F.col("id") == F.col("child")).select(F.col("id").alias("u"), F.col("parent").alias("v"), F.col("parent").alias("via")))
+    if edges.count() + pure.count() <= local_links:
+        strong = cut(edges.unionByName(pure).coalesce(1).mapInPandas(_strong_in_task, "u string, v string, via string"))
+        found = strong
+    else:
+        strong = cut(_strong_edges(edges))
+        found = strong.select("u", "via").unionByName(_functional_cycles(unprocessed).select(F.col("id").alias("u"), F.col("id").alias("via")))
+    marked = cut(found.select(F.explode(F.array("u", "via")).alias("id")).distinct())
     hops = done.select("id", "jumps")
     far = strong.join(hops, F.col("via") == F.col("id")).agg(F.max(F.size("jumps"))).first()[0] or 0
     for k in range(far - 1, -1, -1):
         up = hops.join(marked, "id", "left_semi").select(F.get("jumps", F.lit(k)).alias("id")).filter("id is not null")
         marked = cut(marked.unionByName(up).distinct())
-    return pure.unionByName(marked).distinct()
+    return marked
 
 
-def _spared(links: DataFrame, stuck: DataFrame, free: DataFrame) -> DataFrame:
-    """(id, parent) for the ids of stuck that lead, over ids of stuck, to an id of free; each round takes those next to what is free."""
-    up = cut(links.join(stuck.withColumnRenamed("id", "child"), "child", "left_semi"))
+def _next_to(links: DataFrame, waiting: DataFrame, free: DataFrame) -> DataFrame:
+    """(id, parent): the ids of waiting from which a free id is reached, with the smallest parent one link nearer to it; one round per link."""
+    up = cut(links.join(waiting.withColumnRenamed("id", "child"), "child", "left_semi"))
     free, parts = free.select(F.col("id").alias("parent")), []
     while True:
         step = cut(up.join(free, "parent", "left_semi").groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent")))
         parts.append(step)
         if not step.limit(1).count():
-            return cut(reduce(DataFrame.unionByName, parts))
-        up = cut(up.join(step.select(F.col("id").alias("child")), "child", "left_anti"))
+            return reduce(DataFrame.unionByName, parts)
+        older, up = up, cut(up.join(step.select(F.col("id").alias("child")), "child", "left_anti"))
+        drop_cut(older)
         free = step.select(F.col("id").alias("parent"))
 
 
 def forest(links: DataFrame, nodes: DataFrame, on_chain: DataFrame | None = None) -> DataFrame:
     """(id, parent, ptr, n_links_up, on_chain, meets, hangs, end, jumps, depth, up): every node in the tree of its first parent.
 
-    The first parent is one with a way to a root that meets no closed chain, else one with any way to a root, else one that is on no
-    closed chain; the smallest of its kind goes first, but a smaller one off every chain is kept where its own way is as good. Nodes without a way to a root hang (hangs) below
-    nodes of a closed chain that have no ptr. up is the way from end to id, both included; meets tells that a closed chain is on it.
+    A node is clear if it has a way to a root that meets no closed chain; its first parent is its smallest clear one. Other nodes with a way to
+    a root take the smallest parent that is one link nearer to a clear node. The rest hang (hangs), below their smallest parent off every chain
+    or else their smallest parent; a node of a chain that hangs has no ptr unless a parent is off every chain. up is the way from end to id, both included;
+    meets tells that a closed chain is on it.
     """
     chain = (closed_chains(links, nodes) if on_chain is None else on_chain).select(F.col("id").alias("c_id"))
     flagged = links.join(chain, F.col("parent") == F.col("c_id"), "left").select("child", "parent", F.col("c_id").isNotNull().alias("bad"))
@@ -177,10 +256,14 @@ def forest(links: DataFrame, nodes: DataFrame, on_chain: DataFrame | None = None
     placed = place(base)
     if not placed.filter("meets").limit(1).count():
         return placed
-    clear = _spared(links, placed.filter("meets and not on_chain").select("id"), placed.filter("not meets").select("id"))
-    stuck = cut(placed.filter("hangs").select("id").join(clear, "id", "left_anti"))
-    ways = placed.filter("not hangs").select("id").unionByName(clear.select("id"))
-    new = clear.unionByName(_spared(links, stuck, ways)).select(F.col("id").alias("s_id"), F.col("parent").alias("s_parent"))
+    # only nodes whose first way meets a chain may have to change; they look for a clear way, then for any way
+    meets = placed.filter("meets").select("id", "on_chain")
+    free = placed.filter("not meets").select("id")
+    clear = cut(_next_to(links, meets.filter("not on_chain").select("id"), free).select("id"))
+    all_clear = free.unionByName(clear)
+    best = links.join(clear.withColumnRenamed("id", "child"), "child", "left_semi").join(all_clear.withColumnRenamed("id", "parent"), "parent", "left_semi").groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
+    others = _next_to(links, meets.select("id").join(clear, "id", "left_anti"), all_clear)
+    new = best.unionByName(others).select(F.col("id").alias("s_id"), F.col("parent").alias("s_parent"))
     moved = base.join(new, F.col("id") == F.col("s_id"), "left")
     return place(cut(moved.select("id", F.coalesce("s_parent", "parent").alias("parent"), F.coalesce("s_parent", "ptr").alias("ptr"), "n_links_up", "on_chain")))
 
@@ -188,7 +271,7 @@ def forest(links: DataFrame, nodes: DataFrame, on_chain: DataFrame | None = None
 def hierarchy(links: DataFrame, nodes: DataFrame, separator: str = " > ", on_chain: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """(id, parent, status, depth, root, path, pre, size, n_links_up): nested sets over each node's first parent.
 
-    A node with several parents hangs in the tree of its first one (see `forest`, whose result may be given as placed); its other links are counted in
+    Siblings, and trees, are in the order of their ids. A node with several parents hangs in the tree of its first one (see `forest`, whose result may be given as placed); its other links are counted in
     n_links_up, and what is reached through them is in `reachable`, not in the ranges. d is in the tree below a
     exactly if a.pre < d.pre < a.pre + a.size. status is 'tree', 'on_chain' or 'below_chain' (no way to
     a root at all); the last two have no depth, root, path or range. A path holds nodes of a closed chain only where no way without them exists. Roots have depth 0.
@@ -202,9 +285,8 @@ def hierarchy(links: DataFrame, nodes: DataFrame, separator: str = " > ", on_cha
         sizes = cut(sizes.join(below, F.col("id") == F.col("b_id"), "left").select("id", "jumps", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
     tree = cut(done.select("id", "ptr").join(sizes.select("id", "size"), "id"))
     # what lies before a node among its siblings, or before its tree among the trees
-    ordered = grouped_prefix(tree.filter("ptr is not null"), ["ptr"], ["id"], F.col("size")).withColumn("offset", F.col("before") + 1)
-    roots = grouped_prefix(tree.filter("ptr is null").withColumn("one", F.lit(1)), ["one"], ["id"], F.col("size")).withColumn("offset", F.col("before"))
-    offsets = ordered.select("id", "ptr", "offset").unionByName(roots.select("id", "ptr", "offset"))
+    ordered = ordered_prefix(tree, ["ptr"], ["id"], F.col("size"))
+    offsets = ordered.select("id", "ptr", (F.col("before") + F.when(F.col("ptr").isNull(), 0).otherwise(1)).alias("offset"))
     pre, _ = climb(offsets, {"offset": lambda me, up: me + up})
     facts = done.select("id", "depth", F.col("end").alias("root"), F.array_join("up", separator).alias("path")).join(pre.select("id", F.col("offset").alias("pre")), "id").join(sizes.select("id", "size"), "id")
     status = F.when(F.col("on_chain"), "on_chain").when(F.col("hangs"), "below_chain").otherwise("tree")

@@ -1,14 +1,16 @@
-"""References to records that do not exist, kept as signed counts per key from change deltas.
+"""References to records that do not exist, from signed reference and existence counts per key.
 
-Every change is a delta (key, at, existence, reference): +1 existence when a record is listed, -1 when it
-is withdrawn, +1 reference when a referring row is loaded, -1 when it is retracted. A key whose reference
-count is positive while its existence count is zero is an orphan. `apply_deltas` keeps that state
-from batch to batch, `orphan_report` reads it; `gaps` keeps the times at which a key's running existence count
-is zero, against which references are judged at their own time.
+Every change is a delta: +1 existence when a record is listed, -1 when it is withdrawn, +1 reference when a referring row is loaded,
+-1 when it is retracted. Deltas are only ever added up, so they may come in any batches and in any order, late ones included.
+
+The existence deltas of a key cut time into epochs, in each of which its running existence count is constant; `epochs` holds the count
+of each. References are counted, with their sign, in the epoch of their own time, and an epoch with positive references and zero
+existence is in the orphan report (`epoch_report`); `orphan_rows` gives the referring rows of the report. `apply_deltas` keeps the
+current totals per key from batch to batch and `orphan_report` reads them, for the state as of now.
 
 Null keys name nothing and are no case. A null listing time never lists; a null withdrawal is still listed;
 a reference without a time can be under no listing and is an orphan. Repeated and overlapping listings add up
-and are no problem, as only a count of zero makes a gap. A withdrawal at or before its listing lists nothing.
+and are no problem, as only a count of zero makes an orphan. A withdrawal at or before its listing lists nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Window as W
 from lattica.session import maybe_broadcast
 
 STATE = ("key", "refs", "existing")
+CHANGES = ("key", "at", "existence")
 
 
 def existence_deltas(catalogue: DataFrame, key: Column, since: Column, until: Column) -> DataFrame:
@@ -28,29 +31,47 @@ def existence_deltas(catalogue: DataFrame, key: Column, since: Column, until: Co
     return spans.select("key", F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("existence")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("existence")))).alias("d")).select("key", "d.at", "d.existence").filter("at is not null")
 
 
-def existing_spans(deltas: DataFrame) -> DataFrame:
-    """(key, spans): disjoint [lo, hi) with a positive running existence count, in order; hi null is open.
+def add_changes(ledger: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """The ledger (key, at, existence) with a batch of signed changes added; changes that cancel out are gone."""
+    both = deltas.select(*CHANGES) if ledger is None else ledger.select(*CHANGES).unionByName(deltas.select(*CHANGES))
+    return both.groupBy("key", "at").agg(F.sum("existence").alias("existence")).filter("existence <> 0")
+
+
+def epochs(ledger: DataFrame) -> DataFrame:
+    """(key, changes): per key the times of its changes in order, each with the existence count from then on.
 
-    A catalogue key has few spans, so the per-key window is bounded by the catalogue, not by the references.
+    One row per key; its length is that of the key's own catalogue rows after netting.
     """
-    at = deltas.groupBy("key", "at").agg(F.sum("existence").alias("d")).filter("d <> 0")
-    order = W.partitionBy("key").orderBy("at")
-    run = at.withColumn("count", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("was", F.lag("count", 1, 0).over(order)).filter("(count > 0) <> (was > 0)")
-    run = run.withColumn("hi", F.lead("at").over(order)).filter("count > 0")
-    return run.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("lo"), "hi"))).alias("spans"))
+    run = ledger.withColumn("existing", F.sum("existence").over(W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    return run.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "existing"))).alias("changes"))
 
 
-def orphan_rows(references: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of references (key, at, ...) whose key's existence count is zero at their own time.
+def placed_references(references: DataFrame, epoch_table: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """references (key, at, ...) with `epoch` (changes of the key up to then; null without a time) and `existing`, the count in it.
 
-    One row per key on the right, so the join never multiplies. The right side grows with the catalogue only;
-    it is broadcast while its measured size allows it, so that a key that a third of all rows name moves nowhere. Beyond
-    that Spark joins by key and AQE splits the hot one.
+    One row per key on the right, so the join never multiplies. The right side grows with the catalogue only; it is broadcast while its
+    measured size allows it, so that a key that a third of all rows name moves nowhere. Beyond that Spark joins by key and AQE splits the hot one.
     """
-    held = references.filter("key is not null").join(maybe_broadcast(spans.withColumnRenamed("key", "span_key")), F.col("key") == F.col("span_key"), "left")
-    listed = F.exists("spans", lambda s: (s["lo"] <= F.col("at")) & (s["hi"].isNull() | (F.col("at") < s["hi"])))
-    return held.filter(~F.coalesce(listed, F.lit(False))).drop("spans", "span_key")
+    right = epoch_table.withColumnRenamed("key", "_key")
+    right = maybe_broadcast(right) if max_rows is None else maybe_broadcast(right, max_rows=max_rows)
+    met = references.filter("key is not null").join(right, F.col("key") == F.col("_key"), "left")
+    met = met.withColumn("_upto", F.when(F.col("at").isNotNull(), F.filter("changes", lambda c: c["at"] <= F.col("at"))))
+    epoch = F.when(F.col("at").isNotNull(), F.when(F.col("_upto").isNull(), 0).otherwise(F.size("_upto")))
+    existing = F.coalesce(F.try_element_at("_upto", F.lit(-1))["existing"], F.lit(0).cast("bigint"))
+    return met.withColumn("epoch", epoch).withColumn("existing", existing).drop("_key", "changes", "_upto")
+
+
+def epoch_report(placed: DataFrame, sign: Column | None = None) -> DataFrame:
+    """(key, epoch, refs): epochs with positive references and zero existence; sign is +1 or -1 per row, by default +1."""
+    counts = placed.filter("existing <= 0").groupBy("key", "epoch").agg(F.sum(F.lit(1) if sign is None else sign).alias("refs"))
+    return counts.filter("refs > 0")
+
+
+def orphan_rows(references: DataFrame, epoch_table: DataFrame, sign: Column | None = None, max_rows: int | None = None) -> DataFrame:
+    """Rows of references (key, at, ...) whose key and epoch are in the orphan report."""
+    none = placed_references(references, epoch_table, max_rows).filter("existing <= 0")  # epochs in which nothing exists
+    report = epoch_report(none, sign).select(F.col("key").alias("_k"), F.col("epoch").alias("_e"))
+    return none.join(report, (F.col("key") == F.col("_k")) & F.col("epoch").eqNullSafe(F.col("_e")), "left_semi").drop("epoch", "existing")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

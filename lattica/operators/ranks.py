@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lattica.session import cut
+
 
 def grouped_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, blocks: int = 64, name: str = "before", block: Column | None = None) -> DataFrame:
     """df with `name`: the sum of `value` (default 1: the 0-based rank) over the rows before it in its group.
@@ -28,3 +30,27 @@ def grouped_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     ranked = placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(starts, same, "inner")
     return ranked.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_block", "_b", "_start", "_in", *[f"_k_{k}" for k in keys])
+
+
+def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, name: str = "before") -> DataFrame:
+    """df with `name`: the sum of `value` (default 1) over the rows before it in its group, in the order of the order columns themselves.
+
+    Rows are partitioned by ranges of (keys, order), so a group of any size, or the whole table when there are no keys, is
+    spread over the tasks; each range is summed alone and only one row per group and range is put in order by a window. Rows that agree in keys
+    and order lie in one range: group them first where one value may hold a large share of the rows.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    by = [*keys, *order]
+    placed = df.withColumn("_v", F.lit(1).cast("bigint") if value is None else value)
+    placed = cut(placed.repartitionByRange(parts, *by).withColumn("_block", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "_block").agg(F.sum("_v").alias("_w"))
+    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # at most one row per range
+    start = F.sum("_w").over(over.orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), F.coalesce(start, F.lit(0)).alias("_start"))
+    inside = F.sum("_v").over(W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    same = F.col("_block") == F.col("_b")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ranked = placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(starts, same, "inner")
+    return ranked.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_block", "_b", "_start", "_in", *[f"_k_{k}" for k in keys])
