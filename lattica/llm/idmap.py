@@ -97,21 +97,28 @@ def class_words(entries: DataFrame) -> list[str]:
     return sorted(r.w for r in wide.select("w").collect())
 
 
-def _full_word(vocabulary: Column, w: Column) -> Column:
-    """The one class word that w is a short form of: its beginning, or else its letters in order from the first one on; null if none or several."""
-    begins = F.filter(vocabulary, lambda v: v.startswith(w) & (F.length(v) > F.length(w)))
-    letters = F.filter(vocabulary, lambda v: (F.substring(v, 1, 1) == F.substring(w, 1, 1)) & (F.length(v) > F.length(w)) & F.rlike(v, F.array_join(F.split(w, F.lit("")), ".*")))
-    return F.when(F.size(begins) == 1, begins[0]).when((F.size(begins) == 0) & (F.size(letters) == 1), letters[0])
+def _long_forms(read: DataFrame, key: str, vocabulary: Sequence[str]) -> DataFrame:
+    """(key, long): for values with short forms of class words, a map from each to the one class word it stands for.
+
+    A short form is the beginning of a class word, or else its letters in order from the first one on; one that fits several
+    class words stands for none. Every distinct word is looked at once.
+    """
+    flat = read.select(key, F.explode("words").alias("w")).filter(F.col("w").rlike(r"^\p{L}{2,}$") & ~F.col("w").isin([*GREEK_LETTERS.values(), *vocabulary]))
+    tried = flat.select("w").distinct().select("w", F.explode(F.array(*map(F.lit, vocabulary))).alias("v"))
+    tried = tried.filter((F.substring("v", 1, 1) == F.substring("w", 1, 1)) & (F.length("v") > F.length("w"))).withColumn("begins", F.col("v").startswith(F.col("w")))
+    fits = tried.filter(F.col("begins") | F.rlike("v", F.array_join(F.split("w", F.lit("")), ".*"))).groupBy("w")
+    found = fits.agg(F.count_if("begins").alias("nb"), F.min(F.when(F.col("begins"), F.col("v"))).alias("bv"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    one = cut(found.select("w", F.when(F.col("nb") == 1, F.col("bv")).when((F.col("nb") == 0) & (F.col("n") == 1), F.col("v")).alias("v")).filter("v is not null"))
+    return flat.join(maybe_broadcast(one), "w").groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias("long"))
 
 
-def spellings(read: DataFrame, vocabulary: Sequence[str], k: int) -> DataFrame:
+def spellings(read: DataFrame, key: str, vocabulary: Sequence[str], k: int) -> DataFrame:
     """read with (strict, letters, allowed): what must be equal, the other letters, and how many of these may differ."""
     known = [*GREEK_LETTERS.values(), *vocabulary]
     told = read
     if vocabulary:
-        words = F.array(*map(F.lit, vocabulary))
-        short = lambda w: w.rlike(r"^\p{L}{2,}$") & ~w.isin(known)
-        told = told.withColumn("words", F.transform("words", lambda w: F.when(short(w), F.coalesce(_full_word(words, w), w)).otherwise(w)))
+        told = read.join(_long_forms(read, key, vocabulary), F.col(key) == F.col("_key"), "left")
+        told = told.withColumn("words", F.when(F.col("long").isNull(), F.col("words")).otherwise(F.transform("words", lambda w: F.coalesce(F.try_element_at("long", w), w)))).drop("_key", "long")
     must = lambda w: w.isin(known) | w.rlike(r"^\d+$")
     strict = F.array_join(F.array_sort(F.filter("words", must)), " ")
     rest = F.array_join(F.filter("words", lambda w: ~must(w)), "")
@@ -153,9 +160,9 @@ def map_values(inputs: DataFrame, text: str, refs: DataFrame, ref_text: str, k:
     # both are read several times below, and bringing a text to its spelling is the costly part
     entries = cut(_read(refs.filter(F.col(ref_text).isNotNull()).select(F.col(ref_text).alias("ref")).distinct(), "ref", labels, added))
     vocabulary = class_words(entries)
-    entries = cut(spellings(entries, vocabulary, k))
+    entries = cut(spellings(entries, "ref", vocabulary, k))
     distinct = inputs.select(F.col(text).alias("value")).filter("value is not null").distinct()
-    values = cut(spellings(_read(distinct, "value", labels, added), vocabulary, k).select("value", "strict", "letters").filter("strict <> '' or letters <> ''"))
+    values = cut(spellings(cut(_read(distinct, "value", labels, added)), "value", vocabulary, k).select("value", "strict", "letters").filter("strict <> '' or letters <> ''"))
     # one probe per distinct spelling, then back to the values that share it
     spelt = values.select("strict", "letters").distinct().withColumn("value", F.struct("strict", "letters"))
     near = pigeonhole_join(spelt, entries, k)

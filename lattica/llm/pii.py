@@ -1,15 +1,16 @@
 """Personal information in free text: a skip-chain conditional random field with loopy message passing.
 
-A text is cut into nodes: candidate strings (mail, number and address shapes) and single words and marks. Neighbouring nodes share
-a transition potential, and repeated or similar tokens of a document, however far apart, share a skip potential
-(each is tied to its next occurrence, so ties grow with the text and not with its square). Sum-product messages pass along
-all edges for a fixed number of rounds; each node takes its most likely label. Runs of name nodes are a person name if they hold a
-family name with a given name or initials.
-
-The field is fitted on at most `train_docs` documents (with a rough cue of mail, numbers or titles first), labelled by rules: the node potentials
-as a softmax regression over hashed word, affix, shape and neighbour features, the edge potentials from smoothed counts of label pairs
-(piecewise training). The weights, a few MB whatever the table's size, are broadcast. Every document is labelled whole,
-in Arrow batches; there is no shuffle, unless the input has fewer splits than there are cores.
+A text is cut into tokens: runs of letters, runs of digits, single marks. Each token is a node; its label says which kind of value it begins or
+continues, or none, so the spans come from labels alone. Neighbouring tokens share a transition potential, and repeated or similar words and
+numbers of a document, however far apart, share a skip potential (each is tied to its next occurrence, so ties grow with the text and not with its
+square). Sum-product messages pass along all edges between all nodes for a fixed number of rounds; each node takes its most likely label.
+
+The field is fitted on at most `train_docs` whole documents of at most `train_chars` characters (those with a rough cue first), labelled by rules
+(`pii_lexer`) whose names are learned from the sample. Half of the training is done on copies of these documents in which every name, and some other
+words, are replaced by invented ones: what is left to learn there is the context, so unseen names are found. The node potentials are a softmax
+regression over hashed features of the token, its neighbours, its blank-free chunk and its run of digits. The edge potentials are
+fitted by pseudo-likelihood on documents that the node potentials they are fitted with have not seen. The weights, a few MB whatever the table's size,
+are broadcast. Every document is labelled whole, in Arrow batches; there is no shuffle, unless the input has fewer splits than there are cores.
 
 Null and empty texts hold nothing. Repeated documents give their own rows; a value that occurs twice in a document is one row
 of `found`. Offsets are in characters.
@@ -17,6 +18,7 @@ of `found`. Offsets are in characters.
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 import zlib
@@ -31,16 +33,16 @@ from pyspark.sql import functions as F
 from lattica.llm import pii_lexer as lex
 from lattica.session import spread
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
 #: Rough cue for documents worth labelling by rules in the training sample.
 CUES = r"@|[\[(]at[\])]|\bdot\b|\(0?\d{2,3}\)|\+\d{1,2}[ -]|\d{3}[-. /]\d{2,}|\b[A-Z]{2}\d{7}|Tel|Dr |Prof|Regards|Patient"
 DIM = 1 << 17
-LABELS = len(lex.KINDS)
+LABELS = 2 * len(lex.KINDS) - 1
 ROUNDS = 8
-NODES_PER_BATCH = 40_000
-SURE, REACH = 0.9999, 4
-_OFFSETS = (-2, -1, 0, 1, 2)
-_INTRINSIC = 6
+CHARS_PER_BATCH = 200_000
+#: Features of a token by its text alone, and which of them count for a neighbour at each distance.
+_OWN = 6
+_OFFSETS = {-4: (0,), -3: (0, 4), -2: (0, 2, 4), -1: (0, 1, 2, 3, 4), 0: (0, 1, 2, 3, 4, 5), 1: (0, 1, 2, 3, 4), 2: (0, 3, 4), 3: (0, 3), 4: (0,)}
 
 
 def _crc(s: str) -> int:
@@ -48,94 +50,192 @@ def _crc(s: str) -> int:
 
 
 def _shape(s: str) -> str:
-    s = re.sub(r"[A-ZÄÖÜÉ]+", "A", re.sub(r"[a-zäöüßéèáíóúñ]+", "a", re.sub(r"\d", "9", s)))
-    return re.sub(r"\s+", " ", s)[:24]
+    return re.sub(r"\d+", lambda m: f"9{len(m[0])}", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[a-zß-ÿ]+", "a", s)))[:32]
+
+
+def _mix(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
+    """Hashed place of a pair of codes in the weights."""
+    return ((a * 1000003 + np.asarray(b) * 7919 + salt * 40503) % 2147483629 * 48271 % 2147483647 % DIM).astype(np.int64)
 
 
-class Lexicon:
-    """Intrinsic feature codes of a token, kept by its text."""
+class Codes:
+    """Numbers of strings, and what is known of a token by its text; kept from batch to batch, emptied when large."""
 
     def __init__(self) -> None:
-        self.codes: dict[tuple[str, str], tuple[int, ...]] = {}
+        self.tokens: dict[str, int] = {}
+        self.own: list[tuple[int, ...]] = []
+        self.tie: list[int] = []
+        self.other: dict[str, int] = {}
 
-    def of(self, kind: str, s: str) -> tuple[int, ...]:
-        got = self.codes.get((kind, s))
+    def tidy(self) -> None:
+        if len(self.tokens) > 200_000 or len(self.other) > 400_000:
+            self.__init__()
+
+    def token(self, s: str) -> int:
+        got = self.tokens.get(s)
         if got is None:
-            if len(self.codes) > 300_000:
-                self.codes.clear()
+            got = self.tokens[s] = len(self.own)
             low = s.lower()
-            shape = f"{kind}:{_shape(s)}"
-            got = self.codes[kind, s] = (
-                _crc("w" + (low if kind in ("word", "mark", "initial") else kind)), _crc("p" + low[:3]), _crc("s" + low[-3:]), _crc("t" + low[-4:]),
-                _crc("h" + shape), _crc(f"k{kind}{min(len(s), 9)}{s[:1].isupper()}"),
-            )
+            if s[0].isdigit():
+                n = str(min(len(s), 12))
+                self.own.append((_crc("d" + n), _crc("dd"), _crc("z" + s[:1] + n), _crc("z" + s[:2]), _crc("d" + n), _crc("d")))
+                self.tie.append(_crc("d" + s) if len(s) >= 5 else 0)
+            elif s[0].isalpha():
+                case = "A" if s.isupper() else "a" if s.islower() else "Aa"
+                n = min(len(s), 8)
+                self.own.append((_crc("w" + low), _crc("p" + low[:3]), _crc("s" + low[-3:]), _crc("t" + low[-5:]), _crc(f"c{case}{n}"), _crc("c" + case)))
+                self.tie.append(_crc("t" + plain_word(low)) if len(s) >= 4 else 0)
+            else:
+                self.own.append((_crc("m" + s), _crc("m" + s), _crc("m"), _crc("m" + s), _crc("m"), _crc("m")))
+                self.tie.append(0)
         return got
 
+    def code(self, s: str) -> int:
+        got = self.other.get(s)
+        if got is None:
+            got = self.other[s] = _crc(s)
+        return got
+
+
+def plain_word(low: str) -> str:
+    """A word without accents and spellings of umlauts: what ties distant tokens."""
+    s = "".join(c for c in unicodedata.normalize("NFKD", low.replace("ß", "ss")) if not unicodedata.combining(c))
+    return s.replace("oe", "o").replace("ae", "a").replace("ue", "u")
+
 
 @dataclass
 class Batch:
-    """Nodes of several documents in one array."""
+    """Tokens of several documents in one array; outer holds the features of a token beyond its own text and its neighbours'."""
 
     doc: np.ndarray
-    kind: list[str]
-    start: list[int]
-    end: list[int]
-    codes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    token: np.ndarray
+    outer: np.ndarray
     skip: np.ndarray
 
 
-def _skip_key(kind: str, s: str) -> str | None:
-    """What ties distant nodes: the same digits, mail or name-like word after folding case, accents and spellings of umlauts."""
-    if kind == "word":
-        if len(s) < 4:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", s.lower().replace("ß", "ss")) if not unicodedata.combining(c))
-        return "w" + plain.replace("oe", "o").replace("ae", "a").replace("ue", "u")
-    if kind in ("phone", "identity", "number"):
-        digits = re.sub(r"\D", "", s)
-        return "d" + digits[-9:] if len(digits) >= 6 else None
-    return kind[0] + s.lower() if kind in ("email", "address") else None
+_OUTSIDE = ".,;:!?()[]<>\"'|/-"
+_RUN_MARKS = frozenset("+()-./")
+_OUTER = 14
+
+
+def _chunks(text: str, starts: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: code of its blank-free chunk, its place in it, and the chunk's number."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    shapes = np.empty(len(spans), np.int64)
+    for i, (a, b) in enumerate(spans):
+        s = text[a:b].strip(_OUTSIDE)
+        shapes[i] = codes.code("k" + (s.lower() if len(s) <= 4 else "@" + _shape(s.split("@")[-1])[-6:] if "@" in s else _shape(s) if not s.isalpha() else "word"))
+    of = np.searchsorted(np.array([a for a, _ in spans], np.int64), starts, side="right") - 1
+    first = np.searchsorted(of, of, side="left")
+    return shapes, np.minimum(np.arange(len(of)) - first, 9), of
 
 
-def read(texts: list[str], lexicon: Lexicon) -> Batch:
-    doc, kind, start, end, codes, skip = [], [], [], [], [], []
+def _runs(text: str, spans: list[tuple[int, int]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Per token: code of the run of digits and marks it stands in (0: none), and whether it opens it."""
+    sig, place = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64)
+    i, n = 0, len(spans)
+    while i < n:
+        if not text[spans[i][0]].isdigit():
+            i += 1
+            continue
+        def inside(j: int) -> bool:
+            c = text[spans[j][0]]
+            if c.isdigit():
+                return True
+            if c in _RUN_MARKS:
+                return True
+            beside = (j + 1 < n and text[spans[j + 1][0]].isdigit() and spans[j + 1][0] - spans[j][1] <= 1) or (j and text[spans[j - 1][0]].isdigit() and spans[j][0] - spans[j - 1][1] <= 1)
+            return c.isalpha() and spans[j][1] - spans[j][0] <= 2 and bool(beside)
+
+        a = b = i
+        while a > 0 and spans[a][0] - spans[a - 1][1] <= 1 and inside(a - 1) and not sig[a - 1]:
+            a -= 1
+        while b + 1 < n and spans[b + 1][0] - spans[b][1] <= 1 and inside(b + 1):
+            b += 1
+        last = b
+        while b > i and text[spans[b][0]] in "+-./(" or b > i and text[spans[b][0]] == ")" and "(" not in text[spans[a][0] : spans[b][0]]:
+            b -= 1
+        while a < i and text[spans[a][0]] in "-./)":
+            a += 1
+        parts = []
+        for j in range(a, b + 1):
+            s = text[spans[j][0] : spans[j][1]]
+            parts.append((" " if j > a and spans[j][0] > spans[j - 1][1] else "") + (f"{'0' if s[0] == '0' else '9'}{len(s)}" if s[0].isdigit() else "A" * len(s) if s.isalpha() else s))
+        code = codes.code("r" + "".join(parts)[:48])
+        sig[a : b + 1] = code
+        place[a + 1 : b + 1] = 1
+        i = last + 1
+    return sig, place
+
+
+def read(texts: list[str], codes: Codes) -> Batch:
+    docs, starts, ends, toks, outers, skips = [], [], [], [], [], []
+    base = 0
     for d, text in enumerate(texts):
-        last: dict[str, int] = {}
-        for k, a, b in lex.nodes(text):
-            s = text[a:b]
-            key = _skip_key(k, s)
-            if key is not None:
-                n = len(doc)
-                if key in last:
-                    skip.append((last[key], n))
-                last[key] = n
-            doc.append(d)
-            kind.append(k)
-            start.append(a)
-            end.append(b)
-            codes.append(lexicon.of(k, s))
-    return Batch(np.array(doc, np.int64), kind, start, end, np.array(codes, np.int64).reshape(-1, _INTRINSIC), np.array(skip, np.int64).reshape(-1, 2))
-
-
-def feature_index(batch: Batch, at: np.ndarray | None = None) -> np.ndarray:
-    """(nodes, features) indices into the weights for the nodes at the given places (default all): every code at every offset, and conjunctions."""
+        spans = [m.span() for m in lex.TOKEN.finditer(text)]
+        if not spans:
+            continue
+        st, en = np.array(spans, np.int64).T
+        tok = np.array([codes.token(text[a:b]) for a, b in spans], np.int64)
+        n = len(spans)
+        gaps = np.empty(n, np.int64)
+        gaps[0] = 3
+        breaks = np.array([m.start() for m in re.finditer(r"\n", text)], np.int64)
+        line = np.searchsorted(breaks, st)
+        width = st[1:] - en[:-1]
+        gaps[1:] = np.where(line[1:] > line[:-1], 3, np.minimum(width, 2))
+        after = np.append(gaps[1:], 3)
+        shapes, place, of = _chunks(text, st, codes)
+        sig, inner = _runs(text, spans, codes)
+        chunk = shapes[of]
+        before_chunk = np.where(of > 0, shapes[np.maximum(of - 1, 0)], 5)
+        next_chunk = np.where(of + 1 < len(shapes), shapes[np.minimum(of + 1, len(shapes) - 1)], 5)
+        third = np.where(of + 2 < len(shapes), shapes[np.minimum(of + 2, len(shapes) - 1)], 5)
+        own = np.array([codes.own[t] for t in tok], np.int64)
+        case, low = own[:, 4], own[:, 0]
+        prev = lambda x, k=1: np.concatenate([np.full(k, 5, np.int64), x[:-k]])[:n] if n > k else np.full(n, 5, np.int64)
+        nxt = lambda x, k=1: np.concatenate([x[k:], np.full(k, 5, np.int64)])[:n] if n > k else np.full(n, 5, np.int64)
+        head = place == 0
+        out = np.stack([
+            _mix(gaps * 4 + after, 1, 101), _mix(chunk, np.minimum(place, 3), 102), _mix(sig, inner, 103), _mix(before_chunk, head + 10 * (sig > 0), 104),
+            _mix(next_chunk, head + 10 * case, 105), _mix(case, gaps * 4 + after, 106), _mix(case * 31 + prev(case), gaps, 107), _mix(case * 31 + nxt(case), after, 108),
+            _mix(case * 961 + nxt(case) * 31 + nxt(case, 2), after, 109), _mix(case * 31 + prev(low), gaps, 110), _mix(case * 31 + nxt(low), after, 111),
+            _mix(case * 961 + prev(low) * 31 + prev(low, 2), gaps, 112), _mix(case * 31 + nxt(own[:, 2], 2), after, 113), _mix(next_chunk * 31 + third, head, 114),
+        ], axis=1)
+        tie = np.array([codes.tie[t] for t in tok], np.int64)
+        at = np.flatnonzero(tie)
+        if len(at) > 1:
+            order = at[np.argsort(tie[at], kind="stable")]
+            same = tie[order[1:]] == tie[order[:-1]]
+            skips.append(np.stack([order[:-1][same], order[1:][same]], axis=1) + base)
+        docs.append(np.full(n, d))
+        starts.append(st)
+        ends.append(en)
+        toks.append(tok)
+        outers.append(out)
+        base += n
+    if not docs:
+        none = np.zeros(0, np.int64)
+        return Batch(none, none, none, none, np.zeros((0, _OUTER), np.int64), np.zeros((0, 2), np.int64))
+    return Batch(*map(np.concatenate, (docs, starts, ends, toks, outers)), np.concatenate(skips) if skips else np.zeros((0, 2), np.int64))
+
+
+def _own_index(own: np.ndarray, offset: int) -> np.ndarray:
+    return np.stack([_mix(own[:, i], i, 7 + 13 * (offset + 5)) for i in _OFFSETS[offset]], axis=1)
+
+
+def feature_index(batch: Batch, codes: Codes, at: np.ndarray) -> np.ndarray:
+    """(nodes, features) places in the weights, for training on the nodes at the given places."""
     n = len(batch.doc)
-    at = np.arange(n) if at is None else at
-    out = np.empty((len(at), _INTRINSIC * len(_OFFSETS) + 6), np.int32)
-    pad = np.full(_INTRINSIC, 7, np.int64)
-    col, near = 0, {}
+    table = np.array(codes.own, np.int64).reshape(-1, _OWN)
+    cols = []
     for o in _OFFSETS:
-        j = np.clip(at + o, 0, max(0, n - 1))
+        j = np.clip(at + o, 0, n - 1)
         same = (at + o >= 0) & (at + o < n) & (batch.doc[j] == batch.doc[at])
-        near[o] = np.where(same[:, None], batch.codes[j], pad)
-        for i in range(_INTRINSIC):
-            out[:, col] = (near[o][:, i] * 2654435761 + (o + 3) * 40503 * (i + 1)) % 2147483629 % DIM
-            col += 1
-    shape, affix = near[0][:, 4], near[0][:, 3]
-    for salt, mine, a in ((11, shape, near[-1][:, 0]), (13, shape, near[1][:, 0]), (17, shape, near[-1][:, 4]), (19, shape, near[1][:, 4]), (23, affix, near[-1][:, 4]), (29, shape, near[1][:, 3])):
-        out[:, col] = (mine * 1000003 + a * 7919 + salt) % 2147483629 % DIM
-        col += 1
-    return out
+        cols.append(np.where(same[:, None], _own_index(table[batch.token[j]], o), o + 5))
+    return np.concatenate([*cols, batch.outer[at]], axis=1)
 
 
 @dataclass
@@ -146,10 +246,25 @@ class Field:
     skip: np.ndarray
 
 
-def unary(field: Field, index: np.ndarray) -> np.ndarray:
-    score = np.tile(field.bias, (len(index), 1))
-    for c in range(index.shape[1]):
-        score += field.weights[index[:, c]]
+def unary(field: Field, batch: Batch, codes: Codes) -> np.ndarray:
+    """Node potentials. What depends on a token's text alone is added up once per distinct text and offset."""
+    n = len(batch.doc)
+    score = np.tile(field.bias, (n, 1)).astype(np.float32)
+    for c in range(batch.outer.shape[1]):
+        score += field.weights[batch.outer[:, c]]
+    distinct, inverse = np.unique(batch.token, return_inverse=True)
+    own = np.array([codes.own[t] for t in distinct], np.int64).reshape(-1, _OWN)
+    for o in _OFFSETS:
+        part = field.weights[_own_index(own, o)].sum(1)
+        edge = len(_OFFSETS[o]) * field.weights[o + 5]
+        lo, hi = max(0, -o), min(n, n - o)
+        if hi <= lo:
+            score += edge
+            continue
+        add = np.tile(edge, (n, 1))
+        same = batch.doc[lo:hi] == batch.doc[lo + o : hi + o]
+        add[lo:hi][same] = part[inverse[lo + o : hi + o][same]]
+        score += add
     return score
 
 
@@ -159,21 +274,9 @@ def chain_edges(batch: Batch) -> np.ndarray:
 
 
 def beliefs(field: Field, batch: Batch, score: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Log beliefs after loopy sum-product over chain and skip edges, all messages at once in each round.
-
-    Nodes that are none for sure (SURE) and lie more than REACH nodes from any other keep their own potential and send nothing.
-    """
-    p = np.exp(score - score.max(1, keepdims=True))
-    open_ = p[:, 0] < SURE * p.sum(1)
-    for e in (batch.skip,):
-        if len(e):
-            tied = open_[e[:, 0]] | open_[e[:, 1]]
-            open_[e[tied].ravel()] = True
-    wide = np.convolve(open_, np.ones(2 * REACH + 1), "same") > 0.5 if len(open_) else open_
-    chain = chain_edges(batch)
+    """Log beliefs after loopy sum-product over all chain and skip edges, all messages at once in each round."""
     state = []
-    for e, psi in ((chain, field.chain), (batch.skip, field.skip)):
-        e = e[wide[e[:, 0]] & wide[e[:, 1]]] if len(e) else e
+    for e, psi in ((chain_edges(batch), field.chain), (batch.skip, field.skip)):
         if len(e):
             zero = np.zeros((len(e), LABELS), np.float32)
             state.append([e[:, 0], e[:, 1], np.exp(psi).astype(np.float32), zero, zero])
@@ -195,127 +298,204 @@ def _message(cavity: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return m - m.max(1, keepdims=True)
 
 
-def fit(texts: list[str], epochs: int = 25, seed: int = 1) -> Field:
-    """Piecewise training on rule labels of the given texts."""
-    texts = [t for t in texts if t and len(t) <= 20_000]  # the sample only; all texts are labelled whole
-    batch = read(texts, Lexicon())
+_SYLLABLES = ("ba be bo bra ca che co da del do dri fa fe fin ga gen go ha hen ho ja jo ka kel ko la len lo ma mer mi na nel no pa per po ra ren ri sa sen so ta ter ti to va ven vi wa wil ya zan ze smith ton ley son well wood ford er o a").split()
+
+
+def _invented(rng: random.Random, like: str) -> str:
+    word = "".join(rng.choice(_SYLLABLES) for _ in range(rng.choice((2, 2, 2, 3, 3, 1))))
+    word = word if len(word) > 2 else word + rng.choice(("n", "s", "rd"))
+    return word.upper() if like.isupper() else word.title() if like[:1].isupper() else word
+
+
+def renamed(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with the words of its names, and some other capitalised words, replaced by invented ones, and the spans in it."""
+    held: dict[str, str] = {}
+    out, moved, at = [], [], 0
+    people = [(a, b) for a, b, k in spans if k == 5]
+    inside = lambda p, q: next((s for s in spans if s[0] <= p and q <= s[1]), None)
+    edits = []
+    for a, b in people:
+        edits += [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\W\d_]{2,}", text[a:b]) if m.group() not in ("von", "van", "der", "den", "de", "la", "del", "da", "di", "al")]
+    for m in re.finditer(r"(?<=[a-z] )[A-ZÀ-Þ][^\W\d_]{3,}(?![\w@.-])", text):
+        if inside(*m.span()) is None and rng.random() < 0.5:
+            edits.append(m.span())
+    shift = []
+    for a, b in sorted(edits):
+        if a < at:
+            continue
+        old = text[a:b]
+        new = held.setdefault(old.lower(), _invented(rng, old))
+        new = new.upper() if old.isupper() and len(old) > 1 else new.title() if old[:1].isupper() else new.lower()
+        out += [text[at:a], new]
+        shift.append((b, len(new) - len(old)))
+        at = b
+    out.append(text[at:])
+    edges = [b for b, _ in shift]
+    total = np.concatenate([[0], np.cumsum([s for _, s in shift])]).astype(int)
+    move = lambda x: x + int(total[int(np.searchsorted(edges, x, side="right"))])
+    for a, b, k in spans:
+        moved.append((move(a), move(b), k))
+    return "".join(out), moved
+
+
+def _softmax_fit(batch: Batch, codes: Codes, y: np.ndarray, docs: np.ndarray, epochs: int, seed: int) -> Field:
+    """Node potentials by Adagrad, on the documents marked in docs: all tokens near a value, and a part of the others at as much more weight."""
     field = Field(np.zeros((DIM, LABELS), np.float32), np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
-    if not len(batch.doc):
-        return field
-    y = np.concatenate([np.array(lex.rule_labels(t, lex.nodes(t)), np.int64) for t in texts])
     rng = np.random.default_rng(seed)
-    # all nodes near a candidate or a name, and a tenth of the others at ten times the weight
-    hot = (y > 0) | np.isin(np.array(batch.kind), ("email", "phone", "identity", "address", "initial"))
-    near = np.convolve(hot, np.ones(7), "same") > 0.5
-    chosen = np.flatnonzero(near | (rng.random(len(y)) < 0.1))
-    heavy = np.where(near[chosen], 1.0, 10.0).astype(np.float32)
-    index = feature_index(batch, chosen)
+    digit = np.array([codes.own[t][1] for t in batch.token]) == _crc("dd")
+    near = np.convolve(y > 0, np.ones(9), "same") > 0.5
+    share = np.where(near, 1.0, np.where(digit, 0.25, 0.05))
+    chosen = np.flatnonzero(docs[batch.doc] & (rng.random(len(y)) < share))
+    if not len(chosen):
+        return field
+    heavy = (1 / share[chosen]).astype(np.float32)
+    index = feature_index(batch, codes, chosen)
     target = np.eye(LABELS, dtype=np.float32)[y[chosen]]
     grad2 = np.full((DIM, LABELS), 1e-3, np.float32)
+    bias2 = np.full(LABELS, 1e-3, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(chosen))
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            score = unary(field, index[part])
+        for lo in range(0, len(order), 8192):
+            part = order[lo : lo + 8192]
+            score = np.tile(field.bias, (len(part), 1))
+            for c in range(index.shape[1]):
+                score += field.weights[index[part, c]]
             p = np.exp(score - score.max(1, keepdims=True))
-            err = (p / p.sum(1, keepdims=True) - target[part]) * heavy[part, None]
+            err = (p / p.sum(1, keepdims=True) - target[part]) * heavy[part, None] / 32
             flat = index[part].ravel()
-            g = np.stack([np.bincount(flat, weights=np.repeat(err[:, k], index.shape[1]), minlength=DIM) for k in range(LABELS)], axis=1).astype(np.float32) / 32
+            g = np.stack([np.bincount(flat, weights=np.repeat(err[:, k], index.shape[1]), minlength=DIM) for k in range(LABELS)], axis=1).astype(np.float32)
             grad2 += g * g
             field.weights -= 0.2 * g / np.sqrt(grad2)
-    field.chain = _pair_potential(y, chain_edges(batch))
-    field.skip = _pair_potential(y, batch.skip)
+            b = err.sum(0)
+            bias2 += b * b
+            field.bias -= 0.2 * b / np.sqrt(bias2)
     return field
 
 
-def _pair_potential(y: np.ndarray, edges: np.ndarray, smooth: float = 20.0, damp: float = 0.5) -> np.ndarray:
-    """Damped pointwise mutual information of the labels at both ends."""
-    if not len(edges):
-        return np.zeros((LABELS, LABELS))
-    n = np.zeros((LABELS, LABELS))
-    np.add.at(n, (y[edges[:, 0]], y[edges[:, 1]]), 1)
-    expected = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / n.sum()
-    return damp * np.log((n + smooth) / (expected + smooth))
-
-
-#: Titles, salutations and sentence words that stand next to a name and are no part of it.
-BESIDE = frozenset(
-    "hi hello dear hola hallo bonjour dr prof mr mrs ms miss frau herr mme mlle sr sra dra don doña patient patiente donor le la el die the saludos regards "
-    "bitte cordialement grüßen thanks best cc from to contact contacto kontakt bei les la los das der im in on at with and und et y".split()
-)
-_FAMILY_END = re.compile(rf"[A-Za-zÄÖÜäöüß]{{2,}}(?:{lex.ENDINGS})$", re.I)
-_RUN_BREAK = re.compile(r"[\n|;:]|  ")
-
-
-def _names(text: str, pieces: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Person names of a run of name nodes: a family name with a given name or initials."""
-    odd = lambda p: p[0] not in ("word", "initial") or text[p[1] : p[2]].lower() in BESIDE
-    while pieces and odd(pieces[0]):
-        pieces = pieces[1:]
-    while pieces and odd(pieces[-1]):
-        pieces = pieces[:-1]
-    # what follows the family name of a name without a comma is the next sentence
-    ends = [bool(_FAMILY_END.search(text[a:b])) for _, a, b in pieces]
-    if any(ends) and all(text[a:b] != "," for _, a, b in pieces):
-        pieces = pieces[: len(ends) - ends[::-1].index(True)]
-    commas = [i for i, (_, a, b) in enumerate(pieces) if text[a:b] == ","]
-    if commas:
-        left = pieces[: commas[0]]
-        words = [s for k, a, b in left if k == "word" for s in [text[a:b]]]
-        joined = sum(text[a:b] == "-" for _, a, b in left)
-        full = len(words) - joined > 1 and not any(w.lower() == "al" for w in words) or any(k == "initial" for k, _, _ in left)
-        if full or len(commas) > 1:
-            yield from _names(text, left)
-            yield from _names(text, pieces[commas[0] + 1 :])
-            return
-    words = [(a, b) for k, a, b in pieces if k == "word" and b - a > 2]
-    if words and len(words) + sum(k == "initial" or k == "word" and b - a == 1 for k, a, b in pieces) > 1:
-        spaced = re.search(r"[ ,]", text[pieces[0][1] : pieces[-1][2]])
-        if spaced:
-            yield pieces[0][1], pieces[-1][2]
-
-
-def spans(text: str, kinds: list[str], starts: list[int], ends: list[int], labels: np.ndarray) -> list[tuple[int, int, str]]:
-    """(start, end, pii kind) in order."""
-    out: list[tuple[int, int, str]] = []
-    run: list[tuple[str, int, int]] = []
-
-    def close() -> None:
-        out.extend((a, b, lex.KINDS[5]) for a, b in _names(text, run))
-        run.clear()
-
-    for k, a, b, y in zip(kinds, starts, ends, labels, strict=True):
-        if run and (y != 5 or _RUN_BREAK.search(text, run[-1][2], a)):
-            close()
-        if y == 5:
-            run.append((k, a, b))
-        elif y and k in ("email", "phone", "identity", "address"):
-            out.append((a, b, lex.KINDS[y]))
-    close()
-    return sorted(out)
-
-
-def label_texts(field: Field, texts: list[str | None], lexicon: Lexicon) -> list[list[tuple[int, int, str]]]:
-    """The spans of each text; texts are gathered into batches of nodes, a long text is a batch of its own."""
+def _edge_fit(field: Field, batch: Batch, score: np.ndarray, y: np.ndarray, docs: np.ndarray, steps: int = 120, decay: float = 2e-4) -> None:
+    """Transition and skip potentials by pseudo-likelihood: each label given its neighbours' labels and its own node potential."""
+    hot = np.convolve(y > 0, np.ones(5), "same") > 0.5
+    top = np.partition(score, -2, axis=1)
+    use = docs[batch.doc] & (hot | (top[:, -1] - top[:, -2] < 6.0))
+    if not use.any():
+        return
+    number = np.cumsum(use) - 1
+    eye, base = np.eye(LABELS), score[use].astype(np.float64)
+    gold = eye[y[use]]
+    # per kind of edge: the nodes that look forward, and what stands there; the nodes that look back, and what stands there
+    sides = []
+    for e in (chain_edges(batch), batch.skip):
+        ahead, back = e[use[e[:, 0]]], e[use[e[:, 1]]]
+        sides.append((number[ahead[:, 0]], y[ahead[:, 1]], number[back[:, 1]], y[back[:, 0]]))
+    psis = [np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))]
+    squares = [np.full((LABELS, LABELS), 1e-6) for _ in psis]
+    for _ in range(steps):
+        logits = base.copy()
+        for psi, (n1, y1, n2, y2) in zip(psis, sides, strict=True):
+            logits[n1] += psi.T[y1]
+            logits[n2] += psi[y2]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        err = p / p.sum(1, keepdims=True) - gold
+        for i, (n1, y1, n2, y2) in enumerate(sides):
+            g = (err[n1].T @ eye[y1] + eye[y2].T @ err[n2]) / len(base) + decay * psis[i]
+            squares[i] += g * g
+            psis[i] -= 0.3 * g / np.sqrt(squares[i])
+    field.chain, field.skip = psis[0], (psis[1] + psis[1].T) / 2
+
+
+def fit(texts: list[str], epochs: int = 10, seed: int = 1) -> Field:
+    """Node potentials on all texts and their renamed copies; edge potentials on one half with node potentials of the other."""
+    texts = [t for t in texts if t]
+    rng = random.Random(seed)
+    names = lex.learn_names(texts)
+    marked = [(t, lex.rule_spans(t, names)) for t in texts]
+    marked += [renamed(t, s, rng) for t, s in marked]
+    codes = Codes()
+    batch = read([t for t, _ in marked], codes)
+    if not len(batch.doc):
+        return Field(np.zeros((DIM, LABELS), np.float32), np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
+    bounds = np.searchsorted(batch.doc, np.arange(len(marked) + 1))
+    y = np.concatenate([np.array(lex.token_labels(list(zip(batch.start[a:b].tolist(), batch.end[a:b].tolist(), strict=True)), s), np.int64) for (_, s), a, b in zip(marked, bounds[:-1], bounds[1:], strict=True)])
+    half = np.arange(len(marked)) % len(texts) % 2 == 0
+    copies = np.arange(len(marked)) >= len(texts)
+    field = _softmax_fit(batch, codes, y, np.ones(len(marked), bool), epochs, seed)
+    other = _softmax_fit(batch, codes, y, half, max(2, epochs // 3), seed + 1)
+    _edge_fit(field, batch, unary(other, batch, codes), y, ~half & copies)
+    return field
+
+
+_WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def _holds(kind: int, value: str) -> bool:
+    """What a value of the kind is by its definition: a mail has a sign for at, a name two parts and a word, a number its digits."""
+    digits = sum(c.isdigit() for c in value)
+    if kind == 1:
+        return bool(re.search(r"@|\bat\b|[\[(]at[\])]", value)) and bool(re.search(r"\.|dot", value))
+    if kind == 5:
+        return bool(_WORD.search(value)) and len(re.findall(r"[^\W\d_]+", value)) > 1 and bool(re.search(r"[ , ]", value))
+    return digits >= (6 if kind in (2, 3) else 1)
+
+
+_END = re.compile(r"[.;:!?,]$")
+
+
+def _parted(kind: int, text: str, last: tuple[int, int], nxt: int) -> bool:
+    """Whether a value of the kind cannot go on from the token at last to the one that starts at nxt: over a line break, or over the end of a sentence."""
+    between = text[last[1] : nxt]
+    if "\n" in between:
+        return True
+    if not between or kind in (1, 4):
+        return False
+    mark = text[last[0] : last[1]]
+    # a point after more than an initial
+    return bool(_END.match(mark)) and mark != "," and (kind != 5 or text[max(0, last[0] - 2) : last[0]].isalpha())
+
+
+def _trimmed(a: int, b: int, k: int, text: str) -> tuple[int, int, int]:
+    """Without surrounding punctuation; an abbreviation point of a street name stays."""
+    while b > a and text[b - 1] in ".,;:!?" and not (k == 4 and text[b - 1] == "." and text[b - 2 : b - 1].isalpha()) and not (k == 5 and text[b - 1] == "." and re.search(r"(?<![^\W\d_])[^\W\d_]\.$", text[a:b])):
+        b -= 1
+    return a, b, k
+
+
+def spans(text: str, starts: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, pii kind) in order, from the labels of the tokens."""
+    out: list[tuple[int, int, int]] = []
+    kinds = (labels + 1) // 2
+    last = -2
+    for i in np.flatnonzero(labels).tolist():
+        k, a, b = int(kinds[i]), int(starts[i]), int(ends[i])
+        if out and last == i - 1 and out[-1][2] == k and labels[i] == 2 * k and not _parted(k, text, (int(starts[last]), int(ends[last])), a):
+            out[-1] = (out[-1][0], b, k)
+        else:
+            out.append((a, b, k))
+        last = i
+    return [(a, b, lex.KINDS[k]) for a, b, k in (_trimmed(*s, text) for s in out) if _holds(k, text[a:b])]
+
+
+def label_texts(field: Field, texts: list[str | None], codes: Codes) -> list[list[tuple[int, int, str]]]:
+    """The spans of each text; texts are gathered into batches of tokens, a long text is a batch of its own."""
     result: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     group: list[int] = []
     size = 0
 
     def run() -> None:
-        batch = read([texts[i] for i in group], lexicon)
+        codes.tidy()
+        batch = read([texts[i] for i in group], codes)
         if len(batch.doc):
-            y = beliefs(field, batch, unary(field, feature_index(batch))).argmax(1)
+            y = beliefs(field, batch, unary(field, batch, codes)).argmax(1)
             bounds = np.searchsorted(batch.doc, np.arange(len(group) + 1))
             for g, i in enumerate(group):
                 a, b = bounds[g], bounds[g + 1]
                 if y[a:b].any():
-                    result[i] = spans(texts[i], batch.kind[a:b], batch.start[a:b], batch.end[a:b], y[a:b])
+                    result[i] = spans(texts[i], batch.start[a:b], batch.end[a:b], y[a:b])
         group.clear()
 
     for i, t in enumerate(texts):
         if not t:
             continue
-        if group and size + len(t) > NODES_PER_BATCH * 5:
+        if group and size + len(t) > CHARS_PER_BATCH:
             run()
             size = 0
         group.append(i)
@@ -325,9 +505,9 @@ def label_texts(field: Field, texts: list[str | None], lexicon: Lexicon) -> list
     return result
 
 
-def train(docs: DataFrame, doc_id: str, text: str, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fit on at most `train_docs` whole documents: those with a cue first, among them the smallest hashes of the id."""
-    kept = docs.select(F.col(text).alias("t"), F.xxhash64(doc_id).alias("h")).filter("t is not null")
+def train(docs: DataFrame, doc_id: str, text: str, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Field:
+    """Fit on at most `train_docs` whole documents of at most `train_chars` characters: those with a cue first, among them the smallest hashes of the id."""
+    kept = docs.select(F.col(text).alias("t"), F.xxhash64(doc_id).alias("h")).filter(F.col("t").isNotNull() & (F.length("t") <= train_chars))
     sample = kept.withColumn("cued", F.col("t").rlike(CUES)).orderBy(F.desc("cued"), "h", "t").limit(train_docs)
     return fit([r.t for r in sample.collect()])
 
@@ -336,12 +516,12 @@ def _run(df: DataFrame, field: Field, doc_id: str, text: str, schema: str, rows)
     shared = df.sparkSession.sparkContext.broadcast((field.weights, field.bias, field.chain, field.skip))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, lexicon = Field(*shared.value), Lexicon()
+        mine, codes = Field(*shared.value), Codes()
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):  # bounds the memory of long texts
                 part = pdf.iloc[lo : lo + 1000]
                 texts = [t if isinstance(t, str) else None for t in part["text"]]
-                yield rows(part["doc_id"].tolist(), texts, label_texts(mine, texts, lexicon))
+                yield rows(part["doc_id"].tolist(), texts, label_texts(mine, texts, codes))
 
     return spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(work, schema)
 
