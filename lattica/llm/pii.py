@@ -7,7 +7,8 @@ square). Sum-product messages pass along all edges between all nodes for a fixed
 
 The field is fitted on at most `train_docs` whole documents of at most `train_chars` characters (those with a rough cue first), labelled by rules
 (`pii_lexer`) whose names are learned from the sample. Half of the training is done on copies of these documents in which every name, and some other
-words, are replaced by invented ones: what is left to learn there is the context, so unseen names are found. The node potentials are a softmax
+words, are replaced by invented ones, and some names are said again among words that tell nothing: what is left to learn there is the
+context, and for the repeated ones the tie to their first mention. The node potentials are a softmax
 regression over hashed features of the token, its neighbours, its blank-free chunk and its run of digits. The edge potentials are
 fitted by pseudo-likelihood on documents that the node potentials they are fitted with have not seen. The weights, a few MB whatever the table's size,
 are broadcast. Every document is labelled whole, in Arrow batches; there is no shuffle, unless the input has fewer splits than there are cores.
@@ -203,7 +204,7 @@ def read(texts: list[str], codes: Codes) -> Batch:
             _mix(next_chunk, head + 10 * case, 105), _mix(case, gaps * 4 + after, 106), _mix(case * 31 + prev(case), gaps, 107), _mix(case * 31 + nxt(case), after, 108),
             _mix(case * 961 + nxt(case) * 31 + nxt(case, 2), after, 109), _mix(case * 31 + prev(low), gaps, 110), _mix(case * 31 + nxt(low), after, 111),
             _mix(case * 961 + prev(low) * 31 + prev(low, 2), gaps, 112), _mix(case * 31 + nxt(own[:, 2], 2), after, 113), _mix(next_chunk * 31 + third, head, 114),
-        ], axis=1)
+        ], axis=1).astype(np.int32)
         tie = np.array([codes.tie[t] for t in tok], np.int64)
         at = np.flatnonzero(tie)
         if len(at) > 1:
@@ -218,7 +219,7 @@ def read(texts: list[str], codes: Codes) -> Batch:
         base += n
     if not docs:
         none = np.zeros(0, np.int64)
-        return Batch(none, none, none, none, np.zeros((0, _OUTER), np.int64), np.zeros((0, 2), np.int64))
+        return Batch(none, none, none, none, np.zeros((0, _OUTER), np.int32), np.zeros((0, 2), np.int64))
     return Batch(*map(np.concatenate, (docs, starts, ends, toks, outers)), np.concatenate(skips) if skips else np.zeros((0, 2), np.int64))
 
 
@@ -235,7 +236,7 @@ def feature_index(batch: Batch, codes: Codes, at: np.ndarray) -> np.ndarray:
         j = np.clip(at + o, 0, n - 1)
         same = (at + o >= 0) & (at + o < n) & (batch.doc[j] == batch.doc[at])
         cols.append(np.where(same[:, None], _own_index(table[batch.token[j]], o), o + 5))
-    return np.concatenate([*cols, batch.outer[at]], axis=1)
+    return np.concatenate([*(c.astype(np.int32) for c in cols), batch.outer[at]], axis=1)
 
 
 @dataclass
@@ -338,45 +339,92 @@ def renamed(text: str, spans: list[tuple[int, int, int]], rng: random.Random) ->
     return "".join(out), moved
 
 
-def _softmax_fit(batch: Batch, codes: Codes, y: np.ndarray, docs: np.ndarray, epochs: int, seed: int) -> Field:
-    """Node potentials by Adagrad, on the documents marked in docs: all tokens near a value, and a part of the others at as much more weight."""
-    field = Field(np.zeros((DIM, LABELS), np.float32), np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
+def echoed(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with one of its names said again at the end between words of the text that tell nothing, and the spans in it."""
+    people = [s for s in spans if s[2] == 5 and "\n" not in text[s[0] : s[1]]]
+    words = re.findall(r"(?<= )[a-zß-ÿ]{2,}(?= )", text)
+    if not people or len(words) < 4:
+        return text, spans
+    a, b, _ = rng.choice(people)
+    before, after = (" ".join(rng.sample(words, rng.choice((1, 2)))) for _ in "ab")
+    start = len(text) + 1 + len(before) + 1
+    return f"{text} {before.capitalize()} {text[a:b]} {after}.", [*spans, (start, start + b - a, 5)]
+
+
+@dataclass
+class Sample:
+    """Chosen tokens of the training documents: feature places, labels, weights, and the document of each."""
+
+    index: np.ndarray
+    y: np.ndarray
+    heavy: np.ndarray
+    doc: np.ndarray
+
+
+def _labels(batch: Batch, marked: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray:
+    bounds = np.searchsorted(batch.doc, np.arange(len(marked) + 1))
+    parts = [lex.token_labels(list(zip(batch.start[a:b].tolist(), batch.end[a:b].tolist(), strict=True)), s) for (_, s), a, b in zip(marked, bounds[:-1], bounds[1:], strict=True)]
+    return np.array([x for p in parts for x in p], np.int64)
+
+
+def _sample(marked: list[tuple[str, list[tuple[int, int, int]]]], codes: Codes, seed: int, docs_at_once: int = 200) -> Sample:
+    """All tokens near a value, and a part of the others at as much more weight; read in parts, so that only what is chosen stays in memory."""
+    rng = np.random.default_rng(seed)
+    parts: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(marked), docs_at_once):
+        part = marked[lo : lo + docs_at_once]
+        batch = read([t for t, _ in part], codes)
+        if not len(batch.doc):
+            continue
+        y = _labels(batch, part)
+        digit = np.array([codes.own[t][1] for t in batch.token]) == _crc("dd")
+        share = np.where(np.convolve(y > 0, np.ones(9), "same") > 0.5, 1.0, np.where(digit, 0.25, 0.05))
+        chosen = np.flatnonzero(rng.random(len(y)) < share)
+        parts.append((feature_index(batch, codes, chosen), y[chosen].astype(np.int8), (1 / share[chosen]).astype(np.float32), (batch.doc[chosen] + lo).astype(np.int32)))
+    if not parts:
+        return Sample(np.zeros((0, 1), np.int32), np.zeros(0, np.int8), np.zeros(0, np.float32), np.zeros(0, np.int32))
+    return Sample(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _empty_field() -> Field:
+    return Field(np.zeros((DIM, LABELS), np.float32), np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
+
+
+def _softmax_fit(sample: Sample, docs: np.ndarray, epochs: int, seed: int) -> Field:
+    """Node potentials by Adagrad, on the documents marked in docs."""
+    field = _empty_field()
     rng = np.random.default_rng(seed)
-    digit = np.array([codes.own[t][1] for t in batch.token]) == _crc("dd")
-    near = np.convolve(y > 0, np.ones(9), "same") > 0.5
-    share = np.where(near, 1.0, np.where(digit, 0.25, 0.05))
-    chosen = np.flatnonzero(docs[batch.doc] & (rng.random(len(y)) < share))
-    if not len(chosen):
-        return field
-    heavy = (1 / share[chosen]).astype(np.float32)
-    index = feature_index(batch, codes, chosen)
-    target = np.eye(LABELS, dtype=np.float32)[y[chosen]]
+    rows = np.flatnonzero(docs[sample.doc])
+    width = sample.index.shape[1]
+    eye = np.eye(LABELS, dtype=np.float32)
     grad2 = np.full((DIM, LABELS), 1e-3, np.float32)
     bias2 = np.full(LABELS, 1e-3, np.float32)
     for _ in range(epochs):
-        order = rng.permutation(len(chosen))
+        order = rng.permutation(rows)
         for lo in range(0, len(order), 8192):
             part = order[lo : lo + 8192]
+            index = sample.index[part]
             score = np.tile(field.bias, (len(part), 1))
-            for c in range(index.shape[1]):
-                score += field.weights[index[part, c]]
+            for c in range(width):
+                score += field.weights[index[:, c]]
             p = np.exp(score - score.max(1, keepdims=True))
-            err = (p / p.sum(1, keepdims=True) - target[part]) * heavy[part, None] / 32
-            flat = index[part].ravel()
-            g = np.stack([np.bincount(flat, weights=np.repeat(err[:, k], index.shape[1]), minlength=DIM) for k in range(LABELS)], axis=1).astype(np.float32)
-            grad2 += g * g
-            field.weights -= 0.2 * g / np.sqrt(grad2)
+            err = (p / p.sum(1, keepdims=True) - eye[sample.y[part]]) * sample.heavy[part, None] / 32
+            flat = index.ravel()
+            for k in range(LABELS):
+                g = np.bincount(flat, weights=np.repeat(err[:, k], width), minlength=DIM).astype(np.float32)
+                grad2[:, k] += g * g
+                field.weights[:, k] -= 0.2 * g / np.sqrt(grad2[:, k])
             b = err.sum(0)
             bias2 += b * b
             field.bias -= 0.2 * b / np.sqrt(bias2)
     return field
 
 
-def _edge_fit(field: Field, batch: Batch, score: np.ndarray, y: np.ndarray, docs: np.ndarray, steps: int = 120, decay: float = 2e-4) -> None:
+def _edge_fit(field: Field, batch: Batch, score: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 2e-4) -> None:
     """Transition and skip potentials by pseudo-likelihood: each label given its neighbours' labels and its own node potential."""
     hot = np.convolve(y > 0, np.ones(5), "same") > 0.5
     top = np.partition(score, -2, axis=1)
-    use = docs[batch.doc] & (hot | (top[:, -1] - top[:, -2] < 6.0))
+    use = hot | (top[:, -1] - top[:, -2] < 6.0)
     if not use.any():
         return
     number = np.cumsum(use) - 1
@@ -409,18 +457,20 @@ def fit(texts: list[str], epochs: int = 10, seed: int = 1) -> Field:
     rng = random.Random(seed)
     names = lex.learn_names(texts)
     marked = [(t, lex.rule_spans(t, names)) for t in texts]
-    marked += [renamed(t, s, rng) for t, s in marked]
+    copies = [renamed(t, s, rng) for t, s in marked]
+    marked += [echoed(t, s, rng) if rng.random() < 0.5 else (t, s) for t, s in copies]
     codes = Codes()
-    batch = read([t for t, _ in marked], codes)
-    if not len(batch.doc):
-        return Field(np.zeros((DIM, LABELS), np.float32), np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
-    bounds = np.searchsorted(batch.doc, np.arange(len(marked) + 1))
-    y = np.concatenate([np.array(lex.token_labels(list(zip(batch.start[a:b].tolist(), batch.end[a:b].tolist(), strict=True)), s), np.int64) for (_, s), a, b in zip(marked, bounds[:-1], bounds[1:], strict=True)])
-    half = np.arange(len(marked)) % len(texts) % 2 == 0
-    copies = np.arange(len(marked)) >= len(texts)
-    field = _softmax_fit(batch, codes, y, np.ones(len(marked), bool), epochs, seed)
-    other = _softmax_fit(batch, codes, y, half, max(2, epochs // 3), seed + 1)
-    _edge_fit(field, batch, unary(other, batch, codes), y, ~half & copies)
+    sample = _sample(marked, codes, seed)
+    half = np.arange(len(marked)) % len(texts) % 2 == 0 if texts else np.zeros(0, bool)
+    if not len(sample.y):
+        return _empty_field()
+    field = _softmax_fit(sample, np.ones(len(marked), bool), epochs, seed)
+    other = _softmax_fit(sample, half, max(2, epochs // 3), seed + 1)
+    del sample
+    unseen = [m for i, m in enumerate(marked) if i >= len(texts) and not half[i]]
+    batch = read([t for t, _ in unseen], codes)
+    if len(batch.doc):
+        _edge_fit(field, batch, unary(other, batch, codes), _labels(batch, unseen))
     return field
 
 
