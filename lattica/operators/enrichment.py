@@ -1,7 +1,7 @@
 """Testing lists of items against annotated terms, in one plan for all lists and terms.
 
 lists: (list, item), annotation: (term, item). Pairs with a null are dropped and repeated ones count once. A list is cut to the
-background; lists or terms without items give no rows. Every window is over one row per tested pair, never over items.
+background; lists or terms without items give no rows. No window runs over the whole table in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.functions.numeric import enrichment_z, hypergeometric_tail, log10_p
-from lattica.session import maybe_broadcast
+from lattica.operators.ranks import ordered_extreme, ordered_prefix
+from lattica.session import cut, maybe_broadcast
 
 MAX_TERM = 800
 
@@ -43,36 +44,37 @@ def enrich(lists: DataFrame, annotation: DataFrame, background: DataFrame | None
     n_total, n_terms = universe.count(), cat.select("term").distinct().count()  # two numbers
     both = held.join(cat.filter(F.col("n_term") < max_size), "item").groupBy("list", "term", "n_term").agg(F.count("item").alias("n_overlap"))
     gated = both.filter(F.col("n_overlap") >= min_overlap).join(maybe_broadcast(sizes), "list").withColumns({"n_total": F.lit(n_total).cast("bigint"), "n_terms": F.lit(n_terms).cast("bigint")})
+    tested = test_columns(gated)
+    kept = tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment))
+    ranked = adjust(kept, "logp", "n_terms")
+    return ranked.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", "pct_in_term", "pct_sd", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
+
+
+def test_columns(df: DataFrame) -> DataFrame:
+    """df (n_overlap, n_term, n_list, n_total) with pct_in_term, pct_sd, enrichment, z_score and logp."""
     x, n1, n2, n = (F.col(c) for c in ("n_overlap", "n_term", "n_list", "n_total"))
     share = x / n2
     clamped = F.least(F.greatest(share, 1 / n2), 1 - 1 / n2)
-    tested = gated.withColumns({
+    return df.withColumns({
         "pct_in_term": share * 100, "pct_sd": F.sqrt(clamped * (1 - clamped) / n2) * 100, "enrichment": (x / n2) / (n1 / n),
         "z_score": enrichment_z(x, n, n1, n2), "logp": log10_p(hypergeometric_tail(x, n, n1, n2)),
     })
-    kept = tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment))
-    ranked = adjust(kept, "logp", "n_terms")
-    return ranked.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", "pct_in_term", "pct_sd", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
 
 
 def adjust(df: DataFrame, logp: str, n_tests: str) -> DataFrame:
     """df with bonferroni_log10, holm_log10 and bh_log10: adjusted log10 p with n_tests tests, of which df holds the reported ones.
 
-    The windows run over the reported tests (already gated), one row each.
+    Distinct p values are put in order by ranges over all tasks, with running extremes in two levels; rows look their value up.
     """
-    up = W.orderBy(F.col(logp).asc())
-    total = W.partitionBy(F.lit(0))
-    rank = F.rank().over(up)
-    last = F.count(F.lit(1)).over(up.rangeBetween(W.unboundedPreceding, 0))
+    per = df.groupBy(F.col(logp).alias("_p"), F.col(n_tests).alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = ordered_prefix(per.filter("_p is not null"), [], ["_p", "_t"], F.col("_c"), "_before")
     lg = lambda c: F.log10(c.cast("double"))
-    held = df.withColumn("_last", last).withColumn("_rank", rank).withColumn("_m", F.count(F.lit(1)).over(total))
-    held = held.withColumn("_bh", F.col(logp) + lg(F.col(n_tests)) - lg(F.col("_last"))).withColumn("_holm", F.col(logp) + lg(F.greatest(F.lit(1), F.col(n_tests) - F.col("_rank") + 1)))
+    told = ranked.withColumn("_bh", F.col("_p") + lg(F.col("_t")) - lg(F.col("_before") + F.col("_c"))).withColumn("_holm", F.col("_p") + lg(F.greatest(F.lit(1), F.col("_t") - F.col("_before"))))
+    holm = ordered_extreme(told, F.struct("_p", "_t"), "_holm", "_holm_run", largest=True)
+    both = cut(ordered_extreme(holm, F.struct(-F.col("_p"), -F.col("_t")), "_bh", "_bh_run", largest=False).select("_p", "_t", "_holm_run", "_bh_run"))
     cap = lambda c: F.least(F.lit(0.0), c)
-    return held.withColumns({
-        "bonferroni_log10": cap(F.col(logp) + lg(F.col(n_tests))),
-        "holm_log10": cap(F.max("_holm").over(up.rangeBetween(W.unboundedPreceding, 0))),
-        "bh_log10": cap(F.min("_bh").over(W.orderBy(F.col(logp).desc()).rangeBetween(W.unboundedPreceding, 0))),
-    }).drop("_last", "_rank", "_m", "_bh", "_holm")
+    met = df.join(both, F.col(logp).eqNullSafe(F.col("_p")) & (F.col(n_tests) == F.col("_t")), "left")
+    return met.withColumns({"bonferroni_log10": cap(F.col(logp) + lg(F.col(n_tests))), "holm_log10": cap(F.col("_holm_run")), "bh_log10": cap(F.col("_bh_run"))}).drop("_p", "_t", "_holm_run", "_bh_run")
 
 
 def best_per_parent(results: DataFrame, parents: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def rank_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(score).alias("score")).dropna().filter("not isnan(score)")
     scores = rows.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    upto = scores.withColumn("rank", F.sum("c").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, 0)))
+    upto = cut(ordered_prefix(scores, [], ["score"], F.col("c"), "before").withColumn("rank", F.col("before") + F.col("c")))
     total = rows.count()
     per = rows.groupBy("key", "score").agg(F.count(F.lit(1)).alias("c")).join(maybe_broadcast(upto.select("score", "rank")), "score")
     w = W.partitionBy("key").orderBy("score")

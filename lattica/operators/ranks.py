@@ -54,3 +54,20 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     ranked = placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(starts, same, "inner")
     return ranked.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_block", "_b", "_start", "_in", *[f"_k_{k}" for k in keys])
+
+
+def ordered_extreme(df: DataFrame, order: Column, value: str, name: str, largest: bool) -> DataFrame:
+    """df with `name`: the largest (or smallest) `value` over the rows up to and with each row in the given order, in two levels by ranges.
+
+    `order` must tell the rows apart (group equal ones first).
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    f = F.max if largest else F.min
+    placed = cut(df.withColumn("_o", order).repartitionByRange(parts, "_o").withColumn("_block", F.spark_partition_id()))
+    per = placed.groupBy("_block").agg(f(value).alias("_w"))  # at most one row per range
+    before = f("_w").over(W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = per.select(F.col("_block").alias("_b"), before.alias("_start"))
+    inside = f(value).over(W.partitionBy("_block").orderBy("_o").rowsBetween(W.unboundedPreceding, 0))
+    met = placed.withColumn("_in", inside).join(starts, F.col("_block") == F.col("_b"))
+    best = F.greatest("_in", "_start") if largest else F.least("_in", "_start")
+    return met.withColumn(name, best).drop("_o", "_block", "_b", "_start", "_in")

@@ -274,10 +274,24 @@ SQL = {
  p as (select a.list as list_a, b.list as list_b, count(*) as n_both from lists a join lists b on a.item = b.item and a.list < b.list group by 1, 2)
  select list_a, list_b, x.n as n_a, y.n as n_b, n_both, round(greatest(case when n_both <= greatest(0, x.n + y.n - m) then 0 else least(0, {_TAIL.format(x="n_both", n="m", n1="x.n", n2="y.n")}) end / ln(10), -100), 4) + 0.0::double as logp
  from p join s x on x.list = list_a join s y on y.list = list_b, u""",
-    "term_kappa": f"""{_KEPT}, best as (select term from kept group by 1 order by min(logp), max(enrichment) desc, term limit 2000), t as (select term, item from ann where term in (select term from best)),
+    "term_kappa": f"""{_KEPT}, best as (select distinct term from kept), t as (select term, item from ann where term in (select term from best)),
  s as (select term, count(*) as n from t group by 1), u as (select count(distinct item)::double as m from t), p as (select a.term as term_a, b.term as term_b, count(*) as shared from t a join t b on a.item = b.item and a.term < b.term group by 1, 2),
  k as (select *, x.n::double as na, y.n::double as nb, m - x.n - y.n + 2 * shared as o, (x.n::double * y.n + (m - x.n) * (m - y.n)) / m as c from p join s x on x.term = term_a join s y on y.term = term_b, u)
  select term_a, term_b, shared, round((o - c + 1e-10) / (m - c + 1e-10), 5) as kappa, round(greatest(shared / na, shared / nb), 5) as max_share from k""",
+    "rank_enrichment": f"""with r as (select categoryid as key, logp as s from go_result where categoryid is not null and logp is not null and cast(logp as varchar) <> 'nan'), t as (select count(*) as m from r),
+ u as (select s, sum(c) over (order by s) as rk from (select s, count(*) as c from r group by 1)), p as (select key, s, count(*) as c from r group by 1, 2),
+ q as (select key, rk::bigint as rk, (sum(c) over (partition by key order by s))::bigint as i, (sum(c) over (partition by key))::bigint as n, m from p join u using (s), t),
+ z as (select *, greatest(case when i <= greatest(0, n + rk - m) then 0 else least(0, {_TAIL.format(x="i", n="m", n1="n", n2="rk")}) end / ln(10), -100) as lp from q)
+ select key, n, rk as best_rank, i as n_best, round(lp, 4) as logp from z qualify row_number() over (partition by key order by lp, rk) = 1""",
+    "id_conversion": """with i as (select distinct symbol as input, upper(trim(symbol)) as up from gene_catalogue where symbol is not null),
+ pos as (select input, up, unnest(range(2, length(up) + 1)) as k from i), cuts as (select input, up, k from pos where not regexp_matches(substr(up, k, 1), '[A-Za-z0-9_]') and regexp_matches(substr(up, k - 1, 1), '[A-Za-z0-9_]')),
+ forms as (select input, up as form, 0 as generation from i where length(up) > 0 union all select input, substr(up, 1, k - 1), row_number() over (partition by input order by k desc) from cuts),
+ known as (select upper(trim(source_id)) as form, gid as gene, id_type_id as type, case id_type_id when 1 then 0 when 5 then 1 when 13 then 2 when 2 then 3 when 6 then 4 else 9 end as priority from gid2source_id where gid is not null and source_id is not null)
+ select input, form, gene, type from forms join known using (form) qualify row_number() over (partition by input order by generation, priority, gene, type, form) = 1""",
+    "gene_profile": " union all ".join(f"""select '{c}' as "column", (select count(*) from interaction where {x} is null) as n_null, (select count(distinct {x}) from interaction) as n_unique,
+ (select cast(v as varchar) from (select {x} as v, count(*) as n from interaction where {x} is not null group by 1) order by n desc, cast(v as varchar) limit 1) as most_popular,
+ {f"(select round(avg({x}), 4) from interaction)" if num else "null::double"} as mean, {f"(select round(stddev_samp({x}), 4) from interaction)" if num else "null::double"} as sd"""
+     for c, x, num in (("interaction_type_id", "interaction_type_id", True), ("score_combined", "(case when cast(score_combined as varchar) <> 'nan' then score_combined end)", True), ("ds", "ds", False), ("tax_id", "tax_id", True))),
     "node_degree": f"with {_EDGES}, {_SYM} select u as node, count(*) as degree from sym group by 1",
     "network_density": f"with {_EDGES} select n_nodes, n_edges, round(n_edges / (n_nodes::double * n_nodes), 9) as density from (select count(distinct node) as n_nodes from (select a as node from edges union select b from edges)), (select count(*) as n_edges from edges where a <> b)",
     "sub_network": f"with {_EDGES}, {_CHOSEN} select a, b, round(score, 6) as score from edges where a in (select node from chosen) and b in (select node from chosen)",
