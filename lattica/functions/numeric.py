@@ -143,3 +143,16 @@ def chi2_p(x: Column, df: Column) -> Column:
 
 def normal_p(z: Column) -> Column:
     return _kernel(normal_sf2)(z)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of 0 < p < 1, null outside, in Arrow batches."""
+    from statistics import NormalDist
+
+    inverse = NormalDist().inv_cdf
+
+    @F.pandas_udf("double")
+    def quantile(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: inverse(x) if 0 < x < 1 else None).astype("float64")
+
+    return quantile(p)

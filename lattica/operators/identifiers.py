@@ -54,3 +54,69 @@ def term_text(items: DataFrame, annotation: DataFrame, terms: DataFrame, top: in
     w = W.partitionBy("item").orderBy("n", "term")
     best = met.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
     return best.groupBy("item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "description"))), lambda x: x["description"]), "; ").alias("text"))
+
+
+def id_class(text: Column) -> Column:
+    """The kind of an outside identifier by its writing: transcript, protein, genomic or predicted record, ensembl, number, or symbol."""
+    t = F.upper(F.trim(text))
+    kinds = ((r"^[NX][MR]_\d+", "transcript"), (r"^[NX]P_\d+", "protein"), (r"^N[CGTW]_\d+", "genomic"), (r"^X[A-Z]_\d+", "predicted"), (r"^[A-Z]*ENS[A-Z]*[GTP]\d+", "ensembl"), (r"^\d+$", "number"))
+    out = F.when(t.isNull() | (F.length(t) == 0), F.lit(None).cast("string"))
+    for pattern, kind in kinds:
+        out = out.when(t.rlike(pattern), kind)
+    return out.otherwise("symbol")
+
+
+def without_version(text: Column) -> Column:
+    """An accession without its version number."""
+    return F.regexp_replace(F.trim(text), r"(?<=\d)\.\d+$", "")
+
+
+def described(genes: DataFrame, key: str, catalogue: DataFrame) -> DataFrame:
+    """genes with symbol, gene_type and tax_id of the catalogue (geneid, ...); an unknown gene has its own id as symbol.
+
+    A gene with several rows in the catalogue takes the smallest values that are not null.
+    """
+    one = catalogue.filter("geneid is not null").groupBy(F.col("geneid").alias("_id")).agg(*[F.min(c).alias(c) for c in ("symbol", "gene_type", "tax_id")])
+    met = genes.join(maybe_broadcast(one), F.col(key) == F.col("_id"), "left").drop("_id")
+    return met.withColumn("symbol", F.coalesce("symbol", F.col(key).cast("string")))
+
+
+def orthologs(genes: DataFrame, groups: DataFrame, tax_id: int) -> DataFrame:
+    """(gene, ortholog): genes of the species in the same group; a gene of the species itself is its own ortholog too.
+
+    genes: (gene), groups: (group, gene, tax_id).
+    """
+    ids = genes.select("gene").dropna().distinct()
+    g = groups.select("group", "gene", "tax_id").dropna().distinct()
+    other = g.filter(F.col("tax_id") == tax_id).select("group", F.col("gene").alias("ortholog")).distinct()
+    through = ids.join(g.select("group", "gene").distinct(), "gene").join(other, "group").select("gene", "ortholog")
+    own = ids.join(g.filter(F.col("tax_id") == tax_id).select("gene").distinct(), "gene", "left_semi").select("gene", F.col("gene").alias("ortholog"))
+    return through.unionByName(own).distinct()
+
+
+def resolve(inputs: DataFrame, text: str, steps: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(input, gene, step): the first of the steps (name, (form, gene)) that knows an input, written in capitals without blanks and version.
+
+    A form of several genes gives the smallest. Inputs that no step knows are absent.
+    """
+    asked = inputs.select(F.col(text).alias("input")).filter("input is not null").distinct().withColumn("form", F.upper(without_version(F.col("input")))).filter("form <> ''")
+    known = None
+    for i, (name, table) in enumerate(steps):
+        part = table.select(F.upper(without_version(F.col("form"))).alias("form"), "gene").dropna().groupBy("form").agg(F.min("gene").alias("gene")).withColumns({"order": F.lit(i), "step": F.lit(name)})
+        known = part if known is None else known.unionByName(part)
+    best = F.min(F.struct("order", "gene", "step"))
+    return asked.join(known, "form").groupBy("input").agg(best.alias("b")).select("input", "b.gene", "b.step")
+
+
+def convert_column(rows: DataFrame, text: str, mapping: DataFrame, name: str = "gene") -> DataFrame:
+    """rows with the gene that each text converts to (see `convert`), null where there is none; every row is kept."""
+    found = convert(rows, text, mapping).select(F.col("input").alias("_input"), F.col("gene").alias(name))
+    return rows.join(found, F.col(text) == F.col("_input"), "left").drop("_input")
+
+
+def names_of_species(catalogue: DataFrame, mapping: DataFrame, tax_id: int) -> DataFrame:
+    """(gene, name): symbols and outside identifiers of every gene of a species."""
+    genes = catalogue.filter((F.col("tax_id") == tax_id) & F.col("geneid").isNotNull())
+    own = genes.select(F.col("geneid").alias("gene"), F.col("symbol").alias("name"))
+    other = mapping.select(F.col("gid").alias("gene"), F.trim("source_id").alias("name")).join(genes.select(F.col("geneid").alias("gene")).distinct(), "gene", "left_semi")
+    return own.unionByName(other).filter("name is not null and name <> ''").distinct()

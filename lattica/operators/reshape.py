@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,75 @@ def even_rows(df: DataFrame, order: Sequence[str], n: int, total: int) -> DataFr
     ranked = grouped_prefix(df.withColumn("_one", F.lit(1)), ["_one"], list(order), name="_rank")
     step = F.floor(F.col("_rank") * n / total)
     return ranked.filter((F.col("_rank") == 0) | (step != F.floor((F.col("_rank") - 1) * n / total))).drop("_one", "_rank")
+
+
+def move_column(df: DataFrame, column: str, place: int) -> DataFrame:
+    """df with the column at the 0-based place among the others."""
+    others = [c for c in df.columns if c != column]
+    at = max(0, min(place, len(others))) if place >= 0 else max(0, len(others) + 1 + place)
+    return df.select(*others[:at], column, *others[at:])
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed by the dictionary; names the table does not have are ignored."""
+    return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+
+
+def equal_rows(df: DataFrame, key: str, value: object) -> DataFrame:
+    """Rows whose key equals the value; a null value asks for null keys."""
+    return df.filter(F.col(key).isNull() if value is None else F.col(key) == F.lit(value))
+
+
+def with_attribute(df: DataFrame, key: str, values: DataFrame, name: str, default: object = None) -> DataFrame:
+    """df with `name` looked up in values (key, value), the first by value where a key has several, default where it has none."""
+    one = values.select(F.col(values.columns[0]).alias("_k"), F.col(values.columns[1]).alias("_v")).filter("_k is not null").groupBy("_k").agg(F.min("_v").alias("_v"))
+    found = df.join(one, F.col(key) == F.col("_k"), "left")
+    return found.withColumn(name, F.coalesce("_v", F.lit(default)) if default is not None else F.col("_v")).drop("_k", "_v")
+
+
+def set_operation(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Distinct rows of the first column of both: intersect, union, minus or either (in exactly one); null names nothing."""
+    x, y = a.select(F.col(a.columns[0]).alias("item")).dropna().distinct(), b.select(F.col(b.columns[0]).alias("item")).dropna().distinct()
+    if how == "union":
+        return x.unionByName(y).distinct()
+    if how == "either":
+        return x.join(y, "item", "left_anti").unionByName(y.join(x, "item", "left_anti"))
+    return x.join(y, "item", {"intersect": "left_semi", "minus": "left_anti"}[how])
+
+
+def first_places(df: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
+    """Distinct values with the row at which each comes first in the given order, null once: (value, place columns...)."""
+    return df.groupBy(value).agg(F.min(F.struct(*order)).alias("_o")).select(value, *[F.col(f"_o.{c}").alias(c) for c in order])
+
+
+def natural_key(text: Column) -> tuple[Column, Column]:
+    """Sort keys of name_<n>: the text without its last number, and the number (-1 without one)."""
+    return F.regexp_replace(text, r"\d+$", ""), F.coalesce(F.regexp_extract(text, r"(\d+)$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def binned(value: Column, bounds: Sequence[float], labels: Sequence[float]) -> Column:
+    """labels[i] for the first bound below which the value lies (strictly), bounds descending; the last label beyond all, null for null."""
+    out = F.when(value.isNull() | F.isnan(value), F.lit(None).cast("double"))
+    for bound, label in zip(reversed(list(bounds)), reversed(list(labels[1:])), strict=True):
+        out = out.when(value < bound, float(label))
+    return out.otherwise(float(labels[0]))
+
+
+def parted_label(label: Column, width: int) -> tuple[Column, Column]:
+    """The id and the text of a label such as `19_GO:0000001 Some text`: the id has `width` characters after the first underscore."""
+    rest = F.regexp_replace(label, r"^[^_]*_", "")
+    return F.substring(rest, 1, width), F.trim(F.substring(rest, width + 1, 10_000))
+
+
+def split_rows(df: DataFrame, order: Sequence[str], parts: int, name: str = "part") -> DataFrame:
+    """df with a part number 0..parts-1 of nearly equal sizes in the given order, ranked in two levels."""
+    from lattica.operators.ranks import ordered_prefix
+
+    ranked = ordered_prefix(df, [], list(order), name="_rank")
+    total = df.count()
+    return ranked.withColumn(name, F.floor(F.col("_rank") * parts / max(total, 1)).cast("int")).drop("_rank")
+
+
+def sample_table(spark: SparkSession, rows: int, columns: int, seed: int = 0) -> DataFrame:
+    """Random normal numbers r0, r1, ... by row id."""
+    return spark.range(rows).select("id", *[F.randn(seed + i).alias(f"r{i}") for i in range(columns)])
