@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from lattica.functions.numeric import enrichment_z, hypergeometric_tail, log10_p
 from lattica.operators.enrichment import adjust
+from lattica.operators.ranks import ordered_prefix
 from lattica.session import cut, maybe_broadcast
 
 MIN_CLUSTER = 3
@@ -166,6 +167,44 @@ def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance:
     return state.select("node", F.col("f").alias("score"))
 
 
+def with_singletons(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the edges among the nodes, and a self loop for each node without one."""
+    ids = nodes.select("node").dropna().distinct()
+    inside = subnetwork(edges, nodes).select("a", "b").distinct()
+    linked = inside.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return inside.unionByName(ids.join(linked, "node", "left_anti").select(F.col("node").alias("a"), F.col("node").alias("b")))
+
+
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges without the nodes, (node) of neighbours that are left without any edge)."""
+    gone = nodes.select("node").dropna().distinct()
+    left = edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
+    before = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(gone, "node", "left_anti")
+    return left, before.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+
+
+def of_kinds(edges: DataFrame, without: tuple[str, ...] = ("Indirect", "ppp")) -> DataFrame:
+    """Edges whose kind is none of `without`; a null kind stays."""
+    return edges.filter(F.col("kind").isNull() | ~F.col("kind").isin(list(without)))
+
+
+def edge_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(a, b, evidence): the smaller evidence (node, value) of both ends; an end without any counts as 0."""
+    e = evidence.filter("node is not null").groupBy("node").agg(F.max("value").alias("value"))
+    one, two = (e.select(F.col("node").alias(x), F.col("value").alias(f"_{x}")) for x in "ab")
+    met = edges.select("a", "b").distinct().join(one, "a", "left").join(two, "b", "left")
+    return met.select("a", "b", F.least(F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))).alias("evidence"))
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """(component, n_nodes, n_edges, place): components by nodes, then edges, largest first, then the smaller name."""
+    comp = components(edges)
+    nodes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    links = edges.filter("a <> b").select("a", "b").distinct().join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    told = cut(nodes.join(links, "component", "left").na.fill(0, ["n_edges"]).select("component", "n_nodes", "n_edges", (-F.col("n_nodes")).alias("_n"), (-F.col("n_edges")).alias("_e")))
+    return ordered_prefix(told, [], ["_n", "_e", "component"], name="place").withColumn("place", F.col("place") + 1).drop("_n", "_e")
+
+
 def node_scores(edges: DataFrame) -> DataFrame:
     """(node, score, density, degree), node as text: each node from the edges of its closed neighbourhood, found as triangles.
 

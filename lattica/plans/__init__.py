@@ -1,0 +1 @@
+"""Plans that put operators together."""

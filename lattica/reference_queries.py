@@ -149,8 +149,8 @@ def network_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strong_modules(spark: SparkSession, d: str) -> DataFrame:
-    """Dense clusters among the strongest interactions."""
-    return network.dense_clusters(cut(edges(spark, d).filter("score >= 0.8")))
+    """Dense clusters of the whole network."""
+    return network.dense_clusters(cut(edges(spark, d)))
 
 
 def propagated_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +229,12 @@ def score_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 def score_tests(spark: SparkSession, d: str) -> DataFrame:
     r = statistics.one_way(table(spark, d, "interaction"), "ds", "score_combined")
-    return r.select(*[F.round(c, 4).alias(c) for c in ("f", "h")], "f_p", "h_p")
+    return r.select(*[F.round(c, 3).alias(c) for c in ("f", "h")])
+
+
+def score_test_p(spark: SparkSession, d: str) -> DataFrame:
+    """p of the same tests; no SQL has these tails."""
+    return statistics.one_way(table(spark, d, "interaction"), "ds", "score_combined").select("f_p", "h_p")
 
 
 def score_z_factor(spark: SparkSession, d: str) -> DataFrame:
@@ -253,13 +258,42 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     enrich_lists, adjusted_p, list_membership, list_overlap, term_kappa, term_clusters, cluster_representatives, merged_terms, rank_enrichment, node_degree, network_density, sub_network,
     hop_distance, over_connected, indirect_links, k_core, network_components, strong_modules, propagated_scores, id_conversion, nearest_ancestor, gene_text, gene_profile, melted_scores,
-    category_pivot, category_means, unlisted_genes, list_fingerprint, score_summary, score_mad, enrichment_gini, score_otsu, score_ranks, score_tests, score_z_factor, evidence_table, event_windows,
+    category_pivot, category_means, unlisted_genes, list_fingerprint, score_summary, score_mad, enrichment_gini, score_otsu, score_ranks, score_tests, score_test_p, score_z_factor, evidence_table, event_windows,
 )}
 
 _KEPT = f"{_TESTED}, kept as (select * from tested where logp <= log10(0.05))"
 _X = "(select ds as g, score_combined as x from interaction where ds is not null and score_combined is not null and cast(score_combined as varchar) <> 'nan')"
 
+def _rounds_core(k: int, rounds: int) -> str:
+    """The k-core by peeling in a fixed number of rounds, more than these tables need."""
+    steps = ["e0 as materialized (select a, b from edges where a <> b)"]
+    for i in range(rounds):
+        ok = f"(select node from (select a as node from e{i} union all select b from e{i}) group by 1 having count(*) >= {k})"
+        steps.append(f"e{i + 1} as materialized (select a, b from e{i} where a in {ok} and b in {ok})")
+    return f"with {_EDGES}, {', '.join(steps)} select a, b from e{rounds}"
+
+
+def _rounds_components(rounds: int) -> str:
+    steps = ["c0 as materialized (select node, node as c from (select a as node from edges union select b from edges))"]
+    for i in range(rounds):
+        steps.append(f"c{i + 1} as materialized (select x.node, least(x.c, coalesce(min(y.c), x.c)) as c from c{i} x left join sym on sym.v = x.node left join c{i} y on y.node = sym.u group by x.node, x.c)")
+    return f"with {_EDGES}, {_SYM}, {', '.join(steps)} select node, c as component from c{rounds}"
+
+
+def _rounds_propagation(rounds: int, alpha: float = 0.5) -> str:
+    steps = ["f0 as materialized (select node, y, y as f from y)"]
+    for i in range(rounds):
+        steps.append(f"f{i + 1} as materialized (select n.node, n.y, {alpha} * coalesce(sum(w.w * m.f), 0) + {1 - alpha} * n.y as f from f{i} n left join w on w.v = n.node left join f{i} m on m.node = w.u group by n.node, n.y)")
+    return f"""with {_EDGES}, {_CHOSEN}, links as (select a as u, b as v, score from edges where a <> b and score > 0 union all select b, a, score from edges where a <> b and score > 0), d as (select u, sum(score) as d from links group by 1),
+ w as materialized (select l.u, l.v, l.score / sqrt(x.d * y.d) as w from links l join d x on x.u = l.u join d y on y.u = l.v), y as (select d.u as node, case when d.u in (select node from chosen) then 1.0::double else 0.0::double end as y from d),
+ {', '.join(steps)} select node, round(f, 4) as score from f{rounds}"""
+
+
 SQL = {
+    "k_core": _rounds_core(3, 14),
+    "network_components": _rounds_components(14),
+    "propagated_scores": _rounds_propagation(26),
+    "category_means": "select list_name, categoryid, count(logp) as n, round(avg(logp), 6) as mean from go_result where logp is not null and cast(logp as varchar) <> 'nan' and categoryid is not null group by 1, 2",
     "enrich_lists": f"{_KEPT} select list, term, n_overlap, n_term, n_list, n_total, round(enrichment, 4) as enrichment, round(z_score, 4) as z_score, round(logp, 4) as logp from kept",
     "adjusted_p": f"""{_KEPT}, p as (select list, term, round(logp, 8) as lp, (select count(distinct term) from ann) as n from kept),
  r as (select *, rank() over (order by lp) as rk, count(*) over (order by lp range between unbounded preceding and current row) as last from p),
@@ -292,6 +326,10 @@ SQL = {
  (select cast(v as varchar) from (select {x} as v, count(*) as n from interaction where {x} is not null group by 1) order by n desc, cast(v as varchar) limit 1) as most_popular,
  {f"(select round(avg({x}), 4) from interaction)" if num else "null::double"} as mean, {f"(select round(stddev_samp({x}), 4) from interaction)" if num else "null::double"} as sd"""
      for c, x, num in (("interaction_type_id", "interaction_type_id", True), ("score_combined", "(case when cast(score_combined as varchar) <> 'nan' then score_combined end)", True), ("ds", "ds", False), ("tax_id", "tax_id", True))),
+    "score_tests": """with x as (select ds as g, score_combined as v from interaction where ds is not null and score_combined is not null and cast(score_combined as varchar) <> 'nan'), n as (select count(*)::double as n, count(distinct g) as k, sum(v) as s, sum(v * v) as q from x),
+ b as (select sum(s * s / m) as b from (select sum(v) as s, count(*) as m from x group by g)), r as (select g, v, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as rk, count(*) over (partition by v) as t from x),
+ h as (select sum(r * r / m) as rr from (select sum(rk::double) as r, count(*) as m from r group by g)), t as (select sum(t::double * t - 1) as t from r)
+ select round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 3) as f, round((12 / (n * (n + 1)) * rr - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 3) as h from n, b, h, t""",
     "node_degree": f"with {_EDGES}, {_SYM} select u as node, count(*) as degree from sym group by 1",
     "network_density": f"with {_EDGES} select n_nodes, n_edges, round(n_edges / (n_nodes::double * n_nodes), 9) as density from (select count(distinct node) as n_nodes from (select a as node from edges union select b from edges)), (select count(*) as n_edges from edges where a <> b)",
     "sub_network": f"with {_EDGES}, {_CHOSEN} select a, b, round(score, 6) as score from edges where a in (select node from chosen) and b in (select node from chosen)",

@@ -53,7 +53,7 @@ def read_sif(spark: SparkSession, path: str) -> DataFrame:
     """Edges (a, b, kind) of a SIF file; a line may name several targets, a single name is a self loop."""
     parts = F.split("value", r"\t")
     rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(parts.alias("p"))
-    flat = rows.select(F.get("p", F.lit(0)).alias("x"), F.coalesce(F.get("p", F.lit(1)), F.lit("Direct")).alias("kind"), F.explode(F.when(F.size("p") > 2, F.slice("p", 3, 100_000)).otherwise(F.array(F.get("p", F.lit(0))))).alias("y"))
+    flat = rows.select(F.get("p", F.lit(0)).alias("x"), F.coalesce(F.get("p", F.lit(1)), F.lit("Direct")).alias("kind"), F.explode(F.when(F.size("p") > 2, F.slice("p", F.lit(3), F.size("p"))).otherwise(F.array(F.get("p", F.lit(0))))).alias("y"))
     return flat.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind")
 
 
@@ -81,3 +81,55 @@ def catalog(spark: SparkSession) -> dict[str, object]:
     """Names known to the session's catalog."""
     c = spark.catalog
     return {"database": c.currentDatabase(), "databases": [d.name for d in c.listDatabases()], "tables": [t.name for t in c.listTables()]}
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """(value): each file as one string."""
+    return spark.read.text(path, wholetext=True)
+
+
+def read_inferred(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """A delimited table with a header whose types are inferred by one more pass."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=True)
+
+
+def is_header(row: list[str | None], allow_whole: bool = False) -> bool:
+    """Whether a first row looks like a header: no cell empty, none repeated, none a real number, whole numbers only if allowed."""
+    def number(x: str) -> bool:
+        try:
+            float(x)
+        except ValueError:
+            return False
+        return True
+
+    cells = [(c or "").strip() for c in row]
+    if not cells or any(not c for c in cells) or len(set(cells)) < len(cells):
+        return False
+    return all(not number(c) or (allow_whole and c.lstrip("+-").isdigit()) for c in cells)
+
+
+def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
+    df.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_named(df: DataFrame, name: str, append: bool = False) -> None:
+    """A table of the session's catalog from df, or rows added to it."""
+    df.write.mode("append" if append else "overwrite").saveAsTable(name)
+
+
+def read_database(spark: SparkSession, url: str, select: str, **options: str) -> DataFrame:
+    """A select over a database that speaks JDBC; its driver must be on the class path. Spark pushes filters on the result into it."""
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({select}) q", **options).load()
+
+
+def to_csv_text(df: DataFrame, sep: str = ",") -> DataFrame:
+    """(value): each row as one delimited line."""
+    return df.select(F.to_csv(F.struct(*df.columns), {"sep": sep}).alias("value"))
+
+
+def write_attributes(nodes: DataFrame, path: str, node: str = "node") -> None:
+    """Node attributes as `node = value` lines under their names, one folder per attribute."""
+    for c in nodes.columns:
+        if c != node:
+            rows = nodes.filter(F.col(c).isNotNull()).select(F.concat_ws(" = ", F.col(node).cast("string"), F.col(c).cast("string")).alias("value"))
+            rows.write.mode("overwrite").text(f"{path}/{c}")

@@ -183,7 +183,40 @@ def combined_networks(spark: SparkSession, d: str) -> DataFrame:
     return network.combine(*map(part, types)).select("a", "b", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (id_classes, gene_descriptions, gene_orthologs, resolved_ids, converted_rows, species_names, species_counts, genes_in_both, genes_in_one, first_reports, score_bins, natural_names, node_names, term_thirds, normal_scores, mean_tests, paired_tests, signed_ranks, score_correlation, robust_factor, two_way_tests, list_distances, quantile_scores, symbol_contingency, child_summary, gene_evidence, combined_networks)}
+def list_network(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among the genes of any list, single genes as links to themselves."""
+    return network.with_singletons(R.edges(spark, d), R.lists(spark, d).select(F.col("item").alias("node")))
+
+
+def pruned_network(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours left alone when the genes of all lists are taken out of the network."""
+    return network.without_nodes(R.edges(spark, d), R.lists(spark, d).select(F.col("item").alias("node")))[1]
+
+
+def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The smaller number of terms of both ends of every edge."""
+    n = R.annotation(spark, d).groupBy(F.col("item").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return network.edge_evidence(R.edges(spark, d), n)
+
+
+def network_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Components by size; their place is by nodes, edges, then name."""
+    return network.component_sizes(cut(R.edges(spark, d)))
+
+
+def score_auc(spark: SparkSession, d: str) -> DataFrame:
+    """How well the combined score tells physical reports from others."""
+    ia = table(spark, d, "interaction").withColumn("y", F.when(F.col("score_physical").isNull() | F.isnan("score_physical"), 0).otherwise(1))
+    return evidence.auc(ia, "y", "score_combined").withColumn("auc", F.round("auc", 6))
+
+
+def evidence_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct numbers of terms per gene with the number of genes at or above each."""
+    n = R.annotation(spark, d).groupBy("item").agg(F.count(F.lit(1)).alias("score"))
+    return evidence.cutoffs(n, 3, 3000)
+
+
+QUERIES = {f.__name__: f for f in (id_classes, gene_descriptions, gene_orthologs, resolved_ids, converted_rows, species_names, species_counts, genes_in_both, genes_in_one, first_reports, score_bins, natural_names, node_names, term_thirds, normal_scores, mean_tests, paired_tests, signed_ranks, score_correlation, robust_factor, two_way_tests, list_distances, quantile_scores, symbol_contingency, child_summary, gene_evidence, combined_networks, list_network, pruned_network, edge_evidence, network_parts, score_auc, evidence_cutoffs)}
 
 _NODES = f"{R._EDGES}, nodes as (select a as gene from edges union select b from edges)"
 _CLEAN = "x as (select ds as g, ia_id, tax_id, case when cast(score_combined as varchar) <> 'nan' then score_combined end as c, case when cast(score_physical as varchar) <> 'nan' then score_physical end as p from interaction)"
@@ -193,6 +226,14 @@ _KIND = """case when source_id is null or length(trim(source_id)) = 0 then null
  when regexp_matches(upper(trim(source_id)), '^[0-9]+$') then 'number' else 'symbol' end"""
 
 SQL = {
+    "gene_evidence": f"with {R._ANN}, a as (select {R._NUM.format(c='gene_a')} as item, 2.0 as w from interaction), b as (select * from a where item is not null union all select item, 1.0 from ann) select item, sum(w)::double as score from b group by 1",
+    "list_network": f"with {R._EDGES}, {R._LISTS}, n as (select distinct item as node from lists), e as (select a, b from edges where a in (select node from n) and b in (select node from n)) select a, b from e union all select node, node from n where node not in (select a from e union all select b from e)",
+    "pruned_network": f"with {_NODES}, {R._LISTS}, n as (select distinct item as node from lists), e as (select a, b from edges where a not in (select node from n) and b not in (select node from n)) select gene as node from nodes where gene not in (select node from n) and gene not in (select a from e union all select b from e)",
+    "edge_evidence": f"with {R._EDGES}, {R._ANN}, n as (select item, count(*)::double as v from ann group by 1) select a, b, least(coalesce(x.v, 0), coalesce(y.v, 0)) as evidence from edges left join n x on x.item = a left join n y on y.item = b",
+    "network_parts": f"with comp as ({R.SQL['network_components']}), {R._EDGES}, s as (select component, count(*) as n_nodes from comp group by 1), l as (select component, count(*) as n_edges from edges join comp on comp.node = a where a <> b group by 1) select component, n_nodes, coalesce(n_edges, 0) as n_edges, row_number() over (order by n_nodes desc, coalesce(n_edges, 0) desc, component) as place from s left join l using (component)",
+    "score_auc": """with x as (select score_combined as v, case when score_physical is null or cast(score_physical as varchar) = 'nan' then 0 else 1 end as y from interaction where score_combined is not null and cast(score_combined as varchar) <> 'nan'),
+ p as (select v, count(*) filter (y = 1) as p, count(*) filter (y = 0) as n from x group by 1), c as (select *, coalesce(sum(n) over (order by v rows between unbounded preceding and 1 preceding), 0) as b from p) select round(sum(p * (b + n / 2.0)) / (sum(p)::double * sum(n)), 6) as auc from c""",
+    "evidence_cutoffs": f"with {R._ANN}, s as (select count(*) as score from ann group by item), c as (select score, sum(count(*)) over (order by score desc) as n from s group by 1) select score, n::bigint as n from c where n >= 3 and n < 3000",
     "id_classes": f"select id_type_id, {_KIND} as kind, count(*) as n from gid2source_id where source_id is not null group by 1, 2",
     "gene_descriptions": f"with {_NODES}, c as (select geneid, min(symbol) as symbol, min(gene_type) as gene_type, min(tax_id) as tax_id from gene_catalogue where geneid is not null group by 1) select gene, coalesce(symbol, cast(gene as varchar)) as symbol, gene_type, tax_id from nodes left join c on geneid = gene",
     "gene_orthologs": f"""with {R._ANN}, ids as (select distinct item as gene from ann), g as (select distinct upper(trim(source_id)) as grp, gid as gene, tax_id from gid2source_id where id_type_id = 1 and source_id is not null and gid is not null and tax_id is not null)
