@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Distinct values of a key up to which one task ranks them.
+BLOCK_VALUES = 10_000
+
+
 def compress(df: DataFrame, key: Column, value: Column, measures: dict[str, Column] | None = None) -> DataFrame:
     """(key, value, n, <measure>...): one row per key and value with its frequency and measure sums."""
     measures = measures or {}
@@ -43,15 +47,15 @@ def profile(compressed: DataFrame, measures: Sequence[str] = ()) -> DataFrame:
 def weighted_percentiles(compressed: DataFrame, fractions: Sequence[float], blocks: int = 64) -> DataFrame:
     """(key, fraction, percentile): the smallest value whose cumulative weight reaches fraction * total.
 
-    Each key's values are cut into `blocks` sub-blocks of equal width between the key's least and
-    largest value; only the block weights are put in order per key, and only the block that holds
-    the wanted rank is ranked value by value.
+    A key of more than BLOCK_VALUES distinct values has them cut into `blocks` sub-blocks at quantiles of the values themselves, so a heavy
+    tail does not gather in one; only the block weights are put in order per key, and only the block that holds the wanted rank is ranked value by value.
     """
     kept = compressed.filter("value is not null").select("key", F.col("value").cast("double").alias("value"), "n").filter("not isnan(value)")
-    span = kept.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
-    width = (F.col("hi") - F.col("lo")) / blocks
-    cut = F.when(width > 0, F.least(F.lit(blocks - 1), F.floor((F.col("value") - F.col("lo")) / width).cast("int"))).otherwise(0)
-    placed = kept.join(span, "key").withColumn("block", cut)
+    span = kept.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
+    wide = span.filter(F.col("distinct") > BLOCK_VALUES).select(F.col("key").alias("_k"))
+    at = [i / blocks for i in range(1, blocks)]
+    edges = kept.join(wide, F.col("key") == F.col("_k"), "left_semi").groupBy(F.col("key").alias("_k")).agg(F.percentile_approx("value", at, 1000).alias("edges"))
+    placed = kept.join(span, "key").join(edges, F.col("key") == F.col("_k"), "left").withColumn("block", F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))))).drop("_k", "edges")
     sums = placed.groupBy("key", "block", "total").agg(F.sum("n").alias("w"))
     upto = sums.withColumn("before", F.sum("w").over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
     wanted = upto.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))

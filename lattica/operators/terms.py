@@ -37,7 +37,7 @@ def items_of(annotation: DataFrame, terms: DataFrame) -> DataFrame:
 
 def items_in(lists: DataFrame, annotation: DataFrame, terms: DataFrame) -> DataFrame:
     """(list, item): the items of each list that are in any of the terms."""
-    return clean_pairs(lists, "list", "item").join(items_of(annotation, terms), "item", "left_semi")
+    return clean_pairs(lists, "list", "item").join(items_of(annotation, terms), "item", "left_semi").select("list", "item")
 
 
 def categories(terms: DataFrame, category: str, prefix: str = "") -> DataFrame:
@@ -99,7 +99,7 @@ def with_evidence(lists: DataFrame, annotation: DataFrame, results: DataFrame, m
     """(list, item): items of a list that are in a term of the gated size which the list found at max_logp or better."""
     good = results.filter(F.col("n_term").between(min_size, max_size) & (F.col("logp") <= max_logp)).select("list", "term").distinct()
     found = good.join(clean_pairs(annotation, "term", "item"), "term").select("list", "item").distinct()
-    return clean_pairs(lists, "list", "item").join(found, ["list", "item"], "left_semi")
+    return clean_pairs(lists, "list", "item").join(found, ["list", "item"], "left_semi").select("list", "item")
 
 
 def specificity(results: DataFrame) -> DataFrame:

@@ -52,6 +52,15 @@ def test_weighted_percentiles(spark):
     assert not any(k == 4 for k, _ in got)
 
 
+def test_weighted_percentiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_VALUES", 20)
+    rng = random.Random(7)
+    xs = [10.0 ** rng.randint(0, 12) + rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(1, x) for x in xs] + [(2, 1.0)], "k int, v double")
+    got = {(r.key, r.fraction): r.percentile for r in C.weighted_percentiles(C.compress(df, F.col("k"), F.col("v")), [0.1, 0.5, 0.99], blocks=8).collect()}
+    assert got == {(1, 0.1): sorted(xs)[49], (1, 0.5): sorted(xs)[249], (1, 0.99): sorted(xs)[494]} | {(2, f): 1.0 for f in (0.1, 0.5, 0.99)}
+
+
 def test_pair_sides_counts_a_self_loop_once(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 2), (None, None)], "a int, b int")
     assert rows(C.pair_sides(df, F.col("a"), F.col("b"))) == [(1, 1), (1, 2), (2, 1), (2, None)]
