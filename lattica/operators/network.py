@@ -167,6 +167,20 @@ def propagate(edges: DataFrame, prior: DataFrame, alpha: float = 0.5, tolerance:
     return state.select("node", F.col("f").alias("score"))
 
 
+def list_edges(edges: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list, a, b, score): the edges among the items of each list (list, item), all lists in one join."""
+    held = lists.select("list", "item").dropna().distinct()
+    one = edges.select("a", "b", "score").join(held.withColumnRenamed("item", "a"), "a")
+    return one.join(held.withColumnRenamed("item", "b"), ["list", "b"]).select("list", "a", "b", "score")
+
+
+def list_neighbours(edges: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list, node, links): neighbours of each list's items that are not in the list, with the number of its items they link to."""
+    held = lists.select("list", F.col("item").alias("u")).dropna().distinct()
+    near = both_ways(edges).select("u", "v").join(held, "u").groupBy("list", F.col("v").alias("node")).agg(F.count_distinct("u").alias("links"))
+    return near.join(held.withColumnRenamed("u", "node"), ["list", "node"], "left_anti")
+
+
 def with_singletons(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): the edges among the nodes, and a self loop for each node without one."""
     ids = nodes.select("node").dropna().distinct()

@@ -186,12 +186,13 @@ def melted_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def category_pivot(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "go_result").filter("logp is not null and not isnan(logp) and categoryid is not null")
-    r = reshape.pivot_mean(df, "list_name", "categoryid", "logp", ["3", "5", "11", "19"])
-    return r.select("list_name", *[F.round(c, 6).alias(f"c{c}") for c in ("3", "5", "11", "19")])
+    cats = sorted(r[0] for r in df.select("categoryid").distinct().collect())  # a handful of kinds of terms
+    r = reshape.pivot_mean(df, "list_name", "categoryid", "logp", [str(c) for c in cats])
+    return r.select("list_name", *[F.round(str(c), 6).alias(f"c{c}") for c in cats])
 
 
 def category_means(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of the pivot over every category of the table, in long form; category_pivot has the four columns that its SQL names."""
+    """The cells of the pivot over every category of the table, in long form."""
     df = table(spark, d, "go_result").filter("logp is not null and not isnan(logp) and categoryid is not null")
     return reshape.mean_cells(df, "list_name", "categoryid", "logp").withColumn("mean", F.round("mean", 6))
 
@@ -347,8 +348,7 @@ SQL = {
  r as (select item, description, row_number() over (partition by item order by n, term) as r from ann join s using (term) join t using (term)) select item, string_agg(description, '; ' order by r) as text from r where r <= 3 group by 1""",
     "melted_scores": """with c as (select ia_id, case when cast(score_physical as varchar) <> 'nan' then score_physical end as p, case when cast(score_combined as varchar) <> 'nan' then score_combined end as q from interaction)
  select ia_id, 'score_physical' as variable, p as value from c where p is not null union all select ia_id, 'score_combined', q from c where q is not null union all select ia_id, null, null from c where p is null and q is null""",
-    "category_pivot": """select list_name, round(coalesce(avg(logp) filter (categoryid = 3), 0), 6) as c3, round(coalesce(avg(logp) filter (categoryid = 5), 0), 6) as c5, round(coalesce(avg(logp) filter (categoryid = 11), 0), 6) as c11, round(coalesce(avg(logp) filter (categoryid = 19), 0), 6) as c19
- from go_result where logp is not null and cast(logp as varchar) <> 'nan' and categoryid is not null group by 1""",
+    "category_pivot": "select list_name, " + ", ".join(f"round(coalesce(avg(logp) filter (categoryid = {c}), 0), 6) as c{c}" for c in (3, 5, 11, 19, 20, 21, 24, 27)) + " from go_result where logp is not null and cast(logp as varchar) <> 'nan' and categoryid is not null group by 1",
     "unlisted_genes": f"select distinct gene from (select {_NUM.format(c='gene_a')} as gene from interaction union all select {_NUM.format(c='gene_b')} from interaction) where gene is not null and gene not in (select geneid from gene_catalogue where geneid is not null)",
     "list_fingerprint": f"with {_LISTS} select list, count(distinct item) as n, md5(string_agg(cast(item as varchar), ' ' order by cast(item as varchar))) as md5 from lists group by 1",
     "score_summary": f"select g as ds, count(x) as n, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as sd, round(sqrt(avg(x * x)), 6) as rms from {_X} group by 1",

@@ -188,6 +188,16 @@ def list_network(spark: SparkSession, d: str) -> DataFrame:
     return network.with_singletons(R.edges(spark, d), R.lists(spark, d).select(F.col("item").alias("node")))
 
 
+def list_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges inside every list."""
+    return network.list_edges(R.edges(spark, d), R.lists(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def list_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of every list outside it."""
+    return network.list_neighbours(R.edges(spark, d), R.lists(spark, d)).select("list", "node", "links")
+
+
 def pruned_network(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours left alone when the genes of all lists are taken out of the network."""
     return network.without_nodes(R.edges(spark, d), R.lists(spark, d).select(F.col("item").alias("node")))[1]
@@ -216,7 +226,7 @@ def evidence_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return evidence.cutoffs(n, 3, 3000)
 
 
-QUERIES = {f.__name__: f for f in (id_classes, gene_descriptions, gene_orthologs, resolved_ids, converted_rows, species_names, species_counts, genes_in_both, genes_in_one, first_reports, score_bins, natural_names, node_names, term_thirds, normal_scores, mean_tests, paired_tests, signed_ranks, score_correlation, robust_factor, two_way_tests, list_distances, quantile_scores, symbol_contingency, child_summary, gene_evidence, combined_networks, list_network, pruned_network, edge_evidence, network_parts, score_auc, evidence_cutoffs)}
+QUERIES = {f.__name__: f for f in (id_classes, gene_descriptions, gene_orthologs, resolved_ids, converted_rows, species_names, species_counts, genes_in_both, genes_in_one, first_reports, score_bins, natural_names, node_names, term_thirds, normal_scores, mean_tests, paired_tests, signed_ranks, score_correlation, robust_factor, two_way_tests, list_distances, quantile_scores, symbol_contingency, child_summary, gene_evidence, combined_networks, list_network, list_edges, list_neighbours, pruned_network, edge_evidence, network_parts, score_auc, evidence_cutoffs)}
 
 _NODES = f"{R._EDGES}, nodes as (select a as gene from edges union select b from edges)"
 _CLEAN = "x as (select ds as g, ia_id, tax_id, case when cast(score_combined as varchar) <> 'nan' then score_combined end as c, case when cast(score_physical as varchar) <> 'nan' then score_physical end as p from interaction)"
@@ -228,6 +238,8 @@ _KIND = """case when source_id is null or length(trim(source_id)) = 0 then null
 SQL = {
     "gene_evidence": f"with {R._ANN}, a as (select {R._NUM.format(c='gene_a')} as item, 2.0 as w from interaction), b as (select * from a where item is not null union all select item, 1.0 from ann) select item, sum(w)::double as score from b group by 1",
     "list_network": f"with {R._EDGES}, {R._LISTS}, n as (select distinct item as node from lists), e as (select a, b from edges where a in (select node from n) and b in (select node from n)) select a, b from e union all select node, node from n where node not in (select a from e union all select b from e)",
+    "list_edges": f"with {R._EDGES}, {R._LISTS} select x.list, a, b, round(score, 6) as score from edges join lists x on x.item = a join lists y on y.item = b and y.list = x.list",
+    "list_neighbours": f"with {R._EDGES}, {R._SYM}, {R._LISTS} select l.list, v as node, count(distinct u) as links from sym join lists l on l.item = u where not exists (select 1 from lists m where m.list = l.list and m.item = v) group by 1, 2",
     "pruned_network": f"with {_NODES}, {R._LISTS}, n as (select distinct item as node from lists), e as (select a, b from edges where a not in (select node from n) and b not in (select node from n)) select gene as node from nodes where gene not in (select node from n) and gene not in (select a from e union all select b from e)",
     "edge_evidence": f"with {R._EDGES}, {R._ANN}, n as (select item, count(*)::double as v from ann group by 1) select a, b, least(coalesce(x.v, 0), coalesce(y.v, 0)) as evidence from edges left join n x on x.item = a left join n y on y.item = b",
     "network_parts": f"with comp as ({R.SQL['network_components']}), {R._EDGES}, s as (select component, count(*) as n_nodes from comp group by 1), l as (select component, count(*) as n_edges from edges join comp on comp.node = a where a <> b group by 1) select component, n_nodes, coalesce(n_edges, 0) as n_edges, row_number() over (order by n_nodes desc, coalesce(n_edges, 0) desc, component) as place from s left join l using (component)",
