@@ -155,8 +155,9 @@ def pigeonhole_join(inputs: DataFrame, refs: DataFrame, k: int) -> DataFrame:
 def map_values(inputs: DataFrame, text: str, refs: DataFrame, ref_text: str, k: int = 2, labels: Sequence[str] = (), added: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched): input rows with `ref` (the entry as written) and `edits`; input rows without one, `why` being 'no entry' or 'tie'.
 
-    labels and added are words of the caller's field that are written before or into a value and tell nothing ("symbol: x", "x (human)").
+    Other input columns are kept; ones that are named like these results are replaced. labels and added are words of the caller's field that are written before or into a value and tell nothing ("symbol: x", "x (human)").
     """
+    inputs = inputs.drop(*[c for c in ("ref", "edits", "why", "tie", "_value") if c != text])
     # both are read several times below, and bringing a text to its spelling is the costly part
     entries = cut(_read(refs.filter(F.col(ref_text).isNotNull()).select(F.col(ref_text).alias("ref")).distinct(), "ref", labels, added))
     vocabulary = class_words(entries)

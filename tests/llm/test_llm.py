@@ -75,7 +75,7 @@ def test_map_values(spark):
         "zaltomir kinase 5": None, "zaltomir receptor beta 2": None, "nuclear zaltomir receptor alpha 2": None, "ABCD13A": None, "XZ_1234568": None, "unknown": None, "": None, " ": None, "x" * 5000: None, "kinase": None, "7": None,
     }
     data = [(i, t, "clash") for i, t in enumerate([*typed, None, *list(typed)[:1]])]
-    matched, unmatched = idmap.map_values(spark.createDataFrame(data, "id int, text string, code string").drop("code").withColumn("kind", F.lit(1)), "text", refs, "name", labels=queries.LABELS, added=queries.ADDED)
+    matched, unmatched = idmap.map_values(spark.createDataFrame(data, "id int, text string, code string").withColumn("ref", F.lit(1)).withColumn("words", F.lit(2)).withColumn("why", F.lit(3)), "text", refs, "name", labels=queries.LABELS, added=queries.ADDED)
     got = {r.id: r.ref for r in matched.collect()}
     assert got == {i: typed[t] for i, t, _ in data if t in typed and typed[t]}
     assert {r.id for r in unmatched.collect()} == {i for i, _, _ in data} - set(got)
