@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.operators.network import components
+from lattica.operators.ranks import ordered_prefix
 from lattica.session import cut, maybe_broadcast
 
 MAX_LEAVES = 2000
@@ -151,7 +152,7 @@ def cluster_heads(results: DataFrame, clusters: DataFrame) -> DataFrame:
     met = results.join(clusters.select("term", "cluster"), "term")
     order = [F.col("logp").asc(), F.col("enrichment").desc(), F.col("term").asc()]
     best = met.groupBy("cluster").agg(F.min(F.struct("logp", (-F.col("enrichment")).alias("e"), "term")).alias("m"), F.max("enrichment").alias("best_enrichment"))
-    ranked = best.select(F.col("cluster").alias("_c"), "best_enrichment", F.row_number().over(W.orderBy("m")).alias("group_id"))
+    ranked = ordered_prefix(best, [], ["m"]).select(F.col("cluster").alias("_c"), "best_enrichment", (F.col("before") + 1).cast("int").alias("group_id"))
     first = F.row_number().over(W.partitionBy("cluster").orderBy(*order))
     return met.join(maybe_broadcast(ranked), F.col("cluster") == F.col("_c")).withColumn("first_in_group", (first == 1).cast("int")).drop("_c", "cluster")
 

@@ -141,8 +141,8 @@ def rank_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     upto = cut(ordered_prefix(scores, [], ["score"], F.col("c"), "before").withColumn("rank", F.col("before") + F.col("c")))
     total = rows.count()
     per = rows.groupBy("key", "score").agg(F.count(F.lit(1)).alias("c")).join(maybe_broadcast(upto.select("score", "rank")), "score")
-    w = W.partitionBy("key").orderBy("score")
-    cum = per.withColumn("i", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy("key")))
+    sizes = per.groupBy(F.col("key").alias("_k")).agg(F.sum("c").alias("n"))
+    cum = ordered_prefix(per, ["key"], ["score"], F.col("c")).withColumn("i", F.col("before") + F.col("c")).join(sizes, F.col("key") == F.col("_k"))
     cum = cum.withColumn("logp", log10_p(hypergeometric_tail(F.col("i"), F.lit(total).cast("bigint"), F.col("n"), F.col("rank"))))
     best = F.min(F.struct("logp", "rank", "i"))
     return cum.groupBy("key", "n").agg(best.alias("b")).select("key", "n", F.col("b.rank").alias("best_rank"), F.col("b.i").alias("n_best"), F.col("b.logp").alias("logp"))

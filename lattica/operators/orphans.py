@@ -47,14 +47,14 @@ def epochs(ledger: DataFrame) -> DataFrame:
 
 
 def placed_references(references: DataFrame, epoch_table: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """references (key, at, ...) with `epoch` (changes of the key up to then; null without a time) and `existing`, the count in it.
+    """references (key, at, ...) with `epoch` (changes of the key up to then; null without a time) and `existing`, the count in it; columns of these names are replaced.
 
     One row per key on the right, so the join never multiplies. The right side grows with the catalogue only; it is broadcast while its
     measured size allows it, so that a key that a third of all rows name moves nowhere. Beyond that Spark joins by key and AQE splits the hot one.
     """
     right = epoch_table.withColumnRenamed("key", "_key")
     right = maybe_broadcast(right) if max_rows is None else maybe_broadcast(right, max_rows=max_rows)
-    met = references.filter("key is not null").join(right, F.col("key") == F.col("_key"), "left")
+    met = references.drop("epoch", "existing", "changes").filter("key is not null").join(right, F.col("key") == F.col("_key"), "left")
     met = met.withColumn("_upto", F.when(F.col("at").isNotNull(), F.filter("changes", lambda c: c["at"] <= F.col("at"))))
     epoch = F.when(F.col("at").isNotNull(), F.when(F.col("_upto").isNull(), 0).otherwise(F.size("_upto")))
     existing = F.coalesce(F.try_element_at("_upto", F.lit(-1))["existing"], F.lit(0).cast("bigint"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -60,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     kept._cut_path = path
     if not _at_exit.get(spark.sparkContext.applicationId):
         _at_exit[spark.sparkContext.applicationId] = True
-        atexit.register(_quiet_clear, spark)
+        atexit.register(_quiet_clear, spark, shared_folder(spark))
     return kept
 
 
@@ -85,11 +86,11 @@ def clear_cuts(spark: SparkSession) -> None:
     _delete(spark, shared_folder(spark))
 
 
-def _quiet_clear(spark: SparkSession) -> None:
+def _quiet_clear(spark: SparkSession, folder: str) -> None:
     try:
-        clear_cuts(spark)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
+        _delete(spark, folder)
+    except Exception:  # noqa: BLE001 - the session is stopped by now; a folder that the driver sees can still be removed
+        shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

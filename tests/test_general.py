@@ -169,7 +169,7 @@ def test_orphans(spark):
     spans = O.epochs(O.add_changes(None, O.existence_deltas(cat, F.col("k"), F.col("f"), F.col("t"))))
     refs = [(1, day(d)) for d in (-1, 0, 9, 10, 14, 15, 19, 20, 99)] + [(2, day(1)), (3, day(3)), (4, day(1)), (None, day(1)), (1, None)]
     df = spark.createDataFrame([(i, k, at, "t", "f") for i, (k, at) in enumerate(refs)], "i int, key int, at timestamp, ref_table string, ref_field string")
-    found = O.orphan_rows(df, spans)
+    found = O.orphan_rows(df.withColumn("epoch", F.lit("x")).withColumn("existing", F.lit("y")), spans)
     assert sorted(r.i for r in found.collect()) == [0, 5, 6, 9, 10, 11, 13]
     counts = {r.period: (r.n_orphans, r.n_keys) for r in O.orphan_counts(found).collect()}
     assert sum(n for n, _ in counts.values()) == 7 and counts[None] == (1, 1)
