@@ -45,7 +45,8 @@ def enrich(lists: DataFrame, annotation: DataFrame, background: DataFrame | None
     both = held.join(cat.filter(F.col("n_term") < max_size), "item").groupBy("list", "term", "n_term").agg(F.count("item").alias("n_overlap"))
     gated = both.filter(F.col("n_overlap") >= min_overlap).join(maybe_broadcast(sizes), "list").withColumns({"n_total": F.lit(n_total).cast("bigint"), "n_terms": F.lit(n_terms).cast("bigint")})
     tested = test_columns(gated)
-    kept = tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment))
+    # read several times while p values are put in order
+    kept = cut(tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment)))
     ranked = adjust(kept, "logp", "n_terms")
     return ranked.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", "pct_in_term", "pct_sd", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
 
@@ -66,8 +67,8 @@ def adjust(df: DataFrame, logp: str, n_tests: str) -> DataFrame:
 
     Distinct p values are put in order by ranges over all tasks, with running extremes in two levels; rows look their value up.
     """
-    per = df.groupBy(F.col(logp).alias("_p"), F.col(n_tests).alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = ordered_prefix(per.filter("_p is not null"), [], ["_p", "_t"], F.col("_c"), "_before")
+    per = cut(df.filter(F.col(logp).isNotNull()).groupBy(F.col(logp).alias("_p"), F.col(n_tests).alias("_t")).agg(F.count(F.lit(1)).alias("_c")))
+    ranked = ordered_prefix(per, [], ["_p", "_t"], F.col("_c"), "_before")
     lg = lambda c: F.log10(c.cast("double"))
     told = ranked.withColumn("_bh", F.col("_p") + lg(F.col("_t")) - lg(F.col("_before") + F.col("_c"))).withColumn("_holm", F.col("_p") + lg(F.greatest(F.lit(1), F.col("_t") - F.col("_before"))))
     holm = ordered_extreme(told, F.struct("_p", "_t"), "_holm", "_holm_run", largest=True)
