@@ -29,21 +29,63 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+def log_hypergeometric(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """ln P(X = k) for `drawn` out of `total` with `marked` among them."""
+    return log_choose(marked, k) + log_choose(total - marked, drawn - k) - log_choose(total, drawn)
+
+
 def hypergeometric_tail(n: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """ln P(X >= n) for `drawn` out of `total` with `marked` among them; 0 at or below the least possible n.
 
-    The largest term is factored out and the rest follow by ratios, so tails far below the double range keep their logarithm.
+    The largest term is factored out and the rest follow by ratios, so tails far below the double range keep their logarithm. Terms that no double can tell are
+    left out: P(X >= mean + d) <= exp(-2 d^2 / m) with m the smaller of marked and drawn, and terms fall faster the further they are from the mean, so beyond
+    `reach` from the mean or from n, whichever is higher, all terms together are below e^-45 of the first; below the mean by as much the tail is 1.
     """
     top = F.least(marked, drawn)
     low = F.greatest(F.lit(0), marked + drawn - total)
     start = F.greatest(n, low)
-    first = log_choose(marked, start) + log_choose(total - marked, drawn - start) - log_choose(total, drawn)
+    mean = F.coalesce(F.try_divide(marked.cast("double") * drawn, total), F.lit(0.0))
+    reach = F.ceil(F.sqrt(top * (22.5 + F.log(top + 1.0)))) + 1
+    last = F.when(start < mean - reach, start).otherwise(F.greatest(start, F.least(top, F.greatest(start, F.ceil(mean)) + reach)))
+    first = log_hypergeometric(start, total, marked, drawn)
     step = lambda acc, k: F.struct(
         (acc["s"] + acc["t"]).alias("s"),
         (acc["t"] * ((marked - k) * (drawn - k)).cast("double") / ((k + 1) * (total - marked - drawn + k + 1)).cast("double")).alias("t"),
     )
-    terms = F.aggregate(F.sequence(start, top), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")), step)["s"]
-    return F.when(n <= low, 0.0).when(n > top, F.lit(float("-inf"))).otherwise(F.least(F.lit(0.0), first + F.log(terms)))
+    terms = F.aggregate(F.sequence(start, last), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")), step)["s"]
+    return F.when((n <= low) | (start < mean - reach), 0.0).when(n > top, F.lit(float("-inf"))).otherwise(F.least(F.lit(0.0), first + F.log(terms)))
+
+
+def tail_bounds(n: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """struct (least, most): bounds on hypergeometric_tail in a fixed number of steps.
+
+    Above the mean the terms fall, each by at least the first ratio r: the tail is at most P(n) / (1 - r), and at least j P(n + j - 1) for every j. Up to the
+    mean it is at least the tail at the first number above it, and at most 1.
+    """
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  (worked out once, however often f uses it)
+    ends = lambda least, most: F.struct(least.alias("least"), most.alias("most"))
+    n, t, m, d = (c.cast("double") for c in (n, total, marked, drawn))
+    case = F.struct(n.alias("n"), t.alias("t"), m.alias("m"), d.alias("d"), F.least(m, d).alias("top"), F.greatest(F.lit(0.0), m + d - t).alias("low"), (F.floor(m * d / t).cast("double") + 1).alias("above"))
+    placed = lambda c: let(F.struct(c.alias("c"), F.least(c["top"], F.greatest(c["n"], c["above"])).alias("k")), first)
+
+    def first(x: Column) -> Column:
+        c, k = x["c"], x["k"]
+        ratio = (c["m"] - k) * (c["d"] - k) / ((k + 1) * (c["t"] - c["m"] - c["d"] + k + 1))
+        return let(F.struct(x.alias("x"), ratio.alias("r"), log_hypergeometric(k, c["t"], c["m"], c["d"]).alias("at")), second)
+
+    def second(y: Column) -> Column:
+        c, k = y["x"]["c"], y["x"]["k"]
+        j = F.least(c["top"] - k + 1, F.floor(1 / F.greatest(1 - y["r"], 1 / (F.sqrt(c["top"]) + 1))).cast("double"))
+        return let(F.struct(y.alias("y"), F.greatest(F.lit(1.0), j).alias("j")), third)
+
+    def third(z: Column) -> Column:
+        y, c, k = z["y"], z["y"]["x"]["c"], z["y"]["x"]["k"]
+        least = F.greatest(y["at"], F.log(z["j"]) + let(k + z["j"] - 1, lambda e: log_hypergeometric(e, c["t"], c["m"], c["d"])))
+        most = F.when((c["n"] >= c["above"]) & (y["r"] < 1), F.least(F.lit(0.0), y["at"] - F.log1p(-y["r"]))).otherwise(0.0)
+        one, none = F.lit(0.0), F.lit(float("-inf"))
+        return F.when(c["n"] <= c["low"], ends(one, one)).when(c["n"] > c["top"], ends(none, none)).otherwise(ends(least, most))
+
+    return let(case, placed)
 
 
 def log10_p(ln_p: Column) -> Column:

@@ -6,11 +6,13 @@ background; lists or terms without items give no rows. No window runs over the w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.functions.numeric import enrichment_z, hypergeometric_tail, log10_p
+from lattica.functions.numeric import P_FLOOR, enrichment_z, hypergeometric_tail, log10_p, tail_bounds
 from lattica.operators.ranks import ordered_extreme, ordered_prefix
 from lattica.session import cut, maybe_broadcast
 
@@ -135,7 +137,8 @@ def rank_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     """(key, n, best_rank, n_best, logp): for each key the best hypergeometric tail over its rank cuts.
 
     Rows are ranked by score with ties at their last place; the ranks come from weighted distinct scores, so no row-level window runs over
-    the whole table: only distinct scores are put in order.
+    the whole table: only distinct scores are put in order. The sum of a tail may take thousands of steps, so it is only worked out at the cuts whose bounds
+    leave open whether they are the best of their key.
     """
     rows = df.select(F.col(key).alias("key"), F.col(score).alias("score")).dropna().filter("not isnan(score)")
     scores = rows.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
@@ -144,6 +147,13 @@ def rank_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     per = rows.groupBy("key", "score").agg(F.count(F.lit(1)).alias("c")).join(maybe_broadcast(upto.select("score", "rank")), "score")
     sizes = per.groupBy(F.col("key").alias("_k")).agg(F.sum("c").alias("n"))
     cum = ordered_prefix(per, ["key"], ["score"], F.col("c")).withColumn("i", F.col("before") + F.col("c")).join(sizes, F.col("key") == F.col("_k"))
-    cum = cum.withColumn("logp", log10_p(hypergeometric_tail(F.col("i"), F.lit(total).cast("bigint"), F.col("n"), F.col("rank"))))
+    case = (F.col("i"), F.lit(total).cast("bigint"), F.col("n"), F.col("rank"))
+    bounds = cum.select("key", "n", "rank", "i", tail_bounds(*case).alias("b"))
+    cum = cut(bounds.select("key", "n", "rank", "i", log10_p(F.col("b.least")).alias("least"), log10_p(F.col("b.most")).alias("most")))
+    floor, slack = math.log10(P_FLOOR), 1e-3  # far above the rounding of log factorials
+    # at the floor all cuts are equal and the first rank is taken, so those behind a cut that is at the floor for sure can't be the best
+    told = cum.groupBy(F.col("key").alias("_k")).agg(F.min("most").alias("_most"), F.min(F.when(F.col("most") <= floor, F.col("rank"))).alias("_sure"))
+    cum = cum.join(told, F.col("key") == F.col("_k")).filter((F.col("least") <= F.col("_most") + slack) & (F.col("rank") <= F.coalesce("_sure", "rank")))
+    cum = cum.select("key", "n", "rank", "i").repartition(F.xxhash64("key", "rank")).withColumn("logp", log10_p(hypergeometric_tail(*case)))
     best = F.min(F.struct("logp", "rank", "i"))
     return cum.groupBy("key", "n").agg(best.alias("b")).select("key", "n", F.col("b.rank").alias("best_rank"), F.col("b.i").alias("n_best"), F.col("b.logp").alias("logp"))

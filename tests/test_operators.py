@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import evidence, identifiers, network, ranks, reshape, statistics, terms, trees
+from lattica.functions import numeric
+from lattica.operators import clustering, enrichment, evidence, identifiers, network, ranks, reshape, statistics, terms, trees
 from lattica.plans.study import Settings, Study
 from lattica.sources import formats
 
@@ -218,3 +219,21 @@ def test_study(spark, tmp_path):
     assert again.done("merged") and not again.done("clusters") and not again.done("summary")
     with pytest.raises(ValueError):
         Settings(p_cutoff=2)
+
+
+def test_rank_cut_of_large_groups(spark):
+    # a tail of 150,000 terms at each of 3,000 cuts was not worked out in minutes
+    rows = spark.range(300_000).select(F.when(F.expr("id % 2 = 0 or id between 10000 and 10400"), "a").otherwise("b").alias("k"), F.floor(F.col("id") / 100).cast("double").alias("s"))
+    got = {r.key: r for r in enrichment.rank_scores(rows, "k", "s").collect()}
+    assert (got["a"].best_rank, got["a"].n_best, got["a"].n) == (10400, 5400, 150_200) and got["b"].n == 149_800
+    assert math.isclose(got["a"].logp, -3.99, abs_tol=3) and got["a"].logp < got["b"].logp < 0
+
+
+def test_tail_bounds(spark):
+    cases = [(n, t, m, d) for t, m, d in ((50, 10, 12), (1000, 40, 50), (4000, 2000, 2000), (9, 9, 4), (600, 590, 300)) for n in range(0, min(m, d) + 1, max(1, min(m, d) // 40))]
+    cols = [F.col(c) for c in "ntmd"]
+    rows = spark.createDataFrame(cases, "n long, t long, m long, d long").select("*", numeric.hypergeometric_tail(*cols).alias("p"), numeric.tail_bounds(*cols).alias("b")).collect()
+    for r in rows:
+        p = sum(math.comb(r.m, k) * math.comb(r.t - r.m, r.d - k) for k in range(r.n, min(r.m, r.d) + 1))
+        ln = math.log(p) - math.log(math.comb(r.t, r.d))
+        assert abs(r.p - ln) < 1e-8 and r.b.least - 1e-8 <= ln <= r.b.most + 1e-8
