@@ -44,7 +44,11 @@ def mad(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
     """(g, gini) of non-negative values. Weighted by value frequency, so a hot group is as small as its distinct values."""
-    freq = usable(df, group, value).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
+    return weighted_gini(usable(df, group, value).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c")))
+
+
+def weighted_gini(freq: DataFrame) -> DataFrame:
+    """(g, gini) of (g, x, c): c values of x in group g, one row for each x."""
     placed = ordered_prefix(freq, ["g"], ["x"], F.col("c"))
     # a run of c equal values at ranks before+1 .. before+c weighs them by n + 1 - rank
     run = F.col("x") * F.col("c") * (F.col("before") + (F.col("c") + 1) / 2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.operators.enrichment import catalogue, clean_pairs, test_columns
-from lattica.operators.statistics import gini
+from lattica.operators.statistics import weighted_gini
 from lattica.session import cut, maybe_broadcast
 
 
@@ -106,8 +106,10 @@ def specificity(results: DataFrame) -> DataFrame:
     """(term, gini): Gini index of |log10 p|, at least 1, over all lists that have results; a list without the term counts as 1."""
     n = results.select("list").distinct().count()
     held = results.groupBy("term", "list").agg(F.min("logp").alias("logp")).select("term", F.greatest(F.abs("logp"), F.lit(1.0)).alias("x"))
-    absent = held.groupBy("term").agg((F.lit(n) - F.count(F.lit(1))).cast("int").alias("k")).filter("k > 0").select("term", F.explode(F.array_repeat(F.lit(1.0), F.col("k"))).alias("x"))
-    return gini(held.unionByName(absent), "term", "x").withColumnRenamed("g", "term")
+    absent = held.groupBy("term").agg((F.lit(n) - F.count(F.lit(1))).alias("c")).filter("c > 0").select("term", F.lit(1.0).alias("x"), "c")
+    # absent lists are one row with their number: there are as many of them as terms times lists
+    freq = held.filter("not isnan(x)").withColumn("c", F.lit(1).cast("bigint")).unionByName(absent).filter("term is not null").groupBy(F.col("term").alias("g"), "x").agg(F.sum("c").alias("c"))
+    return weighted_gini(freq).withColumnRenamed("g", "term")
 
 
 def term_network(pairs: DataFrame, terms: DataFrame, similarity: float = 0.3) -> DataFrame:

@@ -237,3 +237,12 @@ def test_tail_bounds(spark):
         p = sum(math.comb(r.m, k) * math.comb(r.t - r.m, r.d - k) for k in range(r.n, min(r.m, r.d) + 1))
         ln = math.log(p) - math.log(math.comb(r.t, r.d))
         assert abs(r.p - ln) < 1e-8 and r.b.least - 1e-8 <= ln <= r.b.most + 1e-8
+
+
+def test_specificity_of_many_lists(spark):
+    # 40,000 lists and as many terms are 1,600 million values, all but two of each term 1
+    rows = spark.range(40_000).select(F.concat(F.lit("l"), "id").alias("list"), F.concat(F.lit("t"), "id").alias("term"), F.lit(-3.0).alias("logp"))
+    got = terms.specificity(rows.unionByName(rows.select(F.lit("l0").alias("list"), "term", F.lit(-1.0).alias("logp")))).select("gini").distinct().collect()
+    n = 40_000
+    want = (n + 1 - 2 * ((n * (n + 1) / 2 - 1) + 3) / (n + 2)) / n
+    assert len({round(r.gini, 9) for r in got}) == 1 and math.isclose(got[0].gini, want, rel_tol=1e-6)
