@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lattica.operators.enrichment import similar_terms, term_kappa
 from lattica.operators.network import components
 from lattica.operators.ranks import ordered_prefix
 from lattica.session import cut, maybe_broadcast
@@ -128,14 +129,23 @@ def linked_groups(pairs: list[tuple[str, str, float]], similarity: float) -> dic
     return first
 
 
-def group_terms(terms: DataFrame, pairs: DataFrame, similarity: float = 0.3) -> DataFrame:
+def similar_groups(annotation: DataFrame, terms: DataFrame, similarity: float = 0.3) -> DataFrame:
+    """group_terms over the kappa of all pairs of the terms, of which only those inside a component are made."""
+    ann = cut(annotation.join(terms.select("term").distinct(), "term", "left_semi"))
+    near = similar_terms(ann, terms, similarity - 1e-12)
+    comp = cut(components(cut(near.select(F.col("term_a").alias("a"), F.col("term_b").alias("b"), F.col("kappa").alias("score")))))
+    return group_terms(terms, term_kappa(ann, terms, comp.withColumnRenamed("node", "term")), similarity, comp)
+
+
+def group_terms(terms: DataFrame, pairs: DataFrame, similarity: float = 0.3, comp: DataFrame | None = None) -> DataFrame:
     """(term, cluster): the groups of cluster_terms for any number of terms; cluster is the group's first term.
 
     Two groups merge only if their mean similarity reaches the cut, so some pair between them does: each connected component of such pairs is
-    linked for itself, over all its listed pairs, and a task holds the pairs of one component. similarity must be above 0.
+    linked for itself, over all its listed pairs, and a task holds the pairs of one component. similarity must be above 0. comp: the components
+    (node, component), where they are known.
     """
     pairs = pairs.select(F.col("term_a").alias("a"), F.col("term_b").alias("b"), F.col("kappa").alias("score"))
-    comp = cut(components(pairs.filter(F.col("score") >= similarity - 1e-12)))
+    comp = cut(components(pairs.filter(F.col("score") >= similarity - 1e-12))) if comp is None else comp
     ends = [comp.select(F.col("node").alias(x), F.col("component").alias(c)) for x, c in (("a", "component"), ("b", "other"))]
     inside = pairs.join(ends[0], "a").join(ends[1], "b").filter("component = other").select("component", "a", "b", "score")
 

@@ -36,7 +36,13 @@ def enrich(lists: DataFrame, annotation: DataFrame, background: DataFrame | None
     The background is the given (item) or every annotated item. Terms of max_size items are in the catalogue but not tested.
     logp is log10 of the inclusive upper tail; q_log10 is Benjamini-Hochberg over all pairs of the call with the number of terms as N.
     """
-    cat = catalogue(annotation, max_size)
+    ranked = adjust(tested_pairs(lists, annotation, background, min_overlap, p_cutoff, min_enrichment, max_size), "logp", "n_terms")
+    return ranked.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", "pct_in_term", "pct_sd", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
+
+
+def tested_pairs(lists: DataFrame, annotation: DataFrame, background: DataFrame | None = None, min_overlap: int = 3, p_cutoff: float = 0.01, min_enrichment: float = 0.0, max_size: int = MAX_TERM) -> DataFrame:
+    """The rows of `enrich` without q_log10, with n_terms; for questions that need no adjusted p."""
+    cat = cut(catalogue(annotation, max_size))
     if background is not None:
         cat = cat.join(background.select("item").distinct(), "item", "left_semi").drop("n_term")
         cat = cat.join(maybe_broadcast(cat.groupBy("term").agg(F.count("item").alias("n_term"))), "term")
@@ -48,9 +54,7 @@ def enrich(lists: DataFrame, annotation: DataFrame, background: DataFrame | None
     gated = both.filter(F.col("n_overlap") >= min_overlap).join(maybe_broadcast(sizes), "list").withColumns({"n_total": F.lit(n_total).cast("bigint"), "n_terms": F.lit(n_terms).cast("bigint")})
     tested = test_columns(gated)
     # read several times while p values are put in order
-    kept = cut(tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment)))
-    ranked = adjust(kept, "logp", "n_terms")
-    return ranked.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", "pct_in_term", "pct_sd", "enrichment", "z_score", "logp", F.col("bh_log10").alias("q_log10"))
+    return cut(tested.filter((F.col("logp") <= F.log10(F.lit(p_cutoff))) & (F.col("enrichment") >= min_enrichment)))
 
 
 def test_columns(df: DataFrame) -> DataFrame:
@@ -117,20 +121,50 @@ def list_overlaps(lists: DataFrame, universe: int) -> DataFrame:
     return told.withColumn("logp", log10_p(hypergeometric_tail(F.col("n_both"), F.lit(universe).cast("bigint"), F.col("n_a"), F.col("n_b"))))
 
 
-def term_kappa(annotation: DataFrame, terms: DataFrame) -> DataFrame:
+def term_kappa(annotation: DataFrame, terms: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(term_a, term_b, shared, kappa, max_share) of chosen terms that share an item; n is the number of their items.
 
-    `terms` may be all terms or a choice; the pairs are as many as share an item.
+    `terms` may be all terms or a choice; the pairs are as many as share an item. With `within` (term, component) only pairs of one component are made,
+    with the values they have among all chosen terms.
     """
     ann = clean_pairs(annotation, "term", "item").join(terms.select("term").distinct(), "term", "left_semi")
     sizes = maybe_broadcast(ann.groupBy("term").agg(F.count("item").alias("n")))
     total = ann.select("item").distinct().count()
-    pairs = ann.select("item", F.col("term").alias("term_a")).join(ann.select("item", F.col("term").alias("term_b")), "item").filter("term_a < term_b").groupBy("term_a", "term_b").agg(F.count("item").alias("shared"))
+    keys = ["item"] if within is None else ["item", "component"]
+    side = ann if within is None else ann.join(within.select("term", "component"), "term")
+    pairs = side.select(*keys, F.col("term").alias("term_a")).join(side.select(*keys, F.col("term").alias("term_b")), keys).filter("term_a < term_b").groupBy("term_a", "term_b").agg(F.count("item").alias("shared"))
     told = pairs.join(sizes.select(F.col("term").alias("term_a"), F.col("n").alias("na")), "term_a").join(sizes.select(F.col("term").alias("term_b"), F.col("n").alias("nb")), "term_b")
+    return _kappa(told, total)
+
+
+def _kappa(pairs: DataFrame, total: int) -> DataFrame:
+    """(term_a, term_b, shared, kappa, max_share) of pairs (term_a, term_b, shared, na, nb) over `total` items."""
     n, na, nb, co = F.lit(float(total)), *(F.col(c).cast("double") for c in ("na", "nb", "shared"))
     agree = n - na - nb + 2 * co
     chance = (na * nb + (n - na) * (n - nb)) / n
-    return told.select("term_a", "term_b", "shared", ((agree - chance + 1e-10) / (n - chance + 1e-10)).alias("kappa"), F.greatest(co / na, co / nb).alias("max_share"))
+    return pairs.select("term_a", "term_b", "shared", ((agree - chance + 1e-10) / (n - chance + 1e-10)).alias("kappa"), F.greatest(co / na, co / nb).alias("max_share"))
+
+
+def similar_terms(annotation: DataFrame, terms: DataFrame, similarity: float) -> DataFrame:
+    """The rows of term_kappa with a kappa of at least `similarity`, which must be above 0, without making the pairs that cannot reach it.
+
+    A kappa of t takes t / 2 * (na + nb) shared items. Items go from rare to frequent, so at the first item that two terms share, what either has from there on
+    bounds what they share: frequent items, which end the terms, bring few pairs together. A pair may meet at later items too, where fewer are counted.
+    """
+    ann = cut(clean_pairs(annotation, "term", "item").join(terms.select("term").distinct(), "term", "left_semi"))
+    ordered = ordered_prefix(ann.groupBy("item").agg(F.count(F.lit(1)).alias("f")), [], ["f", "item"], name="at").select("item", F.col("at").cast("int").alias("at"))
+    sets = cut(ann.join(ordered, "item").groupBy("term").agg(F.sort_array(F.collect_list("at")).alias("items")))
+    total = ordered.count()
+    placed = sets.select("term", "items", F.size("items").alias("n"), F.posexplode("items").alias("i", "at"))
+    # the smallest partner that a term can reach t with is as large as what they share
+    placed = placed.filter(F.col("n") - F.col("i") >= F.col("n") * (similarity / (2 - similarity)) - 1e-6)
+    placed = placed.select("at", "term", "n", (F.col("n") - F.col("i")).alias("left"), F.expr("slice(items, i + 2, n)").alias("rest"))
+    need = F.expr(f"{similarity / 2!r}D * (x.n + y.n) - 1e-6D")
+    shared = F.when(F.least("x.left", "y.left") >= need, 1 + F.size(F.array_intersect("x.rest", "y.rest"))).otherwise(0)
+    met = placed.alias("x").join(placed.alias("y"), F.expr("x.at = y.at and x.term < y.term")).filter(shared >= need)
+    pairs = met.select(F.col("x.term").alias("term_a"), F.col("y.term").alias("term_b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), shared.cast("bigint").alias("shared"))
+    told = pairs.groupBy("term_a", "term_b", "na", "nb").agg(F.max("shared").alias("shared"))
+    return _kappa(told, total).filter(F.col("kappa") >= similarity)
 
 
 def rank_scores(df: DataFrame, key: str, score: str) -> DataFrame:

@@ -57,6 +57,11 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.enrich(lists(spark, d), annotation(spark, d), min_overlap=2, p_cutoff=0.05)
 
 
+def _tested(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of _enriched without adjusted p."""
+    return enrichment.tested_pairs(lists(spark, d), annotation(spark, d), min_overlap=2, p_cutoff=0.05)
+
+
 def enrich_lists(spark: SparkSession, d: str) -> DataFrame:
     r = _enriched(spark, d)
     return r.select("list", "term", "n_overlap", "n_term", "n_list", "n_total", *[F.round(c, 4).alias(c) for c in ("enrichment", "z_score", "logp")])
@@ -81,7 +86,7 @@ def list_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def _clustered_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every enriched term with its best p over all lists."""
-    return enrichment.merge_lists(_enriched(spark, d))
+    return enrichment.merge_lists(_tested(spark, d))
 
 
 def term_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -89,18 +94,17 @@ def term_kappa(spark: SparkSession, d: str) -> DataFrame:
     return r.select("term_a", "term_b", "shared", F.round("kappa", 5).alias("kappa"), F.round("max_share", 5).alias("max_share"))
 
 
-def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
     best = cut(_clustered_terms(spark, d))
-    pairs = cut(enrichment.term_kappa(annotation(spark, d), best))
-    return clustering.cluster_heads(best, clustering.group_terms(best, pairs)), pairs
+    return clustering.cluster_heads(best, cut(clustering.similar_groups(annotation(spark, d), best)))
 
 
 def term_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _clustered(spark, d)[0].select("term", "group_id", "first_in_group", "logp", "enrichment", "best_enrichment")
+    return _clustered(spark, d).select("term", "group_id", "first_in_group", "logp", "enrichment", "best_enrichment")
 
 
 def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.representatives(_clustered(spark, d)[0], 3, 20).select("term", "group_id", "in_group", "logp")
+    return clustering.representatives(_clustered(spark, d), 3, 20).select("term", "group_id", "in_group", "logp")
 
 
 def merged_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -221,6 +221,23 @@ def test_study(spark, tmp_path):
         Settings(p_cutoff=2)
 
 
+def test_similar_terms_need_no_pair_of_a_frequent_item(spark):
+    rng = random.Random(5)
+    sets = {f"t{i:04d}": {0, *rng.sample(range(1, 400), rng.randint(1, 12))} for i in range(150)}
+    sets |= {f"u{i:04d}": {*list(sets[f"t{i:04d}"])[1:], 1000 + i} for i in range(40)} | {f"v{i}": {i} for i in range(3)}
+    ann, terms = spark.createDataFrame([(t, i) for t, s in sets.items() for i in s], "term string, item long"), spark.createDataFrame([(t,) for t in sets], "term string")
+    for least in (0.3, 0.7):
+        want = {(r.term_a, r.term_b): tuple(r)[2:] for r in enrichment.term_kappa(ann, terms).filter(F.col("kappa") >= least).collect()}
+        got = enrichment.similar_terms(ann, terms, least)
+        assert {(r.term_a, r.term_b): tuple(r)[2:] for r in got.collect()} == want
+    best = terms.withColumn("logp", F.lit(-1.0))
+    whole = {tuple(r) for r in clustering.group_terms(best, enrichment.term_kappa(ann, terms)).collect()}
+    assert {tuple(r) for r in clustering.similar_groups(ann, best).collect()} == whole
+    # 12,000 terms that share one item are 72 million pairs, none of which can be similar
+    wide = spark.range(12_000).select(F.concat(F.lit("w"), "id").alias("term"), F.explode(F.array(F.lit(-1), *[F.col("id") * 7 + k for k in range(7)])).alias("item"))
+    assert enrichment.similar_terms(wide, wide, 0.3).count() == 0
+
+
 def test_rank_cut_of_large_groups(spark):
     # a tail of 150,000 terms at each of 3,000 cuts was not worked out in minutes
     rows = spark.range(300_000).select(F.when(F.expr("id % 2 = 0 or id between 10000 and 10400"), "a").otherwise("b").alias("k"), F.floor(F.col("id") / 100).cast("double").alias("s"))
