@@ -39,8 +39,9 @@ def term_links(spark: SparkSession, d: str) -> DataFrame:
     terms = cut(R._clustered_terms(spark, d).select("term"))
     from lattica.operators import enrichment
 
-    pairs = enrichment.term_kappa(R.annotation(spark, d), terms)
-    return T.term_network(cut(pairs), terms).withColumn("kappa", F.round("kappa", 5))
+    # a kappa counts as it is given, rounded
+    pairs = enrichment.similar_terms(R.annotation(spark, d), terms, 0.3 - 1e-5).withColumn("kappa", F.round("kappa", 5))
+    return T.term_network(cut(pairs), terms)
 
 
 def term_patterns(spark: SparkSession, d: str) -> DataFrame:
