@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +17,9 @@ from lattica.operators.enrichment import catalogue, clean_pairs, test_columns
 from lattica.operators.statistics import weighted_gini
 from lattica.session import cut, maybe_broadcast
 
+#: Ones among the bits of a byte.
+ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
+
 
 def terms_per_item(annotation: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(item, n_terms), over the given terms only if there are any given."""
@@ -85,9 +90,10 @@ def merge_retested(lists: DataFrame, annotation: DataFrame, results: DataFrame,
     total = cat.select("item").distinct().count()
     told = cut(list_pattern(results))
     many = told.filter("n_lists > 1").select("term", "pattern")
-    united = many.select("pattern").distinct().withColumn("list", F.explode(F.split("pattern", r"\|"))).join(held, "list").select("pattern", "item").distinct()
-    sizes = united.groupBy("pattern").agg(F.count("item").alias("n_list"))
-    hits = many.join(cat, "term").join(united, ["pattern", "item"]).groupBy("term", "pattern", "n_term").agg(F.count("item").alias("n_overlap"))
+    found_in = held.groupBy("item").agg(F.collect_set("list").alias("lists"))
+    met = many.join(cat, "term").join(found_in, "item").filter(F.arrays_overlap(F.split("pattern", r"\|"), "lists"))
+    hits = met.groupBy("term", "pattern", "n_term").agg(F.count("item").alias("n_overlap"))
+    sizes = cut(united_sizes(held, many.select("pattern").distinct()))
     again = test_columns(hits.join(maybe_broadcast(sizes), "pattern").withColumn("n_total", F.lit(total).cast("bigint"))).filter(F.col("logp") <= F.log10(F.lit(p_cutoff)))
     again = again.select(F.col("term").alias("_t"), F.col("logp").alias("_l"), F.col("enrichment").alias("_e"), F.col("z_score").alias("_z"))
     met = told.join(again, F.col("term") == F.col("_t"), "left").withColumn("merged", F.coalesce(F.col("_l") <= F.col("logp"), F.lit(False)))
@@ -95,6 +101,26 @@ def merge_retested(lists: DataFrame, annotation: DataFrame, results: DataFrame,
     return met.select("term", "pattern", "n_lists", best("_l", "logp"), best("_e", "enrichment"), best("_z", "z_score"), "merged")
 
 
+def united_sizes(held: DataFrame, patterns: DataFrame, blocks: int = 16) -> DataFrame:
+    """(pattern, n_list): the number of items in any of the lists of each pattern ('a|b'), patterns without an item absent.
+
+    Items are dealt over blocks. A task holds one block as one bit per list and item and unites the bits of a pattern, so no row per pattern and item is made.
+    """
+    bits = held.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), "list", "item")
+    asked = patterns.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def count(lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        (row, names), (col, items) = pd.factorize(lists["list"].astype(str)), pd.factorize(lists["item"])
+        held = np.zeros((len(names), len(items) // 8 + 1), np.uint8)
+        np.bitwise_or.at(held, (row, col >> 3), np.uint8(1) << (col & 7).astype(np.uint8))
+        at = {x: i for i, x in enumerate(names)}
+        sizes = [int(ONES[np.bitwise_or.reduce(held[[at[x] for x in p.split("|") if x in at]], axis=0)].sum()) for p in asked["pattern"]]
+        return pd.DataFrame({"pattern": asked["pattern"], "n": sizes}, columns=["pattern", "n"])
+
+    part = bits.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(count, "pattern string, n bigint")
+    return part.groupBy("pattern").agg(F.sum("n").alias("n_list")).filter("n_list > 0")
+
+
 def with_evidence(lists: DataFrame, annotation: DataFrame, results: DataFrame, min_size: int = 3, max_size: int = 100, max_logp: float = -2.0) -> DataFrame:
     """(list, item): items of a list that are in a term of the gated size which the list found at max_logp or better."""
     good = results.filter(F.col("n_term").between(min_size, max_size) & (F.col("logp") <= max_logp)).select("list", "term").distinct()

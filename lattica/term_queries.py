@@ -22,7 +22,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_retested(spark: SparkSession, d: str) -> DataFrame:
     """Terms of several lists tested again on the union of these lists."""
-    r = T.merge_retested(R.lists(spark, d), R.annotation(spark, d), cut(R._enriched(spark, d)))
+    r = T.merge_retested(R.lists(spark, d), R.annotation(spark, d), R._tested(spark, d))
     return r.select("term", "pattern", "n_lists", *[F.round(c, 4).alias(c) for c in ("logp", "enrichment", "z_score")], "merged")
 
 

@@ -263,3 +263,12 @@ def test_specificity_of_many_lists(spark):
     n = 40_000
     want = (n + 1 - 2 * ((n * (n + 1) / 2 - 1) + 3) / (n + 2)) / n
     assert len({round(r.gini, 9) for r in got}) == 1 and math.isclose(got[0].gini, want, rel_tol=1e-6)
+
+
+def test_united_sizes(spark):
+    rng = random.Random(4)
+    lists = {f"l{i}": set(rng.sample(range(5000), rng.randint(1, 2000))) for i in range(12)}
+    held = spark.createDataFrame([(k, x) for k, v in lists.items() for x in v], "list string, item long")
+    asked = {"|".join(sorted(rng.sample(sorted(lists), rng.randint(1, 8)))) for _ in range(300)}
+    got = {r.pattern: r.n_list for r in terms.united_sizes(held, spark.createDataFrame([(p,) for p in asked], "pattern string")).collect()}
+    assert got == {p: len(set().union(*(lists[x] for x in p.split("|")))) for p in asked}
