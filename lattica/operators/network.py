@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,14 +81,43 @@ def connecting(edges: DataFrame, start: DataFrame, end: DataFrame, max_hops: int
     return near.join(far.withColumnRenamed("distance", "rest"), "node").filter(F.col("distance") + F.col("rest") <= max_hops).select("node")
 
 
-def indirect_edges(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
-    """Two-hop links between start and end that have no direct edge, with the weaker score of the best middle node."""
-    links = both_ways(edges)
-    s, e = maybe_broadcast(start.select(F.col("node").alias("u")).distinct()), maybe_broadcast(end.select(F.col("node").alias("v2")).distinct())
-    left = links.join(s, "u", "left_semi")
-    right = links.select(F.col("u").alias("v"), F.col("v").alias("v2"), F.col("score").alias("score2")).join(e, "v2", "left_semi")
-    two = left.join(right, "v").filter("u <> v2").groupBy(F.least("u", "v2").alias("a"), F.greatest("u", "v2").alias("b")).agg(F.max(F.least("score", "score2")).alias("score"))
-    return two.join(edges.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit("Indirect").alias("kind"), "score")
+def indirect_edges(edges: DataFrame, start: DataFrame, end: DataFrame, cells: int = 3_000_000) -> DataFrame:
+    """Two-hop links between start and end that have no direct edge, with the weaker score of the best middle node.
+
+    A hub joins all pairs of its neighbours, so pairs are not shuffled: start nodes are dealt over blocks, and a task holds the best scores of one block
+    against all ends, at most about `cells` of them, over which the middle nodes are put one after the other.
+    """
+    links, kind = cut(both_ways(edges)), dict(edges.dtypes)["a"]
+    s, e = cut(start.select(F.col("node").cast(kind).alias("u")).dropna().distinct()), cut(end.select(F.col("node").cast(kind).alias("u")).dropna().distinct())
+    blocks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-s.count() * e.count() // cells))
+    both = maybe_broadcast(s.withColumn("s", F.lit(True)).join(e.withColumn("e", F.lit(True)), "u", "full_outer").na.fill(False))
+    met = links.join(both, "u")
+    left = cut(met.filter("s").select(F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("block"), "u", "v", "score", F.col("e").alias("both")))
+    right = met.filter("e").select(F.col("u").alias("v2"), "v", "score", F.col("s").alias("both"))
+    right = cut(left.select("block", "v").distinct().join(right, "v").select("block", "v2", "v", "score", "both"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        (at, us), (to, vs) = pd.factorize(left["u"]), pd.factorize(right["v2"])
+        top = np.full((len(us), len(vs)), -np.inf)
+        mids = {v: i for v, i in right.groupby("v", sort=False).indices.items()}
+        ls, rs = left["score"].to_numpy(), right["score"].to_numpy()
+        for v, i in left.groupby("v", sort=False).indices.items():
+            if (j := mids.get(v)) is not None:
+                cell = np.ix_(at[i], to[j])
+                top[cell] = np.maximum(top[cell], np.minimum.outer(ls[i], rs[j]))
+        col = pd.Index(vs)
+        for nodes, row in ((left["v"], at), (us, np.arange(len(us)))):  # direct neighbours and the node itself
+            c = col.get_indexer(pd.Index(nodes))
+            top[row[c >= 0], c[c >= 0]] = -np.inf
+        r, c = np.nonzero(top > -np.inf)
+        x, y = np.asarray(us)[r], np.asarray(vs)[c]
+        # a pair of nodes that are both in both sets is found from either side
+        twice = left.groupby("u", sort=False)["both"].first().reindex(us).to_numpy(bool)[r] & right.groupby("v2", sort=False)["both"].first().reindex(vs).to_numpy(bool)[c] & (x > y)
+        x, y, score = x[~twice], y[~twice], top[r, c][~twice]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score})
+
+    two = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(best, f"a {kind}, b {kind}, score double")
+    return two.select("a", "b", F.lit("Indirect").alias("kind"), "score")
 
 
 def shortest_paths(edges: DataFrame, source: str | int, target: str | int, max_hops: int) -> DataFrame:

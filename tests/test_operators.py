@@ -265,6 +265,29 @@ def test_specificity_of_many_lists(spark):
     assert len({round(r.gini, 9) for r in got}) == 1 and math.isclose(got[0].gini, want, rel_tol=1e-6)
 
 
+def test_indirect_edges_of_a_hub(spark):
+    rng = random.Random(9)
+    links = {tuple(sorted(rng.sample(range(60), 2))): rng.randint(1, 9) / 10 for _ in range(160)}
+    links |= {(i, 60): 0.2 for i in range(60)}
+    e = spark.createDataFrame([(a, b, "Direct", s) for (a, b), s in links.items()], "a long, b long, kind string, score double")
+    near = defaultdict(dict)
+    for (a, b), s in links.items():
+        near[a][b] = near[b][a] = s
+    for start, end in ((range(0, 61), range(0, 61)), (range(0, 30), range(20, 61))):
+        want = {}
+        for u in start:
+            for v in end:
+                if u != v and v not in near[u] and (mid := near[u].keys() & near[v].keys()):
+                    want[min(u, v), max(u, v)] = max(min(near[u][m], near[v][m]) for m in mid)
+        s, t = (spark.createDataFrame([(x,) for x in r], "node long") for r in (start, end))
+        got = network.indirect_edges(e, s, t, cells=500).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == want
+    # a hub of 3,000 among 3,000 chosen is 4.5 million pairs, found once and not once per side and middle node
+    hubs = spark.range(3000).select(F.col("id").alias("a"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in (5000, 5001, 5002)])).alias("b"), F.lit("Direct").alias("kind"), F.lit(0.5).alias("score"))
+    some = spark.range(3000).withColumnRenamed("id", "node")
+    assert network.indirect_edges(hubs, some, some).count() == 3000 * 2999 // 2
+
+
 def test_united_sizes(spark):
     rng = random.Random(4)
     lists = {f"l{i}": set(rng.sample(range(5000), rng.randint(1, 2000))) for i in range(12)}
