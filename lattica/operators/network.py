@@ -11,6 +11,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -116,7 +117,7 @@ def indirect_edges(edges: DataFrame, start: DataFrame, end: DataFrame, cells: in
         x, y, score = x[~twice], y[~twice], top[r, c][~twice]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score})
 
-    two = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(best, f"a {kind}, b {kind}, score double")
+    two = left.groupBy("block").cogroup(right.groupBy("at")).applyInPandas(best, f"a {kind}, b {kind}, score double")
     return two.select("a", "b", F.lit("Indirect").alias("kind"), "score")
 
 
@@ -249,65 +250,166 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return ordered_prefix(told, [], ["_n", "_e", "component"], name="place").withColumn("place", F.col("place") + 1).drop("_n", "_e")
 
 
-def node_scores(edges: DataFrame) -> DataFrame:
-    """(node, score, density, degree), node as text: each node from the edges of its closed neighbourhood, found as triangles.
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, degree, id) and (u, v): nodes as text with numbers in the order of (degree, node), and the links between those numbers, u < v."""
+    plain = cut(edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    deg = plain.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = cut(ordered_prefix(cut(deg), [], ["degree", "node"], name="id").select("node", "degree", F.col("id").cast("int").alias("id")))
+    ia, ib = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"i{x}")) for x in ("a", "b"))
+    return nodes, cut(plain.join(ia, "a").join(ib, "b").select(F.least("ia", "ib").alias("u"), F.greatest("ia", "ib").alias("v")))
+
 
-    Edges go from the node of lower degree to the other, so a hub starts few of the pairs that triangles are closed from.
+def node_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, node, score, density, degree) from `numbered`: each node from the edges of its closed neighbourhood, found as triangles.
+
+    Links go from the lower degree to the higher, so a hub has a short list of its own, and lists are met per link; pairs of a list are never rows. A task gets
+    the links that face its nodes as numbers, in the order of the nodes, and holds those of a few nodes, or of one hub, at a time.
     """
-    plain = cut(edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
-    sides = plain.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
-    deg = cut(sides.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
-    da, db = (deg.select(F.col("node").alias(x), F.struct("degree", "node").alias(f"d{x}")) for x in ("a", "b"))
-    out = cut(plain.join(da, "a").join(db, "b").select(F.least("da", "db")["node"].alias("u"), F.greatest("da", "db").alias("v")))
-    to = out.select("u", F.col("v.node").alias("z"))
-    wedges = out.alias("x").join(out.alias("y"), F.expr("x.u = y.u and x.v < y.v")).select(F.col("x.u").alias("w"), F.col("x.v.node").alias("u"), F.col("y.v.node").alias("z"))
-    closed = wedges.join(to, ["u", "z"])
-    corners = F.array(*[F.struct(F.col(n).alias("node"), F.struct(F.col(p).alias("p"), F.col(q).alias("q")).alias("e")) for n, p, q in (("w", "u", "z"), ("u", "w", "z"), ("z", "u", "w"))])
-    facing = closed.select(F.explode(corners).alias("c")).select("c.*").groupBy("node").agg(F.collect_list("e").alias("facing"))
-
-    @F.udf("struct<score:double,density:double>")
-    def score(node: str, degree: int, facing: list | None) -> tuple[float, float]:
-        near: dict[str, set[str]] = {node: set()}
-        for p, q in facing or []:
-            for x, y in ((p, q), (q, p), (node, p), (node, q), (p, node), (q, node)):
-                near.setdefault(x, set()).add(y)
-        for i in range(degree - len(near[node])):  # neighbours in no triangle
-            near[node].add(f"\0{i}")
-            near[f"\0{i}"] = {node}
-        return _node_score(node, near)
-
-    told = cut(deg.join(facing, "node", "left").select("node", "degree", score("node", "degree", "facing").alias("s")))
-    return told.select("node", "s.score", "s.density", "degree")
+    to = cut(links.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("vs")))
+    steps = to.select("u", F.posexplode("vs").alias("i", "v"), "vs").select("u", "v", F.expr("slice(vs, i + 2, size(vs))").alias("rest")).filter(F.size("rest") > 0)
+    closed = steps.join(to.select(F.col("u").alias("v"), "vs"), "v").select("u", "v", F.explode(F.array_intersect("rest", "vs")).alias("z"))
+    corners = F.array(*[F.struct(F.col(n).alias("id"), F.col(p).alias("p"), F.col(q).alias("q")) for n, p, q in (("u", "v", "z"), ("v", "u", "z"), ("z", "u", "v"))])
+    facing = closed.select(F.explode(corners).alias("c")).select("c.*").repartition("id").sortWithinPartitions("id")
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, p, q in _whole_groups(batches):
+            owner = np.concatenate(([0], np.cumsum(at[1:] != at[:-1])))
+            level, size, inside = _highest_cores(owner, p, q)
+            columns = (at[np.searchsorted(owner, np.arange(len(level)))], np.bincount(owner), level, size, inside)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, ("i4", *["i8"] * 4), strict=True)], ["id", "facing", "level", "size", "inside"])
+
+    core = facing.mapInArrow(cores, "id int, facing long, level long, size long, inside long")
+    told = nodes.join(core, "id", "left").withColumns({"facing": F.coalesce("facing", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
+    # the node itself is linked to all of them, and a node without triangles is the middle of a star
+    size, inside = F.coalesce("size", "degree"), F.coalesce("inside", F.lit(0))
+    score = F.when(F.col("degree") <= 2, 0.0).otherwise(((F.col("level") + 1) * (inside + size)).cast("double") / ((size + 1) * (size + 1)))
+    density = (F.col("degree") + F.col("facing")).cast("double") / ((F.col("degree") + 1) * (F.col("degree") + 1))
+    return cut(told.select("id", "node", score.alias("score"), density.alias("density"), "degree"))
 
 
 def dense_clusters(edges: DataFrame, min_nodes: int = MIN_CLUSTER, max_nodes: int | None = None, score_cut: float = 0.2) -> DataFrame:
     """(component, cluster, node, seed, cluster_score, node_score) by seeded growth in components of at least min_nodes, and of at most max_nodes if given.
 
-    Nodes are scored over all cores. Growth meets only nodes with a score above 0, so each connected part of those is grown for itself, however large its
-    component, and a task holds the edges of one such part. Seeds go by (score desc, density desc, neighbours desc, node asc), which makes the result unique.
+    Nodes are scored over all cores. The nodes of a cluster have scores above 0 that differ by at most the share `score_cut`, so no other links are met, and each
+    connected part of those links is grown for itself, as numbers. Seeds go by (score desc, density desc, neighbours desc, node asc), which makes the result unique.
     """
     comp = components(edges)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_nodes)
     sizes = sizes if max_nodes is None else sizes.filter(F.col("n") <= max_nodes)
     kept = comp.join(sizes.select("component"), "component", "left_semi").select("component", F.col("node").cast("string").alias("node"))
-    plain = edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    scored = node_scores(edges).filter("score > 0").join(kept, "node")
-    facts = [cut(scored.select(F.col("node").alias(x), F.struct("score", "density", "degree").alias(f"f{x}"), *(["component"] if x == "a" else []))) for x in ("a", "b")]
-    live = cut(plain.join(facts[0], "a").join(facts[1], "b"))
-    part = components(live.select("a", "b", F.lit(1.0).alias("score"))).select(F.col("node").alias("a"), F.col("component").alias("part"))
-    inside = live.join(part, "a").select("component", "part", "a", "b", *[F.col(f"f{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("score", "density", "degree")])
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = {r[0]: r[1:] for x in "ab" for r in pdf[[x, f"{x}_score", f"{x}_density", f"{x}_degree"]].itertuples(index=False, name=None)}
-        rows = [(pdf["component"].iloc[0], n, s, cs, ns) for s, cs, nodes in _grow(zip(pdf["a"], pdf["b"], strict=True), score_cut, known) for n, ns in nodes]
-        return pd.DataFrame(rows, columns=["component", "node", "seed", "cluster_score", "node_score"])
+    nodes, links = numbered(edges)
+    facts = cut(node_scores(nodes, links).filter("score > 0").join(kept, "node"))
+    su, sv = (facts.select(F.col("id").alias(x), F.col("score").alias(f"s{x}")) for x in "uv")
+    live = cut(links.join(su, "u").join(sv, "v").filter(F.least("su", "sv") >= F.greatest("su", "sv") * F.lit(1 - score_cut)).select("u", "v"))
+    part = components(live.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("score")))
+    block = F.pmod(F.xxhash64("component"), F.lit(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    place = cut(part.select(F.col("node").alias("id"), block.alias("block")))
+    left, right = facts.join(place, "id"), live.join(place.select(F.col("id").alias("u"), F.col("block").alias("at")), "u").select("at", "u", "v")
+
+    def grow(known: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(["score", "density", "degree", "node"], ascending=[False, False, False, True], ignore_index=True)
+        at = pd.Series(np.arange(len(known)), known["id"])
+        found = list(_grow_numbers(at.reindex(links["u"]).to_numpy(), at.reindex(links["v"]).to_numpy(), known["score"].to_numpy(), score_cut))
+        rows = np.concatenate([np.zeros(0, int), *[members for _, _, members in found]])
+        count = [len(members) for _, _, members in found]
+        seeds, scores = np.array([s for s, _, _ in found], int), np.array([c for _, c, _ in found], float)
+        out = known.iloc[rows][["component", "node"]].reset_index(drop=True)
+        return out.assign(seed=known["node"].to_numpy()[np.repeat(seeds, count)], cluster_score=np.repeat(scores, count), node_score=known["score"].to_numpy()[rows])
 
     kind = dict(comp.dtypes)["component"]
-    found = inside.groupBy("part").applyInPandas(grow, f"component {kind}, node string, seed string, cluster_score double, node_score double")
+    found = left.groupBy("block").cogroup(right.groupBy("at")).applyInPandas(grow, f"component {kind}, node string, seed string, cluster_score double, node_score double")
     number = F.dense_rank().over(W.partitionBy("component").orderBy(F.desc("cluster_score"), "seed"))
     return found.select("component", number.alias("cluster"), "node", "seed", "cluster_score", "node_score")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 300_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """The three columns of sorted batches in pieces of at least so many rows that end where the first column changes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in batches:
+        cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(cols[0]):
+            continue
+        if n >= least and (i := np.searchsorted(cols[0], held[-1][0][-1], "right")) < len(cols[0]):
+            yield tuple(map(np.concatenate, zip(*held, tuple(c[:i] for c in cols), strict=True)))
+            held, n, cols = [], 0, tuple(c[i:].copy() for c in cols)
+        held.append(cols)
+        n += len(cols[0])
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _neighbours(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, to): the neighbours of node i are to[start[i]:start[i + 1]]."""
+    both = np.concatenate((p, q)).astype("i4")
+    order = np.argsort(both, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(both, minlength=n))))
+    del both
+    return start, np.concatenate((q, p)).astype("i4")[order]
+
+
+def _near(start: np.ndarray, to: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The neighbours of all nodes, one after the other."""
+    count = start[nodes + 1] - start[nodes]
+    before = np.cumsum(count) - count
+    return to[np.repeat(start[nodes] - before, count) + np.arange(count.sum())]
+
+
+def _highest_cores(owner: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, nodes, edges) of the highest core of each graph; edge i joins p[i] and q[i] in graph owner[i]. All graphs are peeled together."""
+    n_graphs, ids = int(owner[-1]) + 1, np.zeros(int(max(p.max(), q.max())) + 1, bool)
+    ids[p] = ids[q] = True
+    small = np.cumsum(ids, dtype="i4") - 1
+    p, q, width = small[p], small[q], int(small[-1]) + 1
+    if n_graphs == 1:
+        of = np.zeros(width, "i4")
+    else:
+        known, at = np.unique(np.concatenate((owner * width + p, owner * width + q)), return_inverse=True)
+        of, p, q = known // width, at[: len(p)], at[len(p) :]
+    start, to = _neighbours(p, q, len(of))
+    degree, alive, left = np.diff(start), np.ones(len(of), bool), np.arange(len(of))
+    level, size, edges = (np.zeros(n_graphs, int) for _ in range(3))
+    k = 0
+    while len(left):
+        n, e = np.bincount(of[left], minlength=n_graphs), np.bincount(of[left], degree[left], n_graphs)
+        level[n > 0], size[n > 0], edges[n > 0] = k, n[n > 0], e[n > 0] / 2
+        k += 1
+        low = left[degree[left] < k]
+        while len(low):
+            alive[low] = False
+            near = _near(start, to, low)
+            near = near[alive[near]]
+            np.subtract.at(degree, near, 1)
+            low = np.unique(near[degree[near] < k])
+        left = left[alive[left]]
+    return level, size, edges
+
+
+def _grow_numbers(p: np.ndarray, q: np.ndarray, score: np.ndarray, score_cut: float) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(seed, cluster score, members) as `_grow`; nodes are numbered in the order in which they may be seeds."""
+    start, to = _neighbours(p, q, len(score))
+    cluster = np.full(len(score), -1)  # the seed whose growth met the node
+    for seed in range(len(score)):
+        if cluster[seed] >= 0:
+            continue
+        cluster[seed] = seed
+        need, met = score[seed] * (1 - score_cut), [front := np.array([seed])]
+        while len(front):
+            near = _near(start, to, front)
+            front = np.unique(near[(cluster[near] < 0) & (score[near] >= need)])
+            cluster[front] = seed
+            met.append(front)
+        members = np.concatenate(met)
+        while len(members):
+            count = start[members + 1] - start[members]
+            inside = np.bincount(np.repeat(np.arange(len(members)), count), cluster[_near(start, to, members)] == seed, len(members))
+            if inside.min() >= 2:
+                yield seed, inside.sum() / 2 / len(members), members
+                break
+            cluster[members[inside < 2]] = len(score)  # peeled, but seen
+            members = members[inside >= 2]
+
+
 def _peel(nodes: set[str], near: dict[str, set[str]], k: int) -> set[str]:
     left = set(nodes)
     while low := {n for n in left if len(near[n] & left) < k}:
@@ -331,12 +433,13 @@ def _node_score(node: str, near: dict[str, set[str]]) -> tuple[float, float]:
     return k * count(best) / len(best) ** 2, dens
 
 
-def _grow(pairs: Iterator[tuple[str, str]], score_cut: float, known: dict[str, tuple[float, float, int]] | None = None) -> list[tuple[str, float, list[tuple[str, float]]]]:
+def _grow(pairs: Iterator[tuple[str, str]], score_cut: float) -> list[tuple[str, float, list[tuple[str, float]]]]:
+    """The rule of dense_clusters over one network in one process, which the operator is held against."""
     near: dict[str, set[str]] = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    score = known or {n: (*_node_score(n, near), len(near[n])) for n in near}
+    score = {n: (*_node_score(n, near), len(near[n])) for n in near}
     seen: set[str] = set()
     found = []
     for seed in sorted(near, key=lambda n: (-score[n][0], -score[n][1], -score[n][2], n)):

@@ -4,9 +4,11 @@ import importlib
 import math
 import os
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,40 @@ def test_dense_clusters_of_a_large_component(spark):
     assert want and told == {(i, s, round(c, 9)): {n: round(v, 9) for n, v in nodes} for i, (s, c, nodes) in enumerate(want, 1)}
 
 
+def test_hub_of_a_dense_network(spark):
+    rng = random.Random(9)
+    pairs = {("hub", f"n{i:04}") for i in range(900)} | {(f"n{i:04}", f"n{(i + k) % 900:04}") for i in range(900) for k in (1, 2)}
+    pairs |= {(x, y) for s in range(12) for spot in [sorted(rng.sample([f"n{i:04}" for i in range(900)], 9))] for i, x in enumerate(spot) for y in spot[i + 1:]}
+    pairs = {(min(x, y), max(x, y)) for x, y in pairs}
+    nodes, links = network.numbered(edges_of(spark, [(x, y, 1.0) for x, y in pairs]))
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    got = {r.node: (r.score, r.density, r.degree) for r in network.node_scores(nodes, links).collect()}
+    assert got == {n: (*network._node_score(n, near), len(near[n])) for n in near}
+    told = {}
+    for r in network.dense_clusters(edges_of(spark, [(x, y, 1.0) for x, y in pairs])).collect():
+        told.setdefault((r.seed, r.cluster_score), set()).add((r.node, r.node_score))
+    assert told == {(s, c): set(nodes) for s, c, nodes in network._grow(iter(pairs), 0.2)}
+
+
+def test_links_that_face_a_hub_are_held_as_numbers():
+    n = 200_000  # a ring in which each node is linked to the two nodes on either side
+    at = np.arange(n)
+    cols = [np.repeat(np.int32([0, 1, 2]), [2 * n, 3, 1]), np.int32([*at, *at, 0, 1, 2, 0]), np.int32([*(at + 1) % n, *(at + 2) % n, 1, 2, 0, 1])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i:i + 10_000]) for c in cols], ["id", "p", "q"]) for i in range(0, len(cols[0]), 10_000)]
+    pieces = list(network._whole_groups(iter(batches), 20_000))
+    assert [np.unique(p[0]).tolist() for p in pieces] == [[0], [1, 2]] or [np.unique(p[0]).tolist() for p in pieces] == [[0, 1, 2]]
+    tracemalloc.start()
+    level, size, edges = network._highest_cores(np.zeros(2 * n, int), cols[1][: 2 * n], cols[2][: 2 * n])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (level[0], size[0], edges[0]) == (4, n, 2 * n)
+    assert most < 150 * 2 * n  # bytes; sets of texts took several times as much
+    assert [tuple(x) for x in zip(*network._highest_cores(np.array([0, 0, 0, 1]), *(np.int32(c[2 * n:]) for c in cols[1:])), strict=True)] == [(2, 3, 3), (1, 2, 1)]
+
+
 def test_propagation_query_ends_by_tolerance(spark, monkeypatch):
     import lattica.reference_queries as q
 
