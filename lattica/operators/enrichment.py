@@ -7,7 +7,10 @@ background; lists or terms without items give no rows. No window runs over the w
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -126,15 +129,58 @@ def term_kappa(annotation: DataFrame, terms: DataFrame, within: DataFrame | None
 
     `terms` may be all terms or a choice; the pairs are as many as share an item. With `within` (term, component) only pairs of one component are made,
     with the values they have among all chosen terms.
+
+    Pairs are not shuffled: terms are numbers dealt over blocks, each block gets the lists of terms of its items, and a task counts the partners of a few
+    terms at a time.
     """
-    ann = clean_pairs(annotation, "term", "item").join(terms.select("term").distinct(), "term", "left_semi")
-    sizes = maybe_broadcast(ann.groupBy("term").agg(F.count("item").alias("n")))
+    ann = cut(clean_pairs(annotation, "term", "item").join(terms.select("term").distinct(), "term", "left_semi"))
+    known = cut(ordered_prefix(ann.groupBy("term").agg(F.count("item").alias("n")), [], ["term"], name="at").select("term", "n", F.col("at").cast("int").alias("at")))
     total = ann.select("item").distinct().count()
     keys = ["item"] if within is None else ["item", "component"]
     side = ann if within is None else ann.join(within.select("term", "component"), "term")
-    pairs = side.select(*keys, F.col("term").alias("term_a")).join(side.select(*keys, F.col("term").alias("term_b")), keys).filter("term_a < term_b").groupBy("term_a", "term_b").agg(F.count("item").alias("shared"))
-    told = pairs.join(sizes.select(F.col("term").alias("term_a"), F.col("n").alias("na")), "term_a").join(sizes.select(F.col("term").alias("term_b"), F.col("n").alias("nb")), "term_b")
-    return _kappa(told, total)
+    lists = cut(side.join(known.select("term", "at"), "term").groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("held")).filter(F.size("held") > 1).select("held"))
+    blocks = int(annotation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.array_distinct(F.transform(F.expr("slice(held, 1, size(held) - 1)"), lambda x: F.pmod(x, F.lit(blocks))))  # the last has no partner behind it
+    dealt = lists.select(F.explode(own).alias("block"), "held").repartitionById(blocks, F.col("block"))
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ends, held = None, [np.zeros(1, int)], []
+        for batch in batches:
+            if batch.num_rows:
+                block = batch.column(0)[0].as_py()
+                ends.append(ends[-1][-1] + np.cumsum(batch.column(1).value_lengths().to_numpy()))
+                held.append(batch.column(1).flatten().to_numpy())
+        if held:
+            for a, b, shared in _partners(np.concatenate(held), np.concatenate(ends), block, blocks):
+                for i in range(0, len(a), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, b, shared)], ["a", "b", "shared"])
+
+    pairs = dealt.mapInArrow(partners, "a int, b int, shared long")
+    for x in "ab":
+        pairs = pairs.join(maybe_broadcast(known.select(F.col("at").alias(x), F.col("term").alias(f"term_{x}"), F.col("n").alias(f"n{x}"))), x)
+    return _kappa(pairs, total)
+
+
+def _partners(held: np.ndarray, ends: np.ndarray, block: int, blocks: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, lists that hold both), a < b, of the numbers a that are `block` modulo `blocks`; list i, in order, is held[ends[i]:ends[i + 1]].
+
+    Partners are counted for as many numbers as have about `most` of them, repeats counted, but at least for one.
+    """
+    at = np.flatnonzero(held % blocks == block)
+    count = ends[np.searchsorted(ends, at, "right")] - at - 1
+    order = np.argsort(held[at], kind="stable")
+    at, count = at[order], count[order]
+    first = np.flatnonzero(np.diff(held[at], prepend=-1))  # of each number
+    upto = np.append(np.cumsum(count)[first] - count[first], count.sum())
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, "right")) - 1)
+        x, c = at[first[i] : first[j] if j < len(first) else None], count[first[i] : first[j] if j < len(first) else None]
+        places = np.repeat(x + 1 - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        both = np.sort(np.repeat(held[x].astype("i8") << 32, c) | held[places])
+        new = np.flatnonzero(np.diff(both, prepend=-1))
+        yield (both[new] >> 32).astype("i4"), (both[new] & 0xFFFFFFFF).astype("i4"), np.diff(new, append=len(both))
+        i = j
 
 
 def _kappa(pairs: DataFrame, total: int) -> DataFrame:

@@ -221,6 +221,27 @@ def test_study(spark, tmp_path):
         Settings(p_cutoff=2)
 
 
+def test_kappa_of_all_pairs_without_a_shuffle_of_pairs(spark):
+    rng = random.Random(12)
+    sets = {f"t{i}": {0, *rng.sample(range(1, 60), rng.randint(1, 9))} for i in range(90)} | {"u": {100, 101}, "v": {100}, "w": {102}}
+    ann, terms = spark.createDataFrame([(t, i) for t, s in sets.items() for i in s], "term string, item long"), spark.createDataFrame([(t,) for t in sets], "term string")
+    part = {t: len(t) % 2 for t in sets}
+    n = len(set().union(*sets.values()))
+    for within in (None, spark.createDataFrame(list(part.items()), "term string, component int")):
+        made = enrichment.term_kappa(ann, terms, within)
+        assert "hashpartitioning(term_a" not in made._jdf.queryExecution().toString()
+        got = {(r.term_a, r.term_b): (r.shared, r.kappa, r.max_share) for r in made.collect()}
+        assert set(got) == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and (within is None or part[a] == part[b])}
+        for (a, b), (shared, kappa, share) in got.items():
+            na, nb, both = len(sets[a]), len(sets[b]), len(sets[a] & sets[b])
+            chance = (na * nb + (n - na) * (n - nb)) / n
+            assert shared == both and share == max(both / na, both / nb) and kappa == pytest.approx((n - na - nb + 2 * both - chance) / (n - chance), abs=1e-9)
+    held, ends = np.array([0, 1, 2, 5, 1, 5, 0, 2, 5], "i4"), np.array([0, 4, 6, 9])
+    for most in (1, 1_000_000):  # in pieces of one number, and all at once
+        told = [x for block in range(2) for piece in enrichment._partners(held, ends, block, 2, most) for x in zip(*(c.tolist() for c in piece), strict=True)]
+        assert sorted(told) == [(0, 1, 1), (0, 2, 2), (0, 5, 2), (1, 2, 1), (1, 5, 2), (2, 5, 2)]
+
+
 def test_similar_terms_need_no_pair_of_a_frequent_item(spark):
     rng = random.Random(5)
     sets = {f"t{i:04d}": {0, *rng.sample(range(1, 400), rng.randint(1, 12))} for i in range(150)}
