@@ -273,7 +273,7 @@ def node_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, p, q in _whole_groups(batches):
-            owner = np.concatenate(([0], np.cumsum(at[1:] != at[:-1])))
+            owner = np.concatenate(([0], np.cumsum(at[1:] != at[:-1], dtype="i4")), dtype="i4")
             level, size, inside = _highest_cores(owner, p, q)
             columns = (at[np.searchsorted(owner, np.arange(len(level)))], np.bincount(owner), level, size, inside)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, ("i4", *["i8"] * 4), strict=True)], ["id", "facing", "level", "size", "inside"])
@@ -341,18 +341,23 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 300_000) -> It
 
 def _neighbours(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, to): the neighbours of node i are to[start[i]:start[i + 1]]."""
-    both = np.concatenate((p, q)).astype("i4")
-    order = np.argsort(both, kind="stable")
-    start = np.concatenate(([0], np.cumsum(np.bincount(both, minlength=n))))
-    del both
-    return start, np.concatenate((q, p)).astype("i4")[order]
+    start = np.concatenate(([0], np.cumsum(np.bincount(p, minlength=n) + np.bincount(q, minlength=n))))
+    ends = np.empty(2 * len(p), "i8")  # (node, neighbour) as one number, put in order where they are
+    for half, x, y in ((ends[: len(p)], p, q), (ends[len(p) :], q, p)):
+        half[:] = x
+        half <<= 32
+        half |= y
+    ends.sort()
+    ends &= 0xFFFFFFFF
+    return start, ends.astype("i4")
 
 
 def _near(start: np.ndarray, to: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """The neighbours of all nodes, one after the other."""
     count = start[nodes + 1] - start[nodes]
-    before = np.cumsum(count) - count
-    return to[np.repeat(start[nodes] - before, count) + np.arange(count.sum())]
+    at = np.repeat(start[nodes] - (np.cumsum(count) - count), count)
+    at += np.arange(len(at))
+    return to[at]
 
 
 def _highest_cores(owner: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,7 +369,7 @@ def _highest_cores(owner: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.
     if n_graphs == 1:
         of = np.zeros(width, "i4")
     else:
-        known, at = np.unique(np.concatenate((owner * width + p, owner * width + q)), return_inverse=True)
+        known, at = np.unique(np.concatenate((owner.astype("i8") * width + p, owner.astype("i8") * width + q)), return_inverse=True)
         of, p, q = known // width, at[: len(p)], at[len(p) :]
     start, to = _neighbours(p, q, len(of))
     degree, alive, left = np.diff(start), np.ones(len(of), bool), np.arange(len(of))
@@ -375,6 +380,8 @@ def _highest_cores(owner: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.
         level[n > 0], size[n > 0], edges[n > 0] = k, n[n > 0], e[n > 0] / 2
         k += 1
         low = left[degree[left] < k]
+        if len(low) == len(left):
+            break
         while len(low):
             alive[low] = False
             near = _near(start, to, low)
