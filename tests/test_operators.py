@@ -309,6 +309,15 @@ def test_indirect_edges_of_a_hub(spark):
     assert network.indirect_edges(hubs, some, some).count() == 3000 * 2999 // 2
 
 
+def test_indirect_edges_of_names(spark):
+    e = spark.createDataFrame([("a", "m", "Direct", 0.9), ("b", "m", "Direct", 0.4), ("b", "n", "Direct", 0.5), ("a", "n", "Direct", 0.6), ("c", "n", "Direct", 0.7), ("a", "c", "Direct", 0.1), ("x", "y", "Direct", 1.0), ("z", "z", "Direct", 1.0)], "a string, b string, kind string, score double")
+    chosen = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    both = network.indirect_edges(e, chosen("a", "b", "c", "x", "z", None), chosen("a", "b", "c", "x", "z", "none"))
+    assert rows(both) == [("a", "b", "Indirect", 0.5), ("b", "c", "Indirect", 0.5)]
+    assert rows(network.indirect_edges(e, chosen("b", "x"), chosen("c"))) == [("b", "c", "Indirect", 0.5)]
+    assert rows(network.indirect_edges(e, chosen("x", "y"), chosen("c"))) == rows(network.indirect_edges(e, chosen(), chosen("c"))) == []
+
+
 def test_united_sizes(spark):
     rng = random.Random(4)
     lists = {f"l{i}": set(rng.sample(range(5000), rng.randint(1, 2000))) for i in range(12)}
