@@ -22,6 +22,16 @@ from lattica.operators.ranks import ordered_prefix
 from lattica.session import cut, maybe_broadcast
 
 MIN_CLUSTER = 3
+#: A side with a row per node is broadcast only while it has at most this many rows.
+SIDE_ROWS = 100_000
+
+
+def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a side of a join: broadcast where its counted rows are few, else joined by sorting.
+
+    Left to itself, Spark goes by the bytes of the files that `cut` wrote, and the driver then builds tables many times as large.
+    """
+    return df.hint("merge") if rows is None or rows > SIDE_ROWS else F.broadcast(df)
 
 
 def canonical(df: DataFrame, a: Column, b: Column, score: Column, kind: Column | None = None) -> DataFrame:
@@ -139,11 +149,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component; labels travel along edges and jump through their own label."""
     links = cut(both_ways(edges).select("u", "v"))
     label = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    n = label.count()
     while True:
-        sent = links.join(label.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("component").alias("sent"))
-        near = cut(label.join(sent, "node", "left").select("node", F.least("component", "sent").alias("new"), F.col("component").alias("old")))
+        sent = links.join(_side(label.withColumnRenamed("node", "u"), n), "u").groupBy(F.col("v").alias("node")).agg(F.min("component").alias("sent"))
+        near = cut(label.join(_side(sent), "node", "left").select("node", F.least("component", "sent").alias("new"), F.col("component").alias("old")))
         up = near.select(F.col("node").alias("new"), F.col("new").alias("upper"))
-        jumped = cut(near.join(up, "new", "left").select("node", F.least("new", "upper").alias("component"), "old"))
+        jumped = cut(near.join(_side(up, n), "new", "left").select("node", F.least("new", "upper").alias("component"), "old"))
         moved = jumped.filter("component <> old").limit(1).count()
         label = jumped.select("node", "component")
         if not moved:
@@ -255,7 +266,8 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = cut(edges.filter("a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
     deg = plain.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     nodes = cut(ordered_prefix(cut(deg), [], ["degree", "node"], name="id").select("node", "degree", F.col("id").cast("int").alias("id")))
-    ia, ib = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"i{x}")) for x in ("a", "b"))
+    n = nodes.count()
+    ia, ib = (_side(nodes.select(F.col("node").alias(x), F.col("id").alias(f"i{x}")), n) for x in ("a", "b"))
     return nodes, cut(plain.join(ia, "a").join(ib, "b").select(F.least("ia", "ib").alias("u"), F.greatest("ia", "ib").alias("v")))
 
 
@@ -267,7 +279,7 @@ def node_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     to = cut(links.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("vs")))
     steps = to.select("u", F.posexplode("vs").alias("i", "v"), "vs").select("u", "v", F.expr("slice(vs, i + 2, size(vs))").alias("rest")).filter(F.size("rest") > 0)
-    closed = steps.join(to.select(F.col("u").alias("v"), "vs"), "v").select("u", "v", F.explode(F.array_intersect("rest", "vs")).alias("z"))
+    closed = steps.join(_side(to.select(F.col("u").alias("v"), "vs")), "v").select("u", "v", F.explode(F.array_intersect("rest", "vs")).alias("z"))
     corners = F.array(*[F.struct(F.col(n).alias("id"), F.col(p).alias("p"), F.col(q).alias("q")) for n, p, q in (("u", "v", "z"), ("v", "u", "z"), ("z", "u", "v"))])
     facing = closed.select(F.explode(corners).alias("c")).select("c.*").repartition("id").sortWithinPartitions("id")
 
@@ -279,7 +291,7 @@ def node_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, ("i4", *["i8"] * 4), strict=True)], ["id", "facing", "level", "size", "inside"])
 
     core = facing.mapInArrow(cores, "id int, facing long, level long, size long, inside long")
-    told = nodes.join(core, "id", "left").withColumns({"facing": F.coalesce("facing", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
+    told = nodes.join(_side(core), "id", "left").withColumns({"facing": F.coalesce("facing", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
     # the node itself is linked to all of them, and a node without triangles is the middle of a star
     size, inside = F.coalesce("size", "degree"), F.coalesce("inside", F.lit(0))
     score = F.when(F.col("degree") <= 2, 0.0).otherwise(((F.col("level") + 1) * (inside + size)).cast("double") / ((size + 1) * (size + 1)))
@@ -296,15 +308,18 @@ def dense_clusters(edges: DataFrame, min_nodes: int = MIN_CLUSTER, max_nodes: in
     comp = components(edges)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_nodes)
     sizes = sizes if max_nodes is None else sizes.filter(F.col("n") <= max_nodes)
-    kept = comp.join(sizes.select("component"), "component", "left_semi").select("component", F.col("node").cast("string").alias("node"))
+    sizes = cut(sizes.select("component"))
+    kept = comp.join(_side(sizes, sizes.count()), "component", "left_semi").select("component", F.col("node").cast("string").alias("node"))
     nodes, links = numbered(edges)
-    facts = cut(node_scores(nodes, links).filter("score > 0").join(kept, "node"))
-    su, sv = (facts.select(F.col("id").alias(x), F.col("score").alias(f"s{x}")) for x in "uv")
+    facts = cut(node_scores(nodes, links).filter("score > 0").join(_side(kept), "node"))
+    n = facts.count()
+    su, sv = (_side(facts.select(F.col("id").alias(x), F.col("score").alias(f"s{x}")), n) for x in "uv")
     live = cut(links.join(su, "u").join(sv, "v").filter(F.least("su", "sv") >= F.greatest("su", "sv") * F.lit(1 - score_cut)).select("u", "v"))
     part = components(live.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("score")))
     block = F.pmod(F.xxhash64("component"), F.lit(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     place = cut(part.select(F.col("node").alias("id"), block.alias("block")))
-    left, right = facts.join(place, "id"), live.join(place.select(F.col("id").alias("u"), F.col("block").alias("at")), "u").select("at", "u", "v")
+    left = facts.join(_side(place), "id")
+    right = live.join(_side(place.select(F.col("id").alias("u"), F.col("block").alias("at")), n), "u").select("at", "u", "v")
 
     def grow(known: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values(["score", "density", "degree", "node"], ascending=[False, False, False, True], ignore_index=True)

@@ -100,6 +100,34 @@ def test_hub_of_a_dense_network(spark):
     assert told == {(s, c): set(nodes) for s, c, nodes in network._grow(iter(pairs), 0.2)}
 
 
+def test_no_table_of_nodes_is_built_by_the_driver(spark, monkeypatch):
+    """Files of `cut` are compressed, so their bytes don't tell what a broadcast would hold; rows are counted instead."""
+    monkeypatch.setattr(network, "SIDE_ROWS", 50)
+    rng = random.Random(10)
+    pairs = {tuple(sorted(rng.sample([f"n{i:03}" for i in range(300)], 2))) for _ in range(1500)}
+    pairs |= {(f"n{i:03}", f"n{j:03}") for i in range(12) for j in range(i + 1, 12)} | {("x", "y"), ("x", "z"), ("y", "z")}
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = network.dense_clusters(edges_of(spark, [(x, y, 1.0) for x, y in pairs])).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+
+    def each(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    ids = [e.executionId() for e in each(store.executionsList())][before - store.executionsCount() :]
+    rows = []
+    for i in ids:
+        value = {t._1(): t._2() for t in each(store.executionMetrics(i))}
+        rows += [int(value.get(m.accumulatorId(), "0").replace(",", "")) for n in each(store.planGraph(i).allNodes()) if n.name() == "BroadcastExchange" for m in each(n.metrics()) if m.name() == "number of output rows"]
+    assert len(ids) > 10 and max(rows, default=0) <= 50
+    told = {}
+    for r in got:
+        told.setdefault((r.seed, round(r.cluster_score, 9)), set()).add((r.node, round(r.node_score, 9)))
+    assert told == {(s, round(c, 9)): {(n, round(v, 9)) for n, v in nodes} for s, c, nodes in network._grow(iter(sorted(pairs)), 0.2)}
+
+
 def test_links_that_face_a_hub_are_held_as_numbers():
     n = 200_000  # a ring in which each node is linked to the two nodes on either side
     at = np.arange(n)
